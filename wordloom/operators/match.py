@@ -10,7 +10,9 @@ reference), never per token:
   then earliest dictionary position);
 * stretch -- collapse letter runs of three or more to two, equi join.
 
-Each stage only sees the words the previous stages left (``left_anti``).  The
+Each stage only answers for the words the previous stages left.  The stage
+functions below are the single steps (used by their own queries);
+:func:`word_map` runs the whole cascade in one pass over the vocabulary.  The
 result holds hits only; a word absent from it is "none".
 """
 
@@ -106,9 +108,64 @@ def stretch_matches(words: DataFrame, dictionary: Dictionary) -> DataFrame:
 
 
 def word_map(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = MatchParams()) -> DataFrame:
-    """The cascade exact -> fuzzy -> stretch over distinct words; hits only.
+    """The cascade exact -> fuzzy -> stretch over distinct words, in one pass; hits only.
 
     ``vocab`` has one column ``clean`` with distinct, non-empty cleaned words.
+    An exact key is in the word's own length bucket with distance 0 and
+    similarity 1.0, so the best gated candidate is the exact key when there is
+    one and the best fuzzy key otherwise: exact and fuzzy are one left join on
+    the length bucket plus ``max_by`` per word.  Stretch is one more left join
+    on the collapsed form, used only where no candidate passed.  The
+    vocabulary is read once; both joins keep its partitioning by word, so the
+    per-word aggregate needs no further exchange.
+    """
+    k = params.fuzzy_threshold
+    bucket = dictionary.side(
+        dictionary.df.select(
+            F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
+            F.explode(F.sequence(F.length("key") - k, F.length("key") + k)).alias("wlen"),
+        )
+    )
+    w = vocab.select("clean", F.length("clean").alias("clen"))
+    dist = F.levenshtein(F.col("clean"), F.col("b_key"), k)
+    sim = tx.similarity(F.col("clean"), F.col("b_key"), dist)
+    passes = (sim >= F.lit(float(params.levenshtein_threshold))) & (sim > F.lit(0.0))
+    gate = (F.col("clen") == F.col("wlen")) & (dist >= 0) & ((dist == 0) | passes)
+    cand = w.join(bucket, gate, "left").select(
+        "clean", "b_key", "b_ord", F.when(F.col("b_key").isNotNull(), sim).alias("sim")
+    )
+    best = cand.groupBy("clean").agg(
+        F.max_by(F.struct(F.col("b_key").alias("key"), F.col("sim")), F.struct(F.col("sim"), -F.col("b_ord")))
+        .alias("best")
+    )
+    # stretch candidates: only where no key passed the gate
+    collapsed = F.when(
+        F.col("best.key").isNull() & (F.length("clean") >= 3), tx.destretch(F.col("clean"))
+    )
+    staged = best.withColumn("collapsed", collapsed).withColumn(
+        "match_key",
+        F.when(F.col("best.key").isNotNull(), F.col("best.key"))
+        .when(F.col("collapsed") != F.col("clean"), F.col("collapsed")),
+    )
+    d = dictionary.side()
+    hits = staged.join(d, staged["match_key"] == d["key"], "inner")
+    stage = (
+        F.when(F.col("best.key").isNull(), F.lit("stretch"))
+        .when(F.col("best.sim") == F.lit(1.0), F.lit("exact"))
+        .otherwise(F.lit("fuzzy"))
+    )
+    return hits.select(
+        "clean", stage.alias("stage"), "match_key", "ord", *VALUE_COLS,
+        F.when(F.col("best.key").isNotNull() & (F.col("best.sim") < F.lit(1.0)), F.col("best.sim")).alias("similarity"),
+    )
+
+
+def word_map_staged(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = MatchParams()) -> DataFrame:
+    """J6 written stage by stage with ``left_anti`` between stages (reference form).
+
+    Same result as :func:`word_map`; kept for tests and for reading.  Catalyst
+    pushes each anti join below the vocabulary aggregate, so the vocabulary is
+    recomputed per stage -- use :func:`word_map` in pipelines.
     """
     exact = exact_matches(vocab, dictionary)
     rest = oov_words(vocab, dictionary)

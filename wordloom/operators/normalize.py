@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
+from wordloom.operators.layout import spread_by
 from wordloom.operators.match import VALUE_COLS, MatchParams, word_map
 from wordloom.session import cut_lineage
 from wordloom.sources.dictionary import Dictionary
@@ -120,6 +121,7 @@ class Normalizer:
         if keep_original:
             df = df.withColumn(f"{text_col}_original", F.col(text_col))
             others = others + [f"{text_col}_original"]
+        df = spread_by(df, row_id)
         toks = tokenize(df, text_col, keys=(row_id,), carry=tuple(c for c in others if c != text_col))
         ann = self.annotate(toks)
         return regroup(ann, row_id, text_col, [c for c in df.columns if c != row_id])

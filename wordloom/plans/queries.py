@@ -16,6 +16,7 @@ from wordloom.operators import labels as lb
 from wordloom.operators import metrics as mx
 from wordloom.operators import stats as st
 from wordloom.operators import vocab as vc
+from wordloom.operators.layout import spread_by
 from wordloom.operators.match import MatchParams, fuzzy_candidates, oov_words
 from wordloom.operators.normalize import Normalizer, counted, tokenize, vocabulary
 from wordloom.plans import inputs
@@ -41,7 +42,7 @@ def _normalizer(spark: SparkSession) -> Normalizer:
 
 
 def _comment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(inputs.comments(spark, sf_dir), "text", keys=("row_id", "split"))
+    return tokenize(spread_by(inputs.comments(spark, sf_dir), "row_id"), "text", keys=("row_id", "split"))
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:

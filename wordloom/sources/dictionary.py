@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.session import cut_lineage
+
 DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
 DEFAULT_TABLE = os.path.join(DATA_DIR, "default_normalizations.csv")
 CUSTOM_TABLE = os.path.join(DATA_DIR, "custom_normalizations.csv")
@@ -141,8 +143,10 @@ def load_dictionary(spark: SparkSession, custom: bool = True,
         extra = read_entries(spark, path, 2 + i)
         bound += extra.count()
         entries = entries.unionByName(extra)
-    return Dictionary(with_case_forms(merge_entries(entries)), bound)
+    return dictionary_from_entries(entries, bound)
 
 
 def dictionary_from_entries(entries: DataFrame, max_keys: int) -> Dictionary:
-    return Dictionary(with_case_forms(merge_entries(entries)), max_keys)
+    """Merge, add case forms, and checkpoint once: queries then read a plain
+    table instead of re-running the merge and the Python case-form UDF."""
+    return Dictionary(cut_lineage(with_case_forms(merge_entries(entries))), max_keys)
