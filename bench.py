@@ -43,7 +43,8 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)), app="wordloom-bench")
     ensure_checkpoint_dir(spark)
     qs = registry()
-    run(qs["dictionary_merged"](spark, sf_dir))  # warm-up
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    run(qs["preprocess_documents"](spark, warm_dir if os.path.isdir(warm_dir) else sf_dir))  # warm-up
     times = {}
     for name in names:
         t0 = time.perf_counter()

@@ -120,17 +120,26 @@ def word_map(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = Mat
     per-word aggregate needs no further exchange.
     """
     k = params.fuzzy_threshold
-    bucket = dictionary.side(
-        dictionary.df.select(
-            F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
-            F.explode(F.sequence(F.length("key") - k, F.length("key") + k)).alias("wlen"),
-        )
+    t = F.lit(float(params.levenshtein_threshold))
+    klen = F.length("key")
+    rows = dictionary.df.select(
+        F.col("key").alias("b_key"), F.col("ord").alias("b_ord"), klen.alias("klen"),
+        F.explode(F.sequence(klen - k, klen + k)).alias("wlen"),
     )
+    # Length prune (lossless): the smallest distance a pair of lengths allows is
+    # max(|L-K|, 1) for different words; if even that fails the similarity
+    # gate, the bucket row can only serve an exact match (L == K).
+    min_d = F.greatest(F.abs(F.col("wlen") - F.col("klen")), F.lit(1))
+    best_sim = F.lit(1.0) - min_d.cast("double") / F.greatest("wlen", "klen").cast("double")
+    rows = rows.withColumn("b_fuzzy", (best_sim >= t) & (best_sim > F.lit(0.0)))
+    bucket = dictionary.side(rows.filter(F.col("b_fuzzy") | (F.col("wlen") == F.col("klen"))))
     w = vocab.select("clean", F.length("clean").alias("clen"))
     dist = F.levenshtein(F.col("clean"), F.col("b_key"), k)
     sim = tx.similarity(F.col("clean"), F.col("b_key"), dist)
-    passes = (sim >= F.lit(float(params.levenshtein_threshold))) & (sim > F.lit(0.0))
-    gate = (F.col("clen") == F.col("wlen")) & (dist >= 0) & ((dist == 0) | passes)
+    passes = (sim >= t) & (sim > F.lit(0.0))
+    gate = (F.col("clen") == F.col("wlen")) & (
+        (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & (dist >= 0) & passes)
+    )
     cand = w.join(bucket, gate, "left").select(
         "clean", "b_key", "b_ord", F.when(F.col("b_key").isNotNull(), sim).alias("sim")
     )

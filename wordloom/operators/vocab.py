@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
+from wordloom.operators.layout import spread_by
 from wordloom.sources.dictionary import Dictionary
 
 
@@ -17,7 +18,7 @@ def word_frequency(texts: DataFrame, text_col: str = "text", row_id: str = "row_
     hot word costs one row per task, not one per occurrence).
     """
     toks = (
-        texts.filter(F.col(text_col).isNotNull())
+        spread_by(texts.filter(F.col(text_col).isNotNull()), row_id)
         .select(row_id, F.posexplode(tx.split_words(F.lower(F.col(text_col)))).alias("pos", "tok"))
         .filter(F.col("tok") != "")
         .select(row_id, "pos", tx.clean_word(F.col("tok")).alias("word"))
