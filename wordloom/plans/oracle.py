@@ -13,8 +13,13 @@ DuckDB differs from Spark in ways the SQL works around (SURVEY §5):
 from __future__ import annotations
 
 from wordloom.plans.inputs import BLANK_RESIDUE, BLANK_TEXT, NULL_RESIDUE, SNIPPETS, VIDEO_URL_PREFIX
+from wordloom.sources.csv_splits import LABEL_CANDIDATES, PANDAS_NA, TEXT_CANDIDATES
 from wordloom.sources.dictionary import CUSTOM_TABLE, DEFAULT_TABLE, read_fixed_table
 
+DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
+                 "embeddings pages benchmark labels conversations").split()
+MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
+
 # RE2 spellings of the word rules.
 W = r"\p{L}\p{N}_"
 NW = "[^" + W + "]"
@@ -86,8 +91,21 @@ def _snippets() -> str:
     return ", ".join(f"({i}, {lit(s)})" for i, s in enumerate(SNIPPETS))
 
 
-def base_ctes() -> str:
+def default_comments() -> str:
     n = len(SNIPPETS)
+    return f"""comments AS (
+  SELECT d.doc_id AS row_id,
+         CASE WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split,
+         CASE WHEN d.doc_id % 50 = {NULL_RESIDUE} THEN CAST(NULL AS VARCHAR)
+              WHEN d.doc_id % 50 = {BLANK_RESIDUE} THEN {lit(BLANK_TEXT)}
+              ELSE d.text || ' ' || s.s END AS text,
+         d.lang, d.source
+  FROM documents d JOIN snip s ON s.i = d.doc_id % {n}),
+"""
+
+
+def base_ctes(comments: str | None = None) -> str:
+    comments = comments or default_comments()
     return f"""
 dict_entries(src, line, key, value) AS (VALUES {_entries()}),
 dict0 AS (
@@ -98,15 +116,7 @@ case_forms(value, value_upper, value_title, value_lower) AS (VALUES {_case_forms
 dict AS (SELECT d.ord, d.key, d.value, c.value_upper, c.value_title, c.value_lower
          FROM dict0 d JOIN case_forms c ON c.value = d.value),
 snip(i, s) AS (VALUES {_snippets()}),
-comments AS (
-  SELECT d.doc_id AS row_id,
-         CASE WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split,
-         CASE WHEN d.doc_id % 50 = {NULL_RESIDUE} THEN CAST(NULL AS VARCHAR)
-              WHEN d.doc_id % 50 = {BLANK_RESIDUE} THEN {lit(BLANK_TEXT)}
-              ELSE d.text || ' ' || s.s END AS text,
-         d.lang, d.source
-  FROM documents d JOIN snip s ON s.i = d.doc_id % {n}),
-toks AS (
+{comments}toks AS (
   SELECT c.row_id, c.split, CAST(t.pos - 1 AS INTEGER) AS pos, t.word,
          CASE WHEN length(t.word) >= 2 THEN {clean('t.word')} END AS clean
   FROM comments c,
@@ -187,8 +197,8 @@ freq_oov AS (SELECT f.* FROM word_freq f ANTI JOIN dict d ON f.word = d.key WHER
 """
 
 
-def with_base(select: str) -> str:
-    return "WITH " + base_ctes().strip() + "\n" + select.strip()
+def with_base(select: str, comments: str | None = None) -> str:
+    return "WITH " + base_ctes(comments).strip() + "\n" + select.strip()
 
 
 SELECTS: dict[str, str] = {
@@ -284,6 +294,81 @@ SELECTS: dict[str, str] = {
 }
 
 
+def na(expr: str) -> str:
+    """pandas default NA strings -> NULL."""
+    items = ", ".join(lit(v) for v in PANDAS_NA)
+    return f"CASE WHEN {expr} IN ({items}) THEN NULL ELSE {expr} END"
+
+
+def video_comments() -> str:
+    return f"""req AS (SELECT DISTINCT {lit(VIDEO_URL_PREFIX)} || CAST(conv_id AS VARCHAR) AS url FROM conversations),
+reqv AS (SELECT url, regexp_extract(url, '[?&]v=([^&#]*)', 1) AS video_id FROM req),
+comments AS (
+  SELECT c.conv_id * 1000000 + c.turn AS row_id, 'all' AS split, c.text, r.url, r.video_id, c.turn, c.role,
+         CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source
+  FROM conversations c JOIN reqv r ON r.video_id = CAST(c.conv_id AS VARCHAR)),
+"""
+
+
+SELECTS.update({
+    "scan_csv_splits": f"SELECT row_id, split, {na('text')} AS text, {na('label')} AS label FROM labels_in",
+    "split_profile": ("SELECT split, CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, min(row_id) AS first_row_id "
+                      "FROM labels_in GROUP BY split"),
+    "processed_roundtrip": (f"SELECT row_id, split, {na('text')} AS text, {na('lang')} AS lang, "
+                            f"{na('source')} AS source, {na('text_original')} AS text_original FROM processed"),
+    "artifact_record": f"""
+        SELECT {lit(MODEL_TYPE)} AS model_type, {THRESHOLD} AS levenshtein_threshold, {MAX_DIST} AS fuzzy_threshold,
+               exact_matches, fuzzy_matches, no_matches, total_words,
+               (SELECT CAST(count(*) AS BIGINT) FROM rest) AS fuzzy_cache_size,
+               (SELECT CAST(count(*) AS INTEGER) FROM dict0) AS n_dictionary_keys,
+               (SELECT CAST(count(*) AS INTEGER) FROM mapping) AS n_labels
+        FROM stats WHERE split = 'test'""",
+    "sample_rows": """
+        SELECT p.row_id, p.text_original AS original, p.text AS processed, l.label,
+               (p.text_original IS DISTINCT FROM p.text) AS changed
+        FROM processed p JOIN labels_in l ON l.row_id = p.row_id
+        WHERE p.split = 'train' ORDER BY p.row_id LIMIT 5""",
+    "fuzzy_examples": """
+        , fz AS (
+          SELECT clean, min(CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END * 1000000000000000
+                            + row_id * 1000000 + pos) AS first_seen
+          FROM ann WHERE stage = 'fuzzy' GROUP BY clean),
+        fz2 AS (SELECT f.clean, f.first_seen, w.value, w.similarity FROM fz f JOIN fuzzy w ON w.clean = f.clean)
+        SELECT CAST(row_number() OVER (ORDER BY first_seen) AS INTEGER) AS rank, clean, value, similarity,
+               (SELECT CAST(count(*) AS BIGINT) FROM fz) AS n_fuzzy_words
+        FROM (SELECT * FROM fz2 ORDER BY first_seen LIMIT 10)""",
+})
+
+RESOLVE_SQL = f"""
+WITH cols AS (
+  SELECT table_name AS tbl, column_name AS col, ordinal_position AS pos, data_type
+  FROM information_schema.columns
+  WHERE table_name IN ({", ".join(lit(t) for t in DRIVER_TABLES)})),
+cand_t(col, r) AS (VALUES {", ".join(f"({lit(c)}, {i})" for i, c in enumerate(TEXT_CANDIDATES))}),
+cand_l(col, r) AS (VALUES {", ".join(f"({lit(c)}, {i})" for i, c in enumerate(LABEL_CANDIDATES))}),
+t1 AS (SELECT c.tbl, arg_min(c.col, t.r) AS text_col FROM cols c JOIN cand_t t ON t.col = c.col GROUP BY c.tbl),
+l1 AS (SELECT c.tbl, arg_min(c.col, l.r) AS label_col FROM cols c JOIN cand_l l ON l.col = c.col GROUP BY c.tbl),
+fs AS (SELECT tbl, arg_min(col, pos) AS s FROM cols WHERE data_type = 'VARCHAR' GROUP BY tbl),
+fn AS (SELECT tbl, arg_min(col, pos) AS n FROM cols
+       WHERE data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'DOUBLE', 'FLOAT') GROUP BY tbl),
+res AS (
+  SELECT tb.tbl AS table_name,
+         CASE WHEN t1.text_col IS NOT NULL AND l1.label_col IS NOT NULL THEN t1.text_col ELSE fs.s END AS text_col,
+         CASE WHEN t1.text_col IS NOT NULL AND l1.label_col IS NOT NULL THEN l1.label_col ELSE fn.n END AS label_col,
+         (t1.text_col IS NOT NULL AND l1.label_col IS NOT NULL) AS by_name
+  FROM (SELECT DISTINCT tbl FROM cols) tb
+  LEFT JOIN t1 ON t1.tbl = tb.tbl LEFT JOIN l1 ON l1.tbl = tb.tbl
+  LEFT JOIN fs ON fs.tbl = tb.tbl LEFT JOIN fn ON fn.tbl = tb.tbl)
+SELECT table_name, text_col, label_col FROM res
+WHERE by_name OR (text_col IS NOT NULL AND label_col IS NOT NULL)
+"""
+
+VIDEO_SQL_SELECT = """
+SELECT c.url, c.video_id, c.turn, c.role, r.text, c.text AS text_original
+FROM comments c JOIN regrouped r ON r.row_id = c.row_id
+WHERE NOT """
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sel in SELECTS.items():
@@ -293,4 +378,6 @@ def oracle_sql() -> dict[str, str]:
             out[name] = "WITH " + base_ctes().strip() + "\n" + sel
         else:
             out[name] = with_base(sel)
+    out["resolve_columns"] = RESOLVE_SQL
+    out["comments_for_video"] = with_base(VIDEO_SQL_SELECT + blank("r.text"), video_comments())
     return out

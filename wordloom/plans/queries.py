@@ -299,3 +299,120 @@ def registry() -> dict[str, Query]:
     out = dict(REGISTRY)
     out["oov_words"] = out.pop("oov_words_query")
     return out
+
+
+# -- sources and sinks ------------------------------------------------------------
+from wordloom.operators import report as rp  # noqa: E402
+from wordloom.sources import csv_splits as cs  # noqa: E402
+from wordloom.sources.video import comments_for_videos  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+LABELLED_SCHEMA = T.StructType([
+    T.StructField("row_id", T.LongType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("label", T.StringType()),
+])
+PROCESSED_SCHEMA = T.StructType([
+    T.StructField("row_id", T.LongType()),
+    T.StructField("n_chars", T.LongType()),
+])
+DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
+                 "embeddings pages benchmark labels conversations").split()
+
+
+def _csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the labelled comments as three CSV splits, scan them back."""
+    folder = cs.scratch_folder(spark, "splits")
+    paths = cs.write_splits(_labelled(spark, sf_dir).select("row_id", "split", "text", "label"), folder)
+    return cs.scan_splits(spark, paths, LABELLED_SCHEMA)
+
+
+@query
+def scan_csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + U1: three CSV splits read with pandas' NA rules into one frame."""
+    return _csv_splits(spark, sf_dir).select("row_id", "split", "text", "label")
+
+
+@query
+def split_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per split, column count and first row of each scanned split."""
+    return cs.split_profile(_csv_splits(spark, sf_dir))
+
+
+@query
+def resolve_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: text / label column roles resolved for every driver table's schema."""
+    rows = []
+    for name in DRIVER_TABLES:
+        try:
+            text_col, label_col = cs.resolve_columns(inputs.table(spark, sf_dir, name).schema)
+        except ValueError:
+            continue
+        rows.append((name, text_col, label_col))
+    return spark.createDataFrame(rows, "table_name string, text_col string, label_col string")
+
+
+@query
+def processed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed splits written as CSV (partitioned by split) and read back."""
+    done = _normalizer(spark).normalize(inputs.comments(spark, sf_dir), "text")
+    folder = cs.scratch_folder(spark, "processed")
+    cs.write_processed(done, folder)
+    back = cs.read_processed(spark, folder, PROCESSED_SCHEMA)
+    return back.select("row_id", "split", "text", "lang", "source", "text_original")
+
+
+@query
+def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preprocessing artifact (test-split counters, as the reference
+    saves them) written as JSON and read back."""
+    n = _normalizer(spark)
+    toks = _comment_tokens(spark, sf_dir)
+    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    rec = rp.artifact_record(
+        spark, n.dictionary, _mapping(spark, sf_dir), stats,
+        st.fuzzy_cache_size(toks, n.dictionary), n.params, MODEL_TYPE,
+    )
+    folder = cs.scratch_folder(spark, "artifacts")
+    rec.coalesce(1).write.mode("overwrite").json(folder)
+    back = spark.read.schema(rec.schema).json(folder)
+    return back.select(
+        "model_type", "levenshtein_threshold", "fuzzy_threshold",
+        F.col("normalization_stats.exact_matches").alias("exact_matches"),
+        F.col("normalization_stats.fuzzy_matches").alias("fuzzy_matches"),
+        F.col("normalization_stats.no_matches").alias("no_matches"),
+        F.col("normalization_stats.total_words").alias("total_words"),
+        "fuzzy_cache_size",
+        F.size("normalization_dict").alias("n_dictionary_keys"),
+        F.size("label_mapping").alias("n_labels"),
+    )
+
+
+MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
+
+
+@query
+def comments_for_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every requested video's comments, normalised (blank comments dropped)."""
+    feed = inputs.video_comments(spark, sf_dir)
+    rows = comments_for_videos(inputs.video_requests(spark, sf_dir), feed)
+    keyed = rows.select(F.struct("video_id", "turn").alias("row_id"), "url", "role", "text")
+    done = _normalizer(spark).normalize(keyed, "text")
+    return done.select(
+        "url", F.col("row_id.video_id").alias("video_id"), F.col("row_id.turn").alias("turn"),
+        "role", "text", "text_original",
+    )
+
+
+@query
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First five processed train rows with label and changed flag."""
+    lab = _labelled(spark, sf_dir).filter(F.col("split") == "train").select("row_id", "text", "label")
+    done = _normalizer(spark).normalize(lab, "text")
+    return rp.sample_rows(done, n=SAMPLE_ROWS)
+
+
+@query
+def fuzzy_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First ten fuzzy corrections by first appearance, and how many there are."""
+    return rp.fuzzy_examples(_annotated(spark, sf_dir), FUZZY_EXAMPLES)
