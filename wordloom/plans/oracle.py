@@ -381,3 +381,39 @@ def oracle_sql() -> dict[str, str]:
     out["resolve_columns"] = RESOLVE_SQL
     out["comments_for_video"] = with_base(VIDEO_SQL_SELECT + blank("r.text"), video_comments())
     return out
+
+
+ENCODED_SQL = """
+, enc_tok AS (
+  SELECT p.row_id, p.split, CAST(t.pos - 1 AS INTEGER) AS pos, t.tok
+  FROM processed p, unnest(regexp_split_to_array({strip}, '{ws}+')) WITH ORDINALITY AS t(tok, pos)
+  WHERE t.tok <> ''),
+vocab_top AS (
+  SELECT tok, n FROM (SELECT tok, count(*) AS n FROM enc_tok WHERE split = 'train' GROUP BY tok)
+  ORDER BY n DESC, tok ASC LIMIT {vocab}),
+vocab_ids AS (SELECT tok, CAST(row_number() OVER (ORDER BY n DESC, tok ASC) - 1 + 4 AS INTEGER) AS id FROM vocab_top),
+body AS (
+  SELECT e.row_id, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY e.pos) AS ids, count(*) AS n
+  FROM enc_tok e LEFT JOIN vocab_ids v ON v.tok = e.tok WHERE e.pos < {keep} GROUP BY e.row_id)
+SELECT p.row_id, p.split, CAST(coalesce(b.n, 0) + 2 AS INTEGER) AS n_real,
+       '0' || CASE WHEN b.ids IS NULL THEN '' ELSE ',' || b.ids END || ',2'
+           || repeat(',1', CAST({keep} - coalesce(b.n, 0) AS INTEGER)) AS input_ids
+FROM processed p LEFT JOIN body b ON b.row_id = p.row_id
+"""
+
+
+def _encoded_sql() -> str:
+    from wordloom.operators.features import EncoderParams
+
+    e = EncoderParams()
+    sel = ENCODED_SQL.format(strip=strip("lower(p.text)"), ws=WS, vocab=e.vocab_size, keep=e.max_length - 2)
+    return "WITH " + base_ctes().strip() + "\n" + sel.strip()
+
+
+_base_oracle_sql = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_sql()
+    out["encoded_padded"] = _encoded_sql()
+    return out

@@ -416,3 +416,105 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First ten fuzzy corrections by first appearance, and how many there are."""
     return rp.fuzzy_examples(_annotated(spark, sf_dir), FUZZY_EXAMPLES)
+
+
+# -- encoding and model ----------------------------------------------------------
+from wordloom.operators import features as fe  # noqa: E402
+from wordloom.operators import model as md  # noqa: E402
+from wordloom.session import cut_lineage  # noqa: E402
+
+ENCODER = fe.EncoderParams()
+TRAIN = md.TrainParams()
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
+
+def _processed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 over all comments, checkpointed (used by several branches)."""
+    return cut_lineage(_normalizer(spark).normalize(inputs.comments(spark, sf_dir), "text"))
+
+
+@query
+def encoded_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: ids + mask, truncated / padded to 512, vocabulary learned on train."""
+    done = _processed_comments(spark, sf_dir)
+    vocab = fe.learn_vocabulary(done.filter(F.col("split") == "train"), ENCODER)
+    enc = fe.encode(done, vocab, ENCODER, carry=("split",))
+    return enc.select(
+        "row_id", "split",
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+        F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+    )
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    """Processed labelled rows with label indices, the label list and the selected model."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _TRAINED:
+        return _TRAINED[key]
+    mapping = _mapping(spark, sf_dir)
+    lab = _labelled(spark, sf_dir).select("row_id", "split", "text", "label")
+    done = _normalizer(spark).normalize(lab, "text")
+    enc = cut_lineage(lb.encode_labels(done, mapping))
+    labels = [r["label"] for r in mapping.orderBy("idx").collect()]  # the classes (one row each)
+    sel = md.train_select(spark, enc.filter(F.col("split") == "train"), enc.filter(F.col("split") == "val"), TRAIN)
+    _TRAINED[key] = (enc, mapping, labels, sel)
+    return _TRAINED[key]
+
+
+@query
+def trained_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M5: the selected model's prediction for every labelled comment."""
+    enc, _, labels, sel = _trained(spark, sf_dir)
+    return md.predict(sel.model, enc, labels).select(
+        "row_id", "split", "label", "predicted_class", "confidence"
+    )
+
+
+@query
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: validation accuracy per round, early stop, best round flagged."""
+    return _trained(spark, sf_dir)[3].history
+
+
+@query
+def test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + A8: report of the selected model on the test split."""
+    enc, mapping, labels, sel = _trained(spark, sf_dir)
+    scored = md.predict(sel.model, enc.filter(F.col("split") == "test"), labels)
+    return mx.classification_report(scored, mapping, "label_idx", "pred_idx")
+
+
+@query
+def scored_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + F16: every comment normalised and scored into the five-field record."""
+    _, _, labels, sel = _trained(spark, sf_dir)
+    done = _normalizer(spark).normalize(inputs.comments(spark, sf_dir).select("row_id", "text"), "text")
+    scored = md.predict(sel.model, done, labels)
+    return md.scored_record(scored, keys=("row_id",))
+
+
+@query
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted pipeline saved, loaded back, and scoring the test split the same way."""
+    enc, _, labels, sel = _trained(spark, sf_dir)
+    folder = cs.scratch_folder(spark, "model")
+    sel.model.write().overwrite().save(folder)
+    loaded = md.PipelineModel.load(folder)
+    test = enc.filter(F.col("split") == "test")
+    a = md.predict(sel.model, test, labels).select("row_id", F.col("predicted_class").alias("before"))
+    b = md.predict(loaded, test, labels).select("row_id", F.col("predicted_class").alias("after"))
+    return a.join(b, "row_id").select("row_id", "before", "after", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query
+def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 + S8: test accuracy, test-split counters, split sizes, fuzzy settings."""
+    enc, _, labels, sel = _trained(spark, sf_dir)
+    scored = md.predict(sel.model, enc.filter(F.col("split") == "test"), labels)
+    metrics = mx.accuracy(scored, "label_idx", "pred_idx")
+    n = _normalizer(spark)
+    toks = _comment_tokens(spark, sf_dir)
+    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    sizes = enc.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
+    return rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
+                           MODEL_TYPE, ENCODER.max_length)
