@@ -127,17 +127,23 @@ class Normalizer:
         return regroup(ann, row_id, text_col, [c for c in df.columns if c != row_id])
 
 
-def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str]) -> DataFrame:
-    """rejoin normalised words in position order with one blank."""
+def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
+            keys: tuple[str, ...] = ()) -> DataFrame:
+    """rejoin normalised words in position order with one blank.
+
+    ``keys`` are per-token columns that depend on the row (grouped alongside
+    ``row_id``, so a partitioning by ``row_id`` still serves the grouping);
+    other columns of ``order`` come from the position-0 carry struct.
+    """
     parts = F.array_sort(F.collect_list(F.struct("pos", "out_word")))
     aggs = [F.array_join(F.transform(parts, lambda x: x["out_word"]), " ").alias(text_col)]
     carried = "_carry" in annotated.columns
     if carried:
         aggs.append(F.first("_carry", ignorenulls=True).alias("_carry"))
-    g = annotated.groupBy(row_id).agg(*aggs).filter(~tx.is_blank(F.col(text_col)))
+    g = annotated.groupBy(row_id, *keys).agg(*aggs).filter(~tx.is_blank(F.col(text_col)))
     cols = [F.col(row_id)]
     for c in order:
-        cols.append(F.col(text_col) if c == text_col else F.col(f"_carry.{c}").alias(c))
+        cols.append(F.col(c) if c == text_col or c in keys else F.col(f"_carry.{c}").alias(c))
     return g.select(*cols)
 
 

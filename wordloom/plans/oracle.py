@@ -416,4 +416,7 @@ _base_oracle_sql = oracle_sql
 def oracle_sql() -> dict[str, str]:  # noqa: F811
     out = _base_oracle_sql()
     out["encoded_padded"] = _encoded_sql()
+    # the stream must give the batch results
+    out["stream_normalized"] = out["preprocess_documents"]
+    out["stream_stats"] = out["normalization_stats"]
     return out

@@ -518,3 +518,52 @@ def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = enc.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
     return rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
                            MODEL_TYPE, ENCODER.max_length)
+
+
+# -- streaming ---------------------------------------------------------------------
+from wordloom.streaming import stream as sm  # noqa: E402
+
+
+def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a file stream (glob: the folder holds other tables too)."""
+    schema = inputs.table(spark, sf_dir, "documents").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parque[t]")
+
+
+def _as_comments(d: DataFrame) -> DataFrame:
+    return d.select(
+        F.col("doc_id").alias("row_id"), inputs.split_of(F.col("doc_id")).alias("split"),
+        inputs.dirty_text(F.col("doc_id"), F.col("text")).alias("text"), "lang", "source",
+    )
+
+
+def _run_comment_stream(spark: SparkSession, sf_dir: str, scored: bool) -> sm.StreamOutput:
+    folder = cs.scratch_folder(spark, "stream")
+    model = labels = None
+    if scored:
+        _, _, labels, sel = _trained(spark, sf_dir)
+        model = sel.model
+    return sm.run_stream(spark, _documents_stream(spark, sf_dir), _normalizer(spark), f"{folder}/out",
+                         f"{folder}/checkpoint", prepare=_as_comments, model=model, labels=labels)
+
+
+@query
+def stream_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 (text part): the stream's processed rows equal the batch F13 result."""
+    out = _run_comment_stream(spark, sf_dir, scored=False)
+    return spark.read.parquet(out.rows_path).select("row_id", "split", "text", "lang", "source", "text_original")
+
+
+@query
+def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving comments normalised and scored by the selected model."""
+    out = _run_comment_stream(spark, sf_dir, scored=True)
+    rows = spark.read.parquet(out.rows_path)
+    return md.scored_record(rows, keys=("row_id",))
+
+
+@query
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running match counters of the stream (sum over micro-batches)."""
+    out = _run_comment_stream(spark, sf_dir, scored=False)
+    return sm.running_stats(spark, out)
