@@ -506,9 +506,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "row_id").select("row_id", "before", "after", (F.col("before") == F.col("after")).alias("same"))
 
 
-@query
-def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8 + S8: test accuracy, test-split counters, split sizes, fuzzy settings."""
+def _final_parts(spark: SparkSession, sf_dir: str):
     enc, _, labels, sel = _trained(spark, sf_dir)
     scored = md.predict(sel.model, enc.filter(F.col("split") == "test"), labels)
     metrics = mx.accuracy(scored, "label_idx", "pred_idx")
@@ -516,8 +514,47 @@ def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _comment_tokens(spark, sf_dir)
     stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
     sizes = enc.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
-    return rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
-                           MODEL_TYPE, ENCODER.max_length)
+    return n, toks, metrics, stats, sizes
+
+
+@query
+def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: test accuracy, split sizes, words processed / normalised and the rate."""
+    _, _, metrics, stats, sizes = _final_parts(spark, sf_dir)
+    norm = F.col("exact_matches") + F.col("fuzzy_matches")
+    s = stats.select(
+        "total_words", "exact_matches", "fuzzy_matches", "no_matches", norm.alias("words_normalized"),
+        F.when(F.col("total_words") > 0, norm.cast("double") / F.col("total_words").cast("double") * F.lit(100.0))
+        .otherwise(F.lit(0.0)).alias("normalization_rate"),
+    )
+    return rp.one_row(
+        spark,
+        test_accuracy=metrics.select("accuracy").scalar(),
+        train_samples=sizes.select("train").scalar(),
+        val_samples=sizes.select("val").scalar(),
+        test_samples=sizes.select("test").scalar(),
+        **{c: s.select(c).scalar() for c in s.columns},
+    )
+
+
+@query
+def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final report record written as JSON and read back."""
+    n, toks, metrics, stats, sizes = _final_parts(spark, sf_dir)
+    rec = rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
+                          MODEL_TYPE, ENCODER.max_length)
+    folder = cs.scratch_folder(spark, "report")
+    rec.coalesce(1).write.mode("overwrite").json(folder)
+    return spark.read.schema(rec.schema).json(folder)
+
+
+@query
+def probability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: class probabilities as a label -> probability map, confidence = its max."""
+    enc, _, labels, sel = _trained(spark, sf_dir)
+    return md.predict(sel.model, enc, labels).select(
+        "row_id", "predicted_class", "confidence", "all_probabilities"
+    )
 
 
 # -- streaming ---------------------------------------------------------------------

@@ -16,7 +16,19 @@ def video_id(url: Column) -> Column:
     return F.parse_url(url, F.lit("QUERY"), F.lit("v"))
 
 
+# Request tables up to this many rows are broadcast (after a count).
+MAX_BROADCAST_REQUESTS = 1_000_000
+
+
 def comments_for_videos(requests: DataFrame, feed: DataFrame, url_col: str = "url") -> DataFrame:
-    """Every comment of every requested video: (url, video_id, feed columns...)."""
+    """Every comment of every requested video: (url, video_id, feed columns...).
+
+    The request table is counted first: under the bound it is broadcast, so the
+    comment feed is streamed past it without a shuffle -- a video holding a
+    third of all comments then costs nothing extra.  Beyond the bound it is a
+    shuffle join (AQE splits skewed feed partitions).
+    """
     r = requests.select(F.col(url_col).alias("url"), video_id(F.col(url_col)).alias("video_id"))
-    return r.join(feed, "video_id", "inner")
+    if r.count() <= MAX_BROADCAST_REQUESTS:
+        r = F.broadcast(r)
+    return feed.join(r, "video_id", "inner")
