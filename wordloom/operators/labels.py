@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.session import cut_lineage
+
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     """A5: ``value_counts()`` -- nulls excluded."""
@@ -19,14 +21,16 @@ def label_mapping(train: DataFrame, label_col: str = "label", row_id: str = "row
     """Distinct labels in first-appearance order -> 0..n-1.
 
     The window runs over the distinct labels (the classes), never over rows.
+    The result (one row per class) is checkpointed: every later encode /
+    decode / report reads that tiny table instead of re-running the scan.
     """
     first = (
         train.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label"))
         .agg(F.min(row_id).alias("first_row"))
     )
-    return first.select(
+    return cut_lineage(first.select(
         "label", (F.row_number().over(Window.orderBy("first_row")) - 1).cast("int").alias("idx")
-    )
+    ))
 
 
 def encode_labels(df: DataFrame, mapping: DataFrame, label_col: str = "label",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import cut_lineage
+
 
 def accuracy(df: DataFrame, true_col: str, pred_col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Share of rows whose prediction equals the truth (rows without truth excluded)."""
@@ -44,6 +46,7 @@ def classification_report(df: DataFrame, mapping: DataFrame, true_col: str = "la
             .otherwise(F.lit(0.0)),
         )
     )
+    per = cut_lineage(per)  # one row per class, read by the class rows and the summary rows
     classes = per.select(
         F.col("label").alias("class"), "precision", "recall", "f1_score",
         F.col("support").cast("long").alias("support"),

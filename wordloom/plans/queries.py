@@ -514,7 +514,8 @@ def _final_parts(spark: SparkSession, sf_dir: str):
     toks = _comment_tokens(spark, sf_dir)
     stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
     sizes = enc.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
-    return n, toks, metrics, stats, sizes
+    # one-row tables, read by several scalar subqueries: materialise once
+    return n, toks, cut_lineage(metrics), cut_lineage(stats), cut_lineage(sizes)
 
 
 @query
