@@ -7,10 +7,11 @@ Plan shape, per call::
     vocabulary --cascade--> word map (hits only)                  broadcast dictionary joins
     word map --checkpoint + count--> size gate                    broadcast, or salted shuffle join
     tokens LEFT JOIN word map --> out_word                        narrow when broadcast
-    groupBy(row_id) collect_list(pos, out_word) --> text          1 shuffle (partial agg per doc)
+    changed tokens + position-0 token --groupBy(row_id)--> text   per-row map of replacements
 
 Big text columns are never copied per token: they ride along on the token at
-position 0 only and are picked up again by the regroup.
+position 0 only and are picked up again by the regroup, which rebuilds each
+text from its own token array and the map of replaced positions.
 """
 
 from __future__ import annotations
@@ -118,32 +119,51 @@ class Normalizer:
         """all columns kept, ``text_col`` normalised, ``<text>_original`` last,
         rows whose normalised text is blank removed (P1, F11, P2)."""
         others = [c for c in df.columns if c != row_id]
-        if keep_original:
-            df = df.withColumn(f"{text_col}_original", F.col(text_col))
-            others = others + [f"{text_col}_original"]
         df = spread_by(df, row_id)
-        toks = tokenize(df, text_col, keys=(row_id,), carry=tuple(c for c in others if c != text_col))
+        toks = tokenize(df, text_col, keys=(row_id,), carry=tuple(others))
         ann = self.annotate(toks)
-        return regroup(ann, row_id, text_col, [c for c in df.columns if c != row_id])
+        original = f"{text_col}_original" if keep_original else None
+        return regroup(ann, row_id, text_col, others, original_col=original)
+
+
+HIT_STAGES = ("exact", "fuzzy", "stretch")
 
 
 def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
-            keys: tuple[str, ...] = ()) -> DataFrame:
-    """rejoin normalised words in position order with one blank.
+            keys: tuple[str, ...] = (), original_col: str | None = None) -> DataFrame:
+    """F5 + F11: the normalised text of every row, words joined by one blank.
+
+    Only tokens that changed (dictionary hits) are aggregated, as a
+    ``position -> replacement`` map, together with the row's position-0 token
+    that carries the source text and the other columns.  The text is rebuilt
+    from its own token array with the replacements applied, so the per-row
+    aggregate (and, for large inputs, its shuffle) moves one row per text plus
+    the few changed words instead of every token.
 
     ``keys`` are per-token columns that depend on the row (grouped alongside
     ``row_id``, so a partitioning by ``row_id`` still serves the grouping);
-    other columns of ``order`` come from the position-0 carry struct.
+    other columns of ``order`` come from the carry struct, which must hold
+    ``text_col``.
     """
-    parts = F.array_sort(F.collect_list(F.struct("pos", "out_word")))
-    aggs = [F.array_join(F.transform(parts, lambda x: x["out_word"]), " ").alias(text_col)]
-    carried = "_carry" in annotated.columns
-    if carried:
-        aggs.append(F.first("_carry", ignorenulls=True).alias("_carry"))
-    g = annotated.groupBy(row_id, *keys).agg(*aggs).filter(~tx.is_blank(F.col(text_col)))
+    is_hit = F.col("stage").isin(*HIT_STAGES)
+    rows = annotated.filter(is_hit | (F.col("pos") == 0))
+    g = rows.groupBy(row_id, *keys).agg(
+        F.map_from_entries(F.collect_list(F.when(is_hit, F.struct("pos", "out_word")))).alias("_changes"),
+        F.first("_carry", ignorenulls=True).alias("_carry"),
+    )
+    words = tx.split_words(F.col(f"_carry.{text_col}"))
+    text = F.array_join(
+        F.transform(words, lambda w, i: F.coalesce(F.try_element_at(F.col("_changes"), i), w)), " "
+    )
+    g = g.withColumn("_text", text).filter(~tx.is_blank(F.col("_text")))
     cols = [F.col(row_id)]
     for c in order:
-        cols.append(F.col(c) if c == text_col or c in keys else F.col(f"_carry.{c}").alias(c))
+        if c == text_col:
+            cols.append(F.col("_text").alias(text_col))
+        else:
+            cols.append(F.col(c) if c in keys else F.col(f"_carry.{c}").alias(c))
+    if original_col:
+        cols.append(F.col(f"_carry.{text_col}").alias(original_col))
     return g.select(*cols)
 
 
