@@ -202,7 +202,10 @@ def with_base(select: str, comments: str | None = None) -> str:
 
 
 SELECTS: dict[str, str] = {
-    "dictionary_merged": "SELECT ord, key, value FROM dict0",
+    "dictionary_merged": """
+        SELECT d.ord, d.key, d.value, coalesce(h.n_tokens, 0) AS n_tokens
+        FROM dict0 d LEFT JOIN (SELECT match_key, CAST(count(*) AS BIGINT) AS n_tokens FROM ann
+                                WHERE hit IS NOT NULL GROUP BY match_key) h ON h.match_key = d.key""",
     "tokens": "SELECT row_id, pos, word FROM toks",
     "clean_words": f"SELECT row_id, pos, word, {clean('word')} AS clean FROM toks",
     "case_pattern": f"SELECT word, {pattern('word')} AS pattern FROM (SELECT DISTINCT word FROM toks)",
@@ -359,9 +362,11 @@ res AS (
   FROM (SELECT DISTINCT tbl FROM cols) tb
   LEFT JOIN t1 ON t1.tbl = tb.tbl LEFT JOIN l1 ON l1.tbl = tb.tbl
   LEFT JOIN fs ON fs.tbl = tb.tbl LEFT JOIN fn ON fn.tbl = tb.tbl)
-SELECT table_name, text_col, label_col FROM res
-WHERE by_name OR (text_col IS NOT NULL AND label_col IS NOT NULL)
-"""
+SELECT r.table_name, r.text_col, r.label_col, n.n_rows FROM res r
+JOIN (__COUNTS__) n ON n.table_name = r.table_name
+WHERE r.by_name OR (r.text_col IS NOT NULL AND r.label_col IS NOT NULL)
+""".replace("__COUNTS__", " UNION ALL ".join(
+    f"SELECT {lit(t)} AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for t in DRIVER_TABLES))
 
 VIDEO_SQL_SELECT = """
 SELECT c.url, c.video_id, c.turn, c.role, r.text, c.text AS text_original

@@ -58,8 +58,16 @@ def _word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources ----------------------------------------------------------------
 @query
 def dictionary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5 + J5: default table, domain table on top; last value, first position."""
-    return merge_entries(default_entries(spark, custom=True)).select("ord", "key", "value")
+    """S5 + J5: default table, domain table on top (last value, first position),
+    with the number of comment tokens each key answered (any stage)."""
+    merged = merge_entries(default_entries(spark, custom=True)).select("ord", "key", "value")
+    hits = (
+        _annotated(spark, sf_dir).filter(F.col("stage").isin("exact", "fuzzy", "stretch"))
+        .groupBy(F.col("match_key").alias("key")).agg(F.count(F.lit(1)).cast("long").alias("n_tokens"))
+    )
+    return merged.join(hits, "key", "left").select(
+        "ord", "key", "value", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens")
+    )
 
 
 # -- scalar functions -----------------------------------------------------------
@@ -341,15 +349,23 @@ def split_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: text / label column roles resolved for every driver table's schema."""
-    rows = []
+    """S3: text / label column roles resolved for every driver table's schema,
+    with the table's row count."""
+    parts = []
     for name in DRIVER_TABLES:
+        t = inputs.table(spark, sf_dir, name)
         try:
-            text_col, label_col = cs.resolve_columns(inputs.table(spark, sf_dir, name).schema)
+            text_col, label_col = cs.resolve_columns(t.schema)
         except ValueError:
             continue
-        rows.append((name, text_col, label_col))
-    return spark.createDataFrame(rows, "table_name string, text_col string, label_col string")
+        parts.append(t.agg(
+            F.lit(name).alias("table_name"), F.lit(text_col).alias("text_col"), F.lit(label_col).alias("label_col"),
+            F.count(F.lit(1)).cast("long").alias("n_rows"),
+        ))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query
