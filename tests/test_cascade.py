@@ -55,6 +55,24 @@ def test_word_map_matches_python_model(spark, dictionary):
     assert min(stages.values()) > 0, stages  # every stage exercised
 
 
+def test_deletion_strategy_equals_bucket_strategy(spark, dictionary):
+    words = _damaged_words(list(_table()), n=1500, seed=5) + ["thankyou", "veralevel", "mind-blowing", "a", "ab"]
+    vocab = spark.createDataFrame([(w,) for w in words], "clean string")
+    cols = ["clean", "stage", "match_key", "similarity"]
+    a = sorted(tuple(r) for r in word_map(vocab, dictionary, strategy="bucket").select(cols).collect())
+    b = sorted(tuple(r) for r in word_map(vocab, dictionary, strategy="deletion").select(cols).collect())
+    assert a == b
+
+
+def test_deletion_variants(spark):
+    from wordloom.operators.match import deletion_variants
+
+    df = spark.createDataFrame([("abc",), ("aab",)], "s string")
+    got = [sorted(r[0]) for r in df.select(deletion_variants(F.col("s"), F.lit(2), 2)).collect()]
+    assert got[0] == sorted({"abc", "bc", "ac", "ab", "a", "b", "c"})
+    assert got[1] == sorted({"aab", "ab", "aa", "a", "b"})
+
+
 def test_single_pass_equals_staged_form(spark, dictionary):
     words = _damaged_words(list(_table()), n=800, seed=11)
     vocab = spark.createDataFrame([(w,) for w in words], "clean string")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
@@ -107,18 +107,37 @@ def stretch_matches(words: DataFrame, dictionary: Dictionary) -> DataFrame:
     )
 
 
-def word_map(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = MatchParams()) -> DataFrame:
-    """The cascade exact -> fuzzy -> stretch over distinct words, in one pass; hits only.
+def deletion_budget(length: Column, params: MatchParams) -> Column:
+    """Most deletions a string of this length can need for a fuzzy hit.
 
-    ``vocab`` has one column ``clean`` with distinct, non-empty cleaned words.
-    An exact key is in the word's own length bucket with distance 0 and
-    similarity 1.0, so the best gated candidate is the exact key when there is
-    one and the best fuzzy key otherwise: exact and fuzzy are one left join on
-    the length bucket plus ``max_by`` per word.  Stretch is one more left join
-    on the collapsed form, used only where no candidate passed.  The
-    vocabulary is read once; both joins keep its partitioning by word, so the
-    per-word aggregate needs no further exchange.
+    A pair at distance ``d`` has ``max(len) <= len + d``, so it can pass the
+    gate only if ``1 - d / (len + d) >= t`` (same double formula, monotone in
+    ``d``): the budget is the largest such ``d <= k`` (0 = exact only).
     """
+    t = F.lit(float(params.levenshtein_threshold))
+    budget = F.lit(0)
+    for d in range(1, params.fuzzy_threshold + 1):
+        best = F.lit(1.0) - F.lit(float(d)) / (length + F.lit(d)).cast("double")
+        budget = F.when((best >= t) & (best > F.lit(0.0)), F.lit(d)).otherwise(budget)
+    return budget
+
+
+def deletion_variants(s: Column, budget: Column, k: int) -> Column:
+    """Distinct strings obtained from ``s`` by deleting 0..``budget`` characters."""
+    def drop_each(t: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1))  # sequence(1, 0) would count down
+        return F.transform(F.sequence(F.lit(1), n),
+                           lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.lit(1 << 30))))
+
+    levels, cur = [F.array(s)], F.array(s)
+    for d in range(1, k + 1):
+        cur = F.flatten(F.transform(cur, drop_each))
+        levels.append(F.when(budget >= d, cur).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*levels))
+
+
+def _bucket_candidates(w: DataFrame, dictionary: Dictionary, params: MatchParams) -> DataFrame:
+    """(clean, b_key, b_ord) for every key in the word's length window (pruned losslessly)."""
     k = params.fuzzy_threshold
     t = F.lit(float(params.levenshtein_threshold))
     klen = F.length("key")
@@ -133,19 +152,77 @@ def word_map(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = Mat
     best_sim = F.lit(1.0) - min_d.cast("double") / F.greatest("wlen", "klen").cast("double")
     rows = rows.withColumn("b_fuzzy", (best_sim >= t) & (best_sim > F.lit(0.0)))
     bucket = dictionary.side(rows.filter(F.col("b_fuzzy") | (F.col("wlen") == F.col("klen"))))
-    w = vocab.select("clean", F.length("clean").alias("clen"))
-    dist = F.levenshtein(F.col("clean"), F.col("b_key"), k)
-    sim = tx.similarity(F.col("clean"), F.col("b_key"), dist)
-    passes = (sim >= t) & (sim > F.lit(0.0))
-    gate = (F.col("clen") == F.col("wlen")) & (
-        (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & (dist >= 0) & passes)
+    ww = w.select("clean", F.length("clean").alias("clen"))
+    on = (F.col("clen") == F.col("wlen")) & (
+        (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & passes_gate(params))
     )
-    cand = w.join(bucket, gate, "left").select(
-        "clean", "b_key", "b_ord", F.when(F.col("b_key").isNotNull(), sim).alias("sim")
+    return ww.join(bucket, on, "left").select("clean", "b_key", "b_ord")
+
+
+def _deletion_candidates(w: DataFrame, dictionary: Dictionary, params: MatchParams) -> DataFrame:
+    """(clean, b_key, b_ord) for every key sharing a deletion variant with the word.
+
+    Lossless: words within distance ``d`` reach a common string with at most
+    ``d`` deletions each, and ``d`` never exceeds either side's budget.  Keys'
+    variants are a dictionary-sized table (broadcast under the dictionary's
+    bound); each word costs a handful of hash lookups instead of one distance
+    per key in its length window, and the work no longer grows with the
+    dictionary.
+    """
+    k = params.fuzzy_threshold
+    kv = dictionary.side(dictionary.df.select(
+        F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
+        F.explode(deletion_variants(F.col("key"), deletion_budget(F.length("key"), params), k)).alias("v"),
+    ))
+    wv = w.select("clean", F.explode(
+        deletion_variants(F.col("clean"), deletion_budget(F.length("clean"), params), k)).alias("w_v"))
+    on = (F.col("w_v") == F.col("v")) & ((F.col("clean") == F.col("b_key")) | passes_gate(params))
+    return wv.join(kv, on, "left").select("clean", "b_key", "b_ord")
+
+
+def passes_gate(params: MatchParams) -> Column:
+    """The fuzzy gate on a (clean, b_key) pair, evaluated inside the join so
+    pairs that fail never leave it: distance <= k, similarity >= t (and > 0)."""
+    t = F.lit(float(params.levenshtein_threshold))
+    dist = F.levenshtein(F.col("clean"), F.col("b_key"), params.fuzzy_threshold)
+    sim = tx.similarity(F.col("clean"), F.col("b_key"), dist)
+    return (dist >= 0) & (sim >= t) & (sim > F.lit(0.0))
+
+
+# Dictionaries up to this many keys use length buckets; larger ones deletion variants.
+BUCKET_MAX_KEYS = 2_000
+
+
+def word_map(vocab: DataFrame, dictionary: Dictionary, params: MatchParams = MatchParams(),
+             strategy: str = "auto") -> DataFrame:
+    """The cascade exact -> fuzzy -> stretch over distinct words, in one pass; hits only.
+
+    ``vocab`` has one column ``clean`` with distinct, non-empty cleaned words.
+    Candidates come from ``strategy``: "bucket" (keys in the word's length
+    window; cheapest for small dictionaries) or "deletion" (shared deletion
+    variants; cost independent of dictionary size); "auto" picks by the
+    dictionary's key bound.  Both are exact supersets of the pairs that can
+    pass the gate.  An exact key has distance 0 and
+    similarity 1.0, so the best gated candidate is the exact key when there is
+    one and the best fuzzy key otherwise: exact and fuzzy are one left join
+    plus ``max_by`` per word.  Stretch is one more join on the collapsed form,
+    used only where no candidate passed.  The vocabulary is read once; the
+    joins keep its partitioning by word, so the per-word aggregate needs no
+    further exchange.
+    """
+    k = params.fuzzy_threshold
+    if strategy == "auto":
+        strategy = "bucket" if dictionary.max_keys <= BUCKET_MAX_KEYS else "deletion"
+    make = _deletion_candidates if strategy == "deletion" else _bucket_candidates
+    # left join: every word once with no key, or once per key that passed the gate
+    cand = make(vocab.select("clean"), dictionary, params)
+    cand = cand.withColumn(
+        "sim", F.when(F.col("b_key").isNotNull(),
+                      tx.similarity(F.col("clean"), F.col("b_key"), F.levenshtein(F.col("clean"), F.col("b_key"), k)))
     )
     best = cand.groupBy("clean").agg(
-        F.max_by(F.struct(F.col("b_key").alias("key"), F.col("sim")), F.struct(F.col("sim"), -F.col("b_ord")))
-        .alias("best")
+        F.max_by(F.struct(F.col("b_key").alias("key"), F.col("sim")),
+                 F.when(F.col("b_key").isNotNull(), F.struct(F.col("sim"), -F.col("b_ord")))).alias("best")
     )
     # stretch candidates: only where no key passed the gate
     collapsed = F.when(

@@ -28,7 +28,7 @@ from wordloom.session import cut_lineage
 from wordloom.sources.dictionary import Dictionary
 
 # Size gate for the token-side join: word maps up to this many rows are broadcast.
-WORD_MAP_BROADCAST_ROWS = 2_000_000
+WORD_MAP_BROADCAST_ROWS = 1_000_000
 # Salt buckets for the shuffle join used beyond the gate (hot words spread out).
 SALT_BUCKETS = 64
 
@@ -72,10 +72,11 @@ class Normalizer:
     params: MatchParams = field(default_factory=MatchParams)
     broadcast_rows: int = WORD_MAP_BROADCAST_ROWS
     salt_buckets: int = SALT_BUCKETS
+    strategy: str = "auto"  # fuzzy candidates: "bucket", "deletion" or "auto"
 
     # -- word level -------------------------------------------------------
     def word_map(self, tokens_df: DataFrame) -> DataFrame:
-        return word_map(vocabulary(tokens_df), self.dictionary, self.params)
+        return word_map(vocabulary(tokens_df), self.dictionary, self.params, self.strategy)
 
     def materialize(self, wm: DataFrame) -> tuple[DataFrame, bool]:
         """Checkpoint the word map (lineage cut) and decide broadcast by its row count."""
