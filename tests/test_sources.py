@@ -44,3 +44,16 @@ def test_video_ids(spark):
                                  "video_id string, turn long, text string")
     got = sorted((r.url, r.turn) for r in comments_for_videos(req, feed).collect())
     assert got == [("https://www.youtube.com/watch?v=abc&t=3", 0), ("https://www.youtube.com/watch?v=abc&t=3", 1)]
+
+
+def test_salted_request_join_equals_broadcast(spark, monkeypatch):
+    from wordloom.sources import video
+
+    req = spark.createDataFrame([(f"https://www.youtube.com/watch?v={v}",) for v in ("a", "b", "zz")], "url string")
+    feed = spark.createDataFrame([("a", t, f"c{t}") for t in range(50)] + [("b", 0, "x"), ("q", 1, "y")],
+                                 "video_id string, turn long, text string")
+    cols = ["url", "video_id", "turn", "text"]
+    broadcast = sorted(tuple(r) for r in video.comments_for_videos(req, feed).select(cols).collect())
+    monkeypatch.setattr(video, "MAX_BROADCAST_REQUESTS", 0)
+    salted = sorted(tuple(r) for r in video.comments_for_videos(req, feed).select(cols).collect())
+    assert salted == broadcast and len(salted) == 51

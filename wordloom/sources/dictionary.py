@@ -134,9 +134,23 @@ def default_entries(spark: SparkSession, custom: bool = True) -> DataFrame:
     return entries
 
 
+_LOADED: dict[tuple, Dictionary] = {}
+
+
 def load_dictionary(spark: SparkSession, custom: bool = True,
                     extra_paths: tuple[str, ...] = ()) -> Dictionary:
-    """The default table, the domain table on top (``custom``), then user tables."""
+    """The default table, the domain table on top (``custom``), then user tables.
+
+    Loaded (merged, case forms added, checkpointed) once per application and
+    set of tables; later calls reuse the checkpointed table.
+    """
+    key = (spark.sparkContext.applicationId, custom, tuple(extra_paths))
+    if key not in _LOADED:
+        _LOADED[key] = _load(spark, custom, tuple(extra_paths))
+    return _LOADED[key]
+
+
+def _load(spark: SparkSession, custom: bool, extra_paths: tuple[str, ...]) -> Dictionary:
     entries = default_entries(spark, custom)
     bound = len(read_fixed_table(DEFAULT_TABLE)) + (len(read_fixed_table(CUSTOM_TABLE)) if custom else 0)
     for i, path in enumerate(extra_paths):

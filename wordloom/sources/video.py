@@ -18,6 +18,8 @@ def video_id(url: Column) -> Column:
 
 # Request tables up to this many rows are broadcast (after a count).
 MAX_BROADCAST_REQUESTS = 1_000_000
+# Beyond it: salts per video, so one video's comments spread over this many tasks.
+SALT_BUCKETS = 64
 
 
 def comments_for_videos(requests: DataFrame, feed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -26,9 +28,14 @@ def comments_for_videos(requests: DataFrame, feed: DataFrame, url_col: str = "ur
     The request table is counted first: under the bound it is broadcast, so the
     comment feed is streamed past it without a shuffle -- a video holding a
     third of all comments then costs nothing extra.  Beyond the bound it is a
-    shuffle join (AQE splits skewed feed partitions).
+    salted shuffle join: each comment gets a salt from a hash of its row, each
+    request is repeated once per salt, so a hot video is spread over
+    ``SALT_BUCKETS`` tasks instead of one.
     """
     r = requests.select(F.col(url_col).alias("url"), video_id(F.col(url_col)).alias("video_id"))
     if r.count() <= MAX_BROADCAST_REQUESTS:
-        r = F.broadcast(r)
-    return feed.join(r, "video_id", "inner")
+        return feed.join(F.broadcast(r), "video_id", "inner")
+    n = SALT_BUCKETS
+    salted_feed = feed.withColumn("_salt", F.pmod(F.xxhash64(*feed.columns), F.lit(n)))
+    salted_req = r.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return salted_feed.join(salted_req, ["video_id", "_salt"], "inner").drop("_salt")
