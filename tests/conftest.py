@@ -1,12 +1,11 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wordloom.session import local_session  # noqa: E402
+from wordloom.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 SMALL_SF = "/root/testdata/sf0.001"
 MID_SF = "/root/testdata/sf0.01"
@@ -15,7 +14,7 @@ MID_SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("4", shuffle_partitions=8, app="wordloom-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-test-ckpt-", dir="/tmp"))
+    ensure_checkpoint_dir(s)  # the session's spark.checkpoint.dir, or a scratch folder if unset
     yield s
     s.stop()
 
