@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.sources.dictionary import Dictionary
+from wordloom.session import cut_lineage
+from wordloom.sources.dictionary import MAX_BROADCAST_ROWS, Dictionary
 
 VALUE_COLS = ["value", "value_upper", "value_title", "value_lower"]
 WORD_MAP_COLS = ["clean", "stage", "match_key", "ord", *VALUE_COLS, "similarity"]
@@ -65,7 +66,8 @@ def fuzzy_candidates(words: DataFrame, dictionary: Dictionary, params: MatchPara
         dictionary.df.select(
             "key", "ord", *VALUE_COLS,
             F.explode(F.sequence(F.length("key") - k, F.length("key") + k)).alias("wlen"),
-        )
+        ),
+        2 * k + 1,
     )
     w = words.select("clean", F.length("clean").alias("clen"))
     pairs = w.join(bucket, w["clen"] == bucket["wlen"], "inner")
@@ -151,7 +153,7 @@ def _bucket_candidates(w: DataFrame, dictionary: Dictionary, params: MatchParams
     min_d = F.greatest(F.abs(F.col("wlen") - F.col("klen")), F.lit(1))
     best_sim = F.lit(1.0) - min_d.cast("double") / F.greatest("wlen", "klen").cast("double")
     rows = rows.withColumn("b_fuzzy", (best_sim >= t) & (best_sim > F.lit(0.0)))
-    bucket = dictionary.side(rows.filter(F.col("b_fuzzy") | (F.col("wlen") == F.col("klen"))))
+    bucket = dictionary.side(rows.filter(F.col("b_fuzzy") | (F.col("wlen") == F.col("klen"))), 2 * k + 1)
     ww = w.select("clean", F.length("clean").alias("clen"))
     on = (F.col("clen") == F.col("wlen")) & (
         (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & passes_gate(params))
@@ -170,10 +172,14 @@ def _deletion_candidates(w: DataFrame, dictionary: Dictionary, params: MatchPara
     dictionary.
     """
     k = params.fuzzy_threshold
-    kv = dictionary.side(dictionary.df.select(
+    kv = dictionary.df.select(
         F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
         F.explode(deletion_variants(F.col("key"), deletion_budget(F.length("key"), params), k)).alias("v"),
-    ))
+    )
+    # the variant table's size depends on key lengths: count it (dictionary-sized) before broadcasting
+    kv = cut_lineage(kv)
+    if kv.count() <= MAX_BROADCAST_ROWS:
+        kv = F.broadcast(kv)
     wv = w.select("clean", F.explode(
         deletion_variants(F.col("clean"), deletion_budget(F.length("clean"), params), k)).alias("w_v"))
     on = (F.col("w_v") == F.col("v")) & ((F.col("clean") == F.col("b_key")) | passes_gate(params))

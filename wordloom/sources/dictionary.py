@@ -36,8 +36,8 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("value", T.StringType(), False),
 ])
 
-# Broadcast bound for dictionary-side joins (keys); larger tables use shuffle joins.
-MAX_BROADCAST_KEYS = 2_000_000
+# Broadcast bound (rows) for dictionary-side join tables; larger ones use shuffle joins.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -54,12 +54,13 @@ class Dictionary:
 
     @property
     def broadcastable(self) -> bool:
-        return self.max_keys <= MAX_BROADCAST_KEYS
+        return self.max_keys <= MAX_BROADCAST_ROWS
 
-    def side(self, df: DataFrame | None = None) -> DataFrame:
-        """The dictionary (or a frame derived from it) as a join side, broadcast if small."""
+    def side(self, df: DataFrame | None = None, rows_per_key: int = 1) -> DataFrame:
+        """The dictionary (or a frame derived from it with at most ``rows_per_key``
+        rows per key) as a join side: broadcast when its bound is under the limit."""
         side = self.df if df is None else df
-        return F.broadcast(side) if self.broadcastable else side
+        return F.broadcast(side) if self.max_keys * rows_per_key <= MAX_BROADCAST_ROWS else side
 
 
 def read_fixed_table(path: str) -> list[tuple[str, str]]:
