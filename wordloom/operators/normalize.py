@@ -76,7 +76,20 @@ class Normalizer:
 
     # -- word level -------------------------------------------------------
     def word_map(self, tokens_df: DataFrame) -> DataFrame:
-        return word_map(vocabulary(tokens_df), self.dictionary, self.params, self.strategy)
+        return word_map(self.candidate_vocabulary(tokens_df), self.dictionary, self.params, self.strategy)
+
+    def candidate_vocabulary(self, tokens_df: DataFrame) -> DataFrame:
+        """Distinct cleaned words that could hit at all (lossless prune before the shuffle).
+
+        Exact and fuzzy hits need a length within ``k`` of some key's length;
+        stretch hits need a run of three equal characters.  Other words can
+        only be "none", so they are dropped before the distinct.
+        """
+        lo, hi = self.dictionary.key_lengths
+        k = self.params.fuzzy_threshold
+        n = F.length("clean")
+        possible = n.between(max(lo - k, 0), hi + k) | F.col("clean").rlike(tx.STRETCH_RUN)
+        return tokens_df.filter(counted() & possible).select("clean").distinct()
 
     def materialize(self, wm: DataFrame) -> tuple[DataFrame, bool]:
         """Checkpoint the word map (lineage cut) and decide broadcast by its row count."""

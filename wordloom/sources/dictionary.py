@@ -47,10 +47,13 @@ class Dictionary:
     ``df`` columns: ord long, key, value, value_upper, value_title, value_lower.
     ``max_keys`` is the number of input entries (known without a job for the
     packaged tables, counted once for user tables); it gates broadcasting.
+    ``key_lengths`` is the (shortest, longest) key length, for lossless
+    pruning of words that cannot reach any key.
     """
 
     df: DataFrame
     max_keys: int
+    key_lengths: tuple[int, int] = (0, 1 << 30)
 
     @property
     def broadcastable(self) -> bool:
@@ -164,4 +167,6 @@ def _load(spark: SparkSession, custom: bool, extra_paths: tuple[str, ...]) -> Di
 def dictionary_from_entries(entries: DataFrame, max_keys: int) -> Dictionary:
     """Merge, add case forms, and checkpoint once: queries then read a plain
     table instead of re-running the merge and the Python case-form UDF."""
-    return Dictionary(cut_lineage(with_case_forms(merge_entries(entries))), max_keys)
+    df = cut_lineage(with_case_forms(merge_entries(entries)))
+    lo, hi = df.agg(F.min(F.length("key")), F.max(F.length("key"))).first()  # two numbers
+    return Dictionary(df, max_keys, (int(lo or 0), int(hi or 0)))
