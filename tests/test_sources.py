@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.sources import csv_splits as cs

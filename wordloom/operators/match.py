@@ -5,8 +5,9 @@ reference), never per token:
 
 * exact   -- equi join on ``clean == key``;
 * fuzzy   -- theta join ``|len diff| <= k``, ``distance <= k``,
-  ``similarity >= t``, turned into an equi join on an exploded length bucket of
-  the dictionary, best candidate per word by ``max_by`` (highest similarity,
+  ``similarity >= t``, turned into an equi join: on an exploded length bucket
+  of the dictionary (small dictionaries) or on shared deletion variants
+  (large ones); best candidate per word by ``max_by`` (highest similarity,
   then earliest dictionary position);
 * stretch -- collapse letter runs of three or more to two, equi join.
 

@@ -3,7 +3,7 @@
 Plan shape, per call::
 
     texts --posexplode--> tokens (row_id, pos, word, clean)      narrow
-    tokens(counted) --distinct(clean)--> vocabulary               1 shuffle (partial agg)
+    tokens that could hit --distinct(clean)--> vocabulary         1 shuffle (partial agg)
     vocabulary --cascade--> word map (hits only)                  broadcast dictionary joins
     word map --checkpoint + count--> size gate                    broadcast, or salted shuffle join
     tokens LEFT JOIN word map --> out_word                        narrow when broadcast
@@ -32,7 +32,9 @@ WORD_MAP_BROADCAST_ROWS = 1_000_000
 # Salt buckets for the shuffle join used beyond the gate (hot words spread out).
 SALT_BUCKETS = 64
 
-STAGES = ("short", "skipped", "exact", "fuzzy", "stretch", "none")
+# Token stages: "short" (< 2 characters, untouched), "skipped" (cleans to
+# nothing, untouched), then the cascade's "exact" / "fuzzy" / "stretch", or "none".
+HIT_STAGES = ("exact", "fuzzy", "stretch")
 
 
 def tokenize(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("row_id",),
@@ -54,7 +56,7 @@ def tokenize(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("ro
     )
 
 
-def counted(tokens_df: DataFrame | None = None) -> Column:
+def counted() -> Column:
     """Tokens that reach the lookup (and the statistics)."""
     return F.col("clean").isNotNull() & (F.col("clean") != "")
 
@@ -140,8 +142,6 @@ class Normalizer:
         return regroup(ann, row_id, text_col, others, original_col=original)
 
 
-HIT_STAGES = ("exact", "fuzzy", "stretch")
-
 
 def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
             keys: tuple[str, ...] = (), original_col: str | None = None) -> DataFrame:

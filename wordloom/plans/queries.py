@@ -18,7 +18,7 @@ from wordloom.operators import stats as st
 from wordloom.operators import vocab as vc
 from wordloom.operators.layout import spread_by
 from wordloom.operators.match import MatchParams, fuzzy_candidates, oov_words
-from wordloom.operators.normalize import Normalizer, counted, tokenize, vocabulary
+from wordloom.operators.normalize import Normalizer, tokenize, vocabulary
 from wordloom.plans import inputs
 from wordloom.sources.dictionary import default_entries, load_dictionary, merge_entries
 
