@@ -165,10 +165,12 @@ def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
         F.map_from_entries(F.collect_list(F.when(is_hit, F.struct("pos", "out_word")))).alias("_changes"),
         F.first("_carry", ignorenulls=True).alias("_carry"),
     )
-    words = tx.split_words(F.col(f"_carry.{text_col}"))
-    text = F.array_join(
-        F.transform(words, lambda w, i: F.coalesce(F.try_element_at(F.col("_changes"), i), w)), " "
+    src = F.col(f"_carry.{text_col}")
+    replaced = F.array_join(
+        F.transform(tx.split_words(src), lambda w, i: F.coalesce(F.try_element_at(F.col("_changes"), i), w)), " "
     )
+    # rows without a hit only need their whitespace collapsed (one codegen'd regex, no per-word lambda)
+    text = F.when(F.size("_changes") == 0, tx.collapse_ws(src)).otherwise(replaced)
     g = g.withColumn("_text", text).filter(~tx.is_blank(F.col("_text")))
     cols = [F.col(row_id)]
     for c in order:
