@@ -29,8 +29,6 @@ from wordloom.session import cut_lineage, ensure_checkpoint_dir
 from wordloom.sources import csv_splits as cs
 from wordloom.sources.dictionary import load_dictionary
 
-MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
-
 
 def read_splits(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, str, str]:
     """All splits with a ``row_id`` in file order, plus the resolved text / label columns.
@@ -113,9 +111,9 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, min_frequency: int
     mx.classification_report(scored, mapping).write.mode("overwrite").parquet(written["classification_report"])
     mx.confusion_matrix(scored, mapping, len(labels)).write.mode("overwrite").parquet(written["confusion_matrix"])
     cs.write_processed(processed, written["processed"])
-    rp.artifact_record(spark, norm.dictionary, mapping, test_stats, cache, norm.params, MODEL_TYPE) \
+    rp.artifact_record(spark, norm.dictionary, mapping, test_stats, cache, norm.params, md.MODEL_TYPE) \
         .coalesce(1).write.mode("overwrite").json(written["artifacts"])
-    rp.final_report(spark, metrics, test_stats, sizes, norm.params, cache, MODEL_TYPE, 512) \
+    rp.final_report(spark, metrics, test_stats, sizes, norm.params, cache, md.MODEL_TYPE, 512) \
         .coalesce(1).write.mode("overwrite").json(written["report"])
     sel.model.write().overwrite().save(written["model"])
     return written

@@ -27,6 +27,10 @@ from wordloom.functions import text as tx
 from wordloom.session import cut_lineage
 
 
+# Name recorded in artifacts and reports for the fitted pipeline.
+MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
+
+
 @dataclass(frozen=True)
 class TrainParams:
     max_rounds: int = 15        # num_train_epochs

@@ -12,13 +12,13 @@ DuckDB differs from Spark in ways the SQL works around (SURVEY §5):
 
 from __future__ import annotations
 
+from wordloom.operators.model import MODEL_TYPE
 from wordloom.plans.inputs import BLANK_RESIDUE, BLANK_TEXT, NULL_RESIDUE, SNIPPETS, VIDEO_URL_PREFIX
 from wordloom.sources.csv_splits import LABEL_CANDIDATES, PANDAS_NA, TEXT_CANDIDATES
 from wordloom.sources.dictionary import CUSTOM_TABLE, DEFAULT_TABLE, read_fixed_table
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
-MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
 
 # RE2 spellings of the word rules.
 W = r"\p{L}\p{N}_"

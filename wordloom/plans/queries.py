@@ -10,17 +10,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import text as tx
+from wordloom.operators import features as fe
 from wordloom.operators import labels as lb
 from wordloom.operators import metrics as mx
+from wordloom.operators import model as md
+from wordloom.operators import report as rp
 from wordloom.operators import stats as st
 from wordloom.operators import vocab as vc
 from wordloom.operators.layout import spread_by
 from wordloom.operators.match import MatchParams, fuzzy_candidates, oov_words
 from wordloom.operators.normalize import Normalizer, tokenize, vocabulary
 from wordloom.plans import inputs
+from wordloom.session import cut_lineage
+from wordloom.sources import csv_splits as cs
 from wordloom.sources.dictionary import default_entries, load_dictionary, merge_entries
+from wordloom.sources.video import comments_for_videos
+from wordloom.streaming import stream as sm
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -310,10 +318,6 @@ def registry() -> dict[str, Query]:
 
 
 # -- sources and sinks ------------------------------------------------------------
-from wordloom.operators import report as rp  # noqa: E402
-from wordloom.sources import csv_splits as cs  # noqa: E402
-from wordloom.sources.video import comments_for_videos  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
 LABELLED_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()),
@@ -387,7 +391,7 @@ def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
     rec = rp.artifact_record(
         spark, n.dictionary, _mapping(spark, sf_dir), stats,
-        st.fuzzy_cache_size(toks, n.dictionary), n.params, MODEL_TYPE,
+        st.fuzzy_cache_size(toks, n.dictionary), n.params, md.MODEL_TYPE,
     )
     folder = cs.scratch_folder(spark, "artifacts")
     rec.coalesce(1).write.mode("overwrite").json(folder)
@@ -404,9 +408,6 @@ def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MODEL_TYPE = "spark-ml-tfidf-logistic-regression"
-
-
 @query
 def comments_for_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every requested video's comments, normalised (blank comments dropped)."""
@@ -435,9 +436,6 @@ def fuzzy_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- encoding and model ----------------------------------------------------------
-from wordloom.operators import features as fe  # noqa: E402
-from wordloom.operators import model as md  # noqa: E402
-from wordloom.session import cut_lineage  # noqa: E402
 
 ENCODER = fe.EncoderParams()
 TRAIN = md.TrainParams()
@@ -559,7 +557,7 @@ def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final report record written as JSON and read back."""
     n, toks, metrics, stats, sizes = _final_parts(spark, sf_dir)
     rec = rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
-                          MODEL_TYPE, ENCODER.max_length)
+                          md.MODEL_TYPE, ENCODER.max_length)
     folder = cs.scratch_folder(spark, "report")
     rec.coalesce(1).write.mode("overwrite").json(folder)
     return spark.read.schema(rec.schema).json(folder)
@@ -575,7 +573,6 @@ def probability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- streaming ---------------------------------------------------------------------
-from wordloom.streaming import stream as sm  # noqa: E402
 
 
 def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
