@@ -315,8 +315,11 @@ comments AS (
 
 SELECTS.update({
     "scan_csv_splits": f"SELECT row_id, split, {na('text')} AS text, {na('label')} AS label FROM labels_in",
-    "split_profile": ("SELECT split, CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, min(row_id) AS first_row_id "
-                      "FROM labels_in GROUP BY split"),
+    "split_profile": """
+        SELECT split, CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, min(row_id) AS first_row_id,
+               min(row_id) FILTER (WHERE rk = 2) AS second_row_id
+        FROM (SELECT split, row_id, row_number() OVER (PARTITION BY split ORDER BY row_id) AS rk FROM labels_in)
+        GROUP BY split""",
     "processed_roundtrip": (f"SELECT row_id, split, {na('text')} AS text, {na('lang')} AS lang, "
                             f"{na('source')} AS source, {na('text_original')} AS text_original FROM processed"),
     "artifact_record": f"""

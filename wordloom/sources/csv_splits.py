@@ -103,9 +103,20 @@ def resolve_columns(schema: T.StructType) -> tuple[str, str]:
 
 
 def split_profile(df: DataFrame, split_col: str = "split", row_id: str = "row_id") -> DataFrame:
-    """Rows per split, column count, first row id."""
-    return df.groupBy(split_col).agg(
+    """Rows per split, column count, first two row ids (``head(2)``).
+
+    The two smallest ids per split come from two aggregations (the minimum,
+    then the minimum above it, joined to the per-split table, one row per
+    split) -- never by collecting a split's ids into one group.
+    """
+    first = df.groupBy(split_col).agg(
         F.count(F.lit(1)).cast("long").alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.min(row_id).alias("first_row_id"),
     )
+    f = F.broadcast(first.select(F.col(split_col).alias("_s"), F.col("first_row_id").alias("_first")))
+    second = (
+        df.join(f, F.col(split_col) == F.col("_s"), "inner").filter(F.col(row_id) > F.col("_first"))
+        .groupBy(split_col).agg(F.min(row_id).alias("second_row_id"))
+    )
+    return first.join(second, split_col, "left")
