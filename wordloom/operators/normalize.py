@@ -35,6 +35,7 @@ SALT_BUCKETS = 64
 # Token stages: "short" (< 2 characters, untouched), "skipped" (cleans to
 # nothing, untouched), then the cascade's "exact" / "fuzzy" / "stretch", or "none".
 HIT_STAGES = ("exact", "fuzzy", "stretch")
+FORM_COLS = ("clean", "stage", "match_key", "ord", "value", "similarity", "out_word")
 
 
 def tokenize(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("row_id",),
@@ -78,52 +79,79 @@ class Normalizer:
 
     # -- word level -------------------------------------------------------
     def word_map(self, tokens_df: DataFrame) -> DataFrame:
-        return word_map(self.candidate_vocabulary(tokens_df), self.dictionary, self.params, self.strategy)
-
-    def candidate_vocabulary(self, tokens_df: DataFrame) -> DataFrame:
-        """Distinct cleaned words that could hit at all (lossless prune before the shuffle).
-
-        Exact and fuzzy hits need a length within ``k`` of some key's length;
-        stretch hits need a run of three equal characters.  Other words can
-        only be "none", so they are dropped before the distinct.
+        """J6 over the tokens' distinct cleaned words that could hit (hits only)."""
+        return word_map(self._candidates(tokens_df), self.dictionary, self.params, self.strategy)
+
+    def materialize(self, table: DataFrame) -> tuple[DataFrame, bool]:
+        """Checkpoint a lookup table (lineage cut) and decide broadcast by its row count."""
+        table = cut_lineage(table)
+        return table, table.count() <= self.broadcast_rows
+
+    def word_forms(self, tokens_df: DataFrame) -> DataFrame:
+        """The answer for every distinct raw token that is a hit or cleans to nothing.
+
+        A token's stage and output depend on the raw token alone, so the work is
+        done once per distinct raw token (two characters or more): clean it,
+        look the cleaned word up in the word map, and build the output form
+        (case pattern, kept punctuation).  Columns: word, clean, stage,
+        match_key, ord, value, similarity, out_word.  Tokens absent from it are
+        "short" (under two characters) or "none", and stay as they are.
         """
+        raw = tokens_df.filter(F.length("word") >= 2).select("word").distinct()
+        raw = cut_lineage(raw.withColumn("clean", tx.clean_word(F.col("word"))))
+        wm, small = self.materialize(word_map(self._candidates(raw), self.dictionary, self.params, self.strategy))
+        side = wm.select(F.col("clean").alias("_wclean"), "stage", "match_key", "ord", *VALUE_COLS, "similarity")
+        joined = raw.join(F.broadcast(side) if small else side, F.col("clean") == F.col("_wclean"), "left")
+        pattern = tx.case_pattern(F.col("word"))
+        value = tx.apply_case(
+            pattern, F.col("value"), F.col("value_upper"), F.col("value_title"), F.col("value_lower"),
+            with_lower=F.col("stage") != "stretch",
+        )
+        return joined.filter(F.col("stage").isNotNull() | (F.col("clean") == "")).select(
+            "word", "clean",
+            F.when(F.col("clean") == "", F.lit("skipped")).otherwise(F.col("stage")).alias("stage"),
+            "match_key", "ord", "value", "similarity",
+            F.when(F.col("stage").isNotNull(), tx.replace_core(F.col("word"), value))
+            .otherwise(F.col("word")).alias("out_word"),
+        )
+
+    def _candidates(self, words: DataFrame) -> DataFrame:
+        """Distinct cleaned words that could hit at all (lossless prune): exact and
+        fuzzy hits need a length within ``k`` of some key's length, stretch hits a
+        run of three equal characters; other words can only be "none"."""
         lo, hi = self.dictionary.key_lengths
         k = self.params.fuzzy_threshold
         n = F.length("clean")
         possible = n.between(max(lo - k, 0), hi + k) | F.col("clean").rlike(tx.STRETCH_RUN)
-        return tokens_df.filter(counted() & possible).select("clean").distinct()
-
-    def materialize(self, wm: DataFrame) -> tuple[DataFrame, bool]:
-        """Checkpoint the word map (lineage cut) and decide broadcast by its row count."""
-        wm = cut_lineage(wm)
-        return wm, wm.count() <= self.broadcast_rows
-
-    def annotate(self, tokens_df: DataFrame, wm: DataFrame | None = None) -> DataFrame:
-        """Attach stage and normalised word to every token."""
-        if wm is None:
-            wm = self.word_map(tokens_df)
-        wm, small = self.materialize(wm)
-        side = wm.select(F.col("clean").alias("_wclean"), "stage", "match_key", "ord", *VALUE_COLS, "similarity")
+        return words.filter(counted() & possible).select("clean").distinct()
+
+    def annotate(self, tokens_df: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+        """Attach stage and normalised word to every token.
+
+        Tokens join the per-raw-token answers on the raw word (broadcast after a
+        count, salted shuffle join beyond the bound), so no per-token regex runs
+        here.  ``clean`` / ``match_key`` / ``value`` / ``similarity`` are set for
+        hits (``clean`` also for skipped tokens) and null otherwise.
+        """
+        forms, small = self.materialize(self.word_forms(tokens_df) if forms is None else forms)
+        side = forms.select(F.col("word").alias("_fword"), *[F.col(c).alias(f"_f_{c}") for c in FORM_COLS])
+        t = tokens_df.drop("clean")
+        token_cols = t.columns
         if small:
-            joined = tokens_df.join(F.broadcast(side), F.col("clean") == F.col("_wclean"), "left")
+            joined = t.join(F.broadcast(side), F.col("word") == F.col("_fword"), "left")
         else:
             n = self.salt_buckets
-            t = tokens_df.withColumn("_salt", F.pmod(F.xxhash64(*self._token_id(tokens_df)), F.lit(n)))
-            s = side.withColumn("_wsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-            joined = t.join(s, (F.col("clean") == F.col("_wclean")) & (F.col("_salt") == F.col("_wsalt")), "left") \
-                .drop("_salt", "_wsalt")
-        stage = (
-            F.when(F.col("clean").isNull(), F.lit("short"))
-            .when(F.col("clean") == "", F.lit("skipped"))
-            .otherwise(F.coalesce(F.col("stage"), F.lit("none")))
-        )
-        pattern = tx.case_pattern(F.col("word"))
-        value = tx.apply_case(
-            pattern, F.col("value"), F.col("value_upper"), F.col("value_title"), F.col("value_lower"),
-            with_lower=F.col("stage") != "stretch",
+            t = t.withColumn("_salt", F.pmod(F.xxhash64(*self._token_id(t)), F.lit(n)))
+            s = side.withColumn("_fsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+            joined = t.join(s, (F.col("word") == F.col("_fword")) & (F.col("_salt") == F.col("_fsalt")), "left") \
+                .drop("_salt", "_fsalt")
+        stage = F.when(F.length("word") < 2, F.lit("short")).otherwise(F.coalesce(F.col("_f_stage"), F.lit("none")))
+        return joined.select(
+            *token_cols,
+            F.col("_f_clean").alias("clean"), stage.alias("stage"),
+            *[F.col(f"_f_{c}").alias(c) for c in ("match_key", "ord", "value", "similarity")],
+            F.coalesce(F.col("_f_out_word"), F.col("word")).alias("out_word"),
         )
-        out = F.when(F.col("stage").isNotNull(), tx.replace_core(F.col("word"), value)).otherwise(F.col("word"))
-        return joined.withColumn("out_word", out).withColumn("stage", stage).drop("_wclean")
 
     @staticmethod
     def _token_id(tokens_df: DataFrame) -> list[str]:
