@@ -2,11 +2,11 @@
 
 Plan shape, per call::
 
-    texts --posexplode--> tokens (row_id, pos, word, clean)      narrow
-    tokens that could hit --distinct(clean)--> vocabulary         1 shuffle (partial agg)
-    vocabulary --cascade--> word map (hits only)                  broadcast dictionary joins
-    word map --checkpoint + count--> size gate                    broadcast, or salted shuffle join
-    tokens LEFT JOIN word map --> out_word                        narrow when broadcast
+    texts --posexplode--> tokens (row_id, pos, word)             narrow
+    tokens --distinct(word)--> raw words, cleaned once each        1 shuffle (partial agg), checkpoint
+    cleaned words that could hit --distinct--> cascade            word map (hits only), checkpoint + count
+    raw words JOIN word map --> per-raw-token answers              hits + skipped, checkpoint + count
+    tokens LEFT JOIN answers on the raw word --> stage, out_word   broadcast, or salted shuffle join
     changed tokens + position-0 token --groupBy(row_id)--> text   per-row map of replacements
 
 Big text columns are never copied per token: they ride along on the token at
