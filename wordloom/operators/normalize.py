@@ -63,8 +63,13 @@ def counted() -> Column:
 
 
 def vocabulary(tokens_df: DataFrame) -> DataFrame:
-    """Distinct cleaned words that reach the lookup (the memo's key set)."""
-    return tokens_df.filter(counted()).select("clean").distinct()
+    """Distinct cleaned words that reach the lookup (the memo's key set).
+
+    Distinct raw tokens first (partial aggregation), so the cleaning regex runs
+    once per distinct token, not once per occurrence.
+    """
+    raw = tokens_df.filter(F.length("word") >= 2).select("word").distinct()
+    return raw.select(tx.clean_word(F.col("word")).alias("clean")).filter(F.col("clean") != "").distinct()
 
 
 @dataclass
@@ -79,8 +84,11 @@ class Normalizer:
 
     # -- word level -------------------------------------------------------
     def word_map(self, tokens_df: DataFrame) -> DataFrame:
-        """J6 over the tokens' distinct cleaned words that could hit (hits only)."""
-        return word_map(self._candidates(tokens_df), self.dictionary, self.params, self.strategy)
+        """J6 over the tokens' distinct cleaned words that could hit (hits only);
+        tokens are made distinct before cleaning."""
+        raw = tokens_df.filter(F.length("word") >= 2).select("word").distinct()
+        raw = raw.withColumn("clean", tx.clean_word(F.col("word")))
+        return word_map(self._candidates(raw), self.dictionary, self.params, self.strategy)
 
     def materialize(self, table: DataFrame) -> tuple[DataFrame, bool]:
         """Checkpoint a lookup table (lineage cut) and decide broadcast by its row count."""

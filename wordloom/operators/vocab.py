@@ -14,19 +14,21 @@ from wordloom.sources.dictionary import Dictionary
 def word_frequency(texts: DataFrame, text_col: str = "text", row_id: str = "row_id") -> DataFrame:
     """A3: ``lower().split()``, clean, keep length >= 2, count; with first appearance.
 
-    One hash aggregate on the word (partial counts before the shuffle, so a
-    hot word costs one row per task, not one per occurrence).
+    Two hash aggregates: per raw (lower-cased) token, then per cleaned word.
+    Partial counts happen before each shuffle, so a hot word costs one row per
+    task, and the cleaning regex runs once per distinct token; counts add up
+    and first appearances take the minimum of minima.
     """
     toks = (
         spread_by(texts.filter(F.col(text_col).isNotNull()), row_id)
         .select(row_id, F.posexplode(tx.split_words(F.lower(F.col(text_col)))).alias("pos", "tok"))
         .filter(F.col("tok") != "")
-        .select(row_id, "pos", tx.clean_word(F.col("tok")).alias("word"))
-        .filter(F.length("word") >= 2)
     )
-    return toks.groupBy("word").agg(
-        F.count(F.lit(1)).cast("long").alias("freq"),
-        F.min(F.struct(F.col(row_id).alias("row_id"), F.col("pos"))).alias("first_seen"),
+    first = F.min(F.struct(F.col(row_id).alias("row_id"), F.col("pos")))
+    raw = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), first.alias("first_seen"))
+    words = raw.select(tx.clean_word(F.col("tok")).alias("word"), "n", "first_seen").filter(F.length("word") >= 2)
+    return words.groupBy("word").agg(
+        F.sum("n").cast("long").alias("freq"), F.min("first_seen").alias("first_seen"),
     )
 
 
