@@ -167,13 +167,17 @@ class Normalizer:
 
     # -- text level -------------------------------------------------------
     def normalize(self, df: DataFrame, text_col: str = "text", row_id: str = "row_id",
-                  keep_original: bool = True) -> DataFrame:
+                  keep_original: bool = True, forms: DataFrame | None = None) -> DataFrame:
         """all columns kept, ``text_col`` normalised, ``<text>_original`` last,
-        rows whose normalised text is blank removed (P1, F11, P2)."""
+        rows whose normalised text is blank removed (P1, F11, P2).
+
+        ``forms``: per-raw-token answers already computed for these texts
+        (:meth:`word_forms`), to share them with other passes.
+        """
         others = [c for c in df.columns if c != row_id]
         df = spread_by(df, row_id)
         toks = tokenize(df, text_col, keys=(row_id,), carry=tuple(others))
-        ann = self.annotate(toks)
+        ann = self.annotate(toks, forms)
         original = f"{text_col}_original" if keep_original else None
         return regroup(ann, row_id, text_col, others, original_col=original)
 
