@@ -74,7 +74,7 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, min_frequency: int
     oov = vc.frequent_oov(freq, norm.dictionary, min_frequency)
 
     toks = tokenize(df, text_col, keys=("row_id", "split"))
-    forms, _ = norm.materialize(norm.word_forms(toks))  # shared by the statistics and the texts
+    forms = norm.materialize(norm.word_forms(toks))  # shared by the statistics and the texts
     stats = cut_lineage(st.normalization_stats(norm.annotate(toks, forms)))
     processed = cut_lineage(norm.normalize(df, text_col, forms=forms))
     enc = cut_lineage(lb.encode_labels(processed.withColumnRenamed(text_col, "text"), mapping))

@@ -133,15 +133,21 @@ class Normalizer:
         possible = n.between(max(lo - k, 0), hi + k) | F.col("clean").rlike(tx.STRETCH_RUN)
         return words.filter(counted() & possible).select("clean").distinct()
 
-    def annotate(self, tokens_df: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    def annotate(self, tokens_df: DataFrame,
+                 forms: DataFrame | tuple[DataFrame, bool] | None = None) -> DataFrame:
         """Attach stage and normalised word to every token.
 
         Tokens join the per-raw-token answers on the raw word (broadcast after a
         count, salted shuffle join beyond the bound), so no per-token regex runs
         here.  ``clean`` / ``match_key`` / ``value`` / ``similarity`` are set for
-        hits (``clean`` also for skipped tokens) and null otherwise.
+        hits (``clean`` also for skipped tokens) and null otherwise.  ``forms``
+        may be given: a DataFrame of :meth:`word_forms`, or the pair returned
+        by :meth:`materialize` (then it is used as is).
         """
-        forms, small = self.materialize(self.word_forms(tokens_df) if forms is None else forms)
+        if isinstance(forms, tuple):  # already materialised by the caller
+            forms, small = forms
+        else:
+            forms, small = self.materialize(self.word_forms(tokens_df) if forms is None else forms)
         side = forms.select(F.col("word").alias("_fword"), *[F.col(c).alias(f"_f_{c}") for c in FORM_COLS])
         t = tokens_df.drop("clean")
         token_cols = t.columns
@@ -172,7 +178,7 @@ class Normalizer:
         rows whose normalised text is blank removed (P1, F11, P2).
 
         ``forms``: per-raw-token answers already computed for these texts
-        (:meth:`word_forms`), to share them with other passes.
+        (see :meth:`annotate`), to share them with other passes.
         """
         others = [c for c in df.columns if c != row_id]
         df = spread_by(df, row_id)
