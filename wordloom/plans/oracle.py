@@ -410,11 +410,13 @@ FROM processed p LEFT JOIN body b ON b.row_id = p.row_id
 """
 
 
-def _encoded_sql() -> str:
+def _encoded_sql(final_select: str | None = None) -> str:
     from wordloom.operators.features import EncoderParams
 
     e = EncoderParams()
     sel = ENCODED_SQL.format(strip=strip("lower(p.text)"), ws=WS, vocab=e.vocab_size, keep=e.max_length - 2)
+    if final_select is not None:  # keep the CTEs, replace the final SELECT
+        sel = sel[:sel.index("\nSELECT p.row_id")] + "\n" + final_select
     return "WITH " + base_ctes().strip() + "\n" + sel.strip()
 
 
@@ -424,6 +426,7 @@ _base_oracle_sql = oracle_sql
 def oracle_sql() -> dict[str, str]:  # noqa: F811
     out = _base_oracle_sql()
     out["encoded_padded"] = _encoded_sql()
+    out["encoder_vocabulary"] = _encoded_sql("SELECT tok, id FROM vocab_ids")
     # the stream must give the batch results
     out["stream_normalized"] = out["preprocess_documents"]
     out["stream_stats"] = out["normalization_stats"]

@@ -460,6 +460,13 @@ def encoded_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def encoder_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the encoder's vocabulary (most frequent train tokens, ids after the specials)."""
+    done = _processed_comments(spark, sf_dir)
+    return fe.learn_vocabulary(done.filter(F.col("split") == "train"), ENCODER)
+
+
 def _trained(spark: SparkSession, sf_dir: str):
     """Processed labelled rows with label indices, the label list and the selected model."""
     key = (spark.sparkContext.applicationId, sf_dir)
