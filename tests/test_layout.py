@@ -19,3 +19,13 @@ def test_large_input_is_untouched(spark):
     df = spark.range(0, 1000, numPartitions=n).withColumnRenamed("id", "row_id")
     out = spread_by(df, "row_id")
     assert out is df and not _has_exchange(out)
+
+
+def test_single_row_group_file_with_empty_splits_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # one row group, one file
+    busy = df.groupBy(F.spark_partition_id()).count().count()
+    assert busy == 1  # however many splits Spark cuts, one task holds every row
+    out = spread_by(df.withColumnRenamed("doc_id", "row_id"), "row_id")
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1

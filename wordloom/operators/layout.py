@@ -13,11 +13,19 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     input is spread by ``key`` (deterministic on retry, and a later
     ``groupBy(key)`` reuses the partitioning without another exchange).  A
     large input already has enough splits and is returned untouched, so no
-    extra full shuffle is paid at scale.
+    extra full shuffle is paid at scale.  Split counts can mislead for a few
+    single-row-group files (Spark cuts them into splits that are mostly empty),
+    so inputs with few splits that also come from fewer files than cores are
+    spread too.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key)
+    parts = df.rdd.getNumPartitions()
+    if parts >= 2 * cores:
+        return df  # plenty of splits: a large input, already parallel
+    # Few splits, or few files: a file with one row group is cut into several
+    # splits of which only one holds rows, so the split count alone can mislead.
+    if parts < cores or len(df.inputFiles()) < cores:
+        n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return df.repartition(n, key)
+    return df
