@@ -36,8 +36,8 @@ ROUNDS = 12    # 16 ** 12 steps in all: beyond double precision
 
 @dataclass(frozen=True)
 class Mix:
-    target_entropy: float | None = 0.98
-    max_repeats: float | None = 4.0
+    target_entropy: float | None = 0.9
+    max_repeats: float | None = 2.0
     budget: int | None = None     # tokens; None: the least repeated source once
     bucket_docs: int = 10_000
 

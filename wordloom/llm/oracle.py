@@ -59,13 +59,13 @@ p as (select source, t, t / (select sum(t) from s) as p from s where t > 0),
 halving(i, low, high) as (
   select 0, 0.0::double, 1.0::double
   union all
-  select i + 1, case when h.entropy >= 0.98 * h.most then (low + high) / 2 else low end, case when h.entropy >= 0.98 * h.most then high else (low + high) / 2 end
+  select i + 1, case when h.entropy >= 0.9 * h.most then (low + high) / 2 else low end, case when h.entropy >= 0.9 * h.most then high else (low + high) / 2 end
   from halving, lateral (select ln(sum(exp(ln(p) * (low + high) / 2))) - (low + high) / 2 * sum(exp(ln(p) * (low + high) / 2) * ln(p)) / sum(exp(ln(p) * (low + high) / 2)) as entropy,
                          ln(count(*)) as most from p) h
   where i < 60),
-shares as (select -sum(p * ln(p)) >= 0.98 * ln(count(*)) as enough, min(p) as least, max(p) as most from p),
+shares as (select -sum(p * ln(p)) >= 0.9 * ln(count(*)) as enough, min(p) as least, max(p) as most from p),
 alpha as (select greatest(0, case when enough then 1 else (select low from halving where i = 60) end,
-                 case when most / least <= 4 then 0 else 1 - ln(4) / ln(most / least) end) as a, most from shares),
+                 case when most / least <= 2 then 0 else 1 - ln(2) / ln(most / least) end) as a, most from shares),
 w as (select source, t, exp(ln(p) * a) / (select sum(exp(ln(p) * a)) from p, alpha) as weight from p, alpha),
 budget as (select (select sum(t) from s) * most / exp(a * ln(most)) * (select sum(exp(ln(p) * a)) from p, alpha) as tokens from alpha),
 k as (select s.source, case when s.t > 0 then floor(round(weight * tokens) / s.t) else 1 end::bigint as whole,
