@@ -10,7 +10,9 @@ elsewhere a new factor begins.  Each window across a factor boundary is looked u
 the words covered by factors are exactly those in some window that an earlier
 document holds.
 
-Only windows that can repeat enter the index.  All documents first give their
+A text that an earlier document has too, character by character, is one factor; it
+needs no windows and adds none to the index.  Of the other texts only windows that can repeat enter
+the index.  They first give their
 winnowed fingerprints (``winnow``; about two per ``span`` words); equal windows
 have equal fingerprints, so a window whose fingerprint no second document has
 is unique.  Fingerprints and windows are counted with partial aggregation
@@ -65,10 +67,10 @@ def _candidates(docs: DataFrame, span: int) -> DataFrame:
         at, row = at[shared], row[shared]
         low, high = wn.windows(words, at, span)
         keep = wn.distinct_per_row(row, low)
-        return {"low": low[keep], "high": high[keep], "id": rows["id"].take(pa.array(row[keep])), "place": (at - words.first[row])[keep]}
+        return {"low": low[keep], "high": (high[keep] >> cm.U64(33)).astype(np.int32),  # 95 bits: enough for 10**14 windows "id": rows["id"].take(pa.array(row[keep])), "place": (at - words.first[row])[keep]}
 
     kind = docs.schema["id"].dataType.simpleString()
-    return cm.map_texts(docs, run, f"low bigint, high bigint, id {kind}, place bigint")
+    return cm.map_texts(docs, run, f"low bigint, high int, id {kind}, place bigint")
 
 
 def _members(listed: pa.Array, row: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -109,7 +111,9 @@ def _parse(docs: DataFrame, span: int) -> DataFrame:
         entry = _positions(listed, row[at], wn.windows(words, at, span)[0])
         at, entry = at[entry >= 0], entry[entry >= 0]
         gone = wn.covered(len(row), at, span)
-        factors = _factors(listed.flatten(), at, entry, row, words.first, span, len(texts))
+        whole = rows["whole"].is_valid().to_numpy(zero_copy_only=False) & (sizes >= span)
+        gone |= whole[row]
+        factors = _factors(listed.flatten(), at, entry, row, words.first, span, len(texts), rows["whole"], np.flatnonzero(whole))
         kept = []
         for r, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
             own = text.split()  # bytes: the six ASCII spaces
@@ -128,34 +132,44 @@ def _factor_type(kind: str) -> str:
     return f"array<struct<start:bigint,words:bigint,ref:{kind},ref_start:bigint>>"
 
 
-def _factors(entries: pa.Array, at: np.ndarray, entry: np.ndarray, row: np.ndarray, first: np.ndarray, span: int, n: int) -> pa.Array:
+def _factors(entries: pa.Array, at: np.ndarray, entry: np.ndarray, row: np.ndarray, first: np.ndarray, span: int, n: int, wholes: pa.Array, whole: np.ndarray) -> pa.Array:
+    """Runs of windows that point to consecutive words of one reference, and whole texts."""
     refs, places = pc.struct_field(entries, 1).take(pa.array(entry)), pc.struct_field(entries, 2).take(pa.array(entry)).to_numpy(zero_copy_only=False)
-    codes = refs.dictionary_encode()
-    codes = codes.indices.to_numpy(zero_copy_only=False)
+    codes = refs.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     begin = np.ones(len(at), bool)
     begin[1:] = (np.diff(at) != 1) | (np.diff(codes) != 0) | (np.diff(places) != 1) | (row[at[1:]] != row[at[:-1]])
     start = np.flatnonzero(begin)
     length = np.diff(np.append(start, len(at))) + span - 1
-    own = row[at[start]]
-    structs = pa.StructArray.from_arrays(
-        [pa.array(at[start] - first[own]), pa.array(length), refs.take(pa.array(start)), pa.array(places[start])], names=["start", "words", "ref", "ref_start"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)), structs)
+    own = np.concatenate([row[at[start]], whole])
+    order = np.argsort(own, kind="stable")
+    zero = np.zeros(len(whole), np.int64)
+    structs = pa.StructArray.from_arrays([
+        pa.array(np.concatenate([at[start] - first[row[at[start]]], zero])[order]), pa.array(np.concatenate([length, first[whole + 1] - first[whole]])[order]),
+        pa.concat_arrays([refs.take(pa.array(start)), wholes.take(pa.array(whole))]).take(pa.array(order)), pa.array(np.concatenate([places[start], zero])[order]),
+    ], names=["start", "words", "ref", "ref_start"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(n + 1)).astype(np.int32)), structs)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text, factors -- a row per input row."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     named = docs.where("id is not null")
-    dealt = named.repartition("id")  # one exchange of the texts, read by both parses
-    marks = _fingerprints(named, span)
+    dealt = named.repartition("id")  # one exchange of the texts, read by all passes
+    texts = named.select("id", F.md5("text").alias("md5"))
+    firsts = texts.groupBy("md5").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("md5", "first")
+    copies = texts.join(firsts, "md5").where("first < id").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("md5", "first"))).alias("copies"))
+    tagged = dealt.join(copies, "id", "left").select("id", "text", F.col("copies")[F.md5("text")].alias("whole"))
+    marks = _fingerprints(tagged.where("whole is null").drop("whole"), span)
     shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     per_doc = marks.join(shared, "mark").groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    found = _candidates(dealt.join(per_doc, "id"), span)
-    index = found.groupBy("low", "high").agg(F.min(F.struct("id", "place")).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = _candidates(tagged.where("whole is null").drop("whole").join(per_doc, "id"), span)
+    index = found.groupBy("low", "high").agg(F.min(F.struct("id", "place")).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high", "ref")
     entries = (
-        found.join(index, ["low", "high"]).where("ref.id < id")
+        found.select("low", "high", "id").join(index, ["low", "high"]).where("ref.id < id")
         .groupBy("id").agg(F.collect_list(F.struct("low", F.col("ref.id").alias("ref"), F.col("ref.place").alias("ref_start"))).alias("entries"))
     )
-    unnamed = docs.where("id is null").withColumn("entries", F.lit(None).cast(entries.schema["entries"].dataType))
-    parsed = _parse(dealt.join(entries, "id", "left"), span).unionByName(_parse(unnamed, span))
+    nothing = F.lit(None).cast(entries.schema["entries"].dataType)
+    parsed = _parse(tagged.join(entries, "id", "left").withColumn("entries", F.when(F.col("whole").isNull(), F.col("entries"))), span)
+    unnamed = docs.where("id is null").withColumn("whole", F.lit(None).cast(docs.schema["id"].dataType)).withColumn("entries", nothing)
+    parsed = parsed.unionByName(_parse(unnamed, span))
     return parsed.withColumnRenamed("id", doc_id)

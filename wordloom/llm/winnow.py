@@ -1,8 +1,7 @@
 """Winnowing: content-defined fingerprints that every long enough shared span has in common.
 
 A window of ``span`` words holds ``span - k + 1`` k-grams; its fingerprint is
-the least of them, ordered by fewer bytes last (long k-grams are rare, so few
-unrelated windows meet) and then by hash.  The choice depends on the window's
+the least of their hashes.  The choice depends on the window's
 words alone, so two equal windows have equal fingerprints wherever they stand:
 any span of ``span`` or more words that two texts share is found.  Neighbouring
 windows mostly choose the same k-gram, so a text has about 2 fingerprints per
@@ -36,10 +35,7 @@ def fingerprints(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     if n < span:
         return np.empty(0, np.int64), np.empty(0, U64)
     at = np.arange(n - k + 1)
-    grams = mix(_WORD_POWERS[0].spans(words.hashes, at, at + k))
-    size = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
-    size = np.minimum(size[k:] - size[:-k], 255).astype(U64)
-    least = sliding_min(((U64(255) - size) << U64(56)) | (grams >> U64(8)), span - k + 1)
+    least = sliding_min(mix(_WORD_POWERS[0].spans(words.hashes, at, at + k)), span - k + 1)
     last = np.repeat(words.first[1:], np.diff(words.first))[: len(least)]
     at = np.flatnonzero(last - np.arange(len(least)) >= span)
     return at, least[at]
