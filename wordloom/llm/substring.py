@@ -65,9 +65,9 @@ def _candidates(docs: DataFrame, span: int) -> DataFrame:
         row = np.searchsorted(words.first, at, "right") - 1
         shared = _members(rows["marks"], row, marks)
         at, row = at[shared], row[shared]
-        low, high = wn.windows(words, at, span)
+        low, high = wn.windows(words, at, span)  # 64 + 31 bits name a window: enough for 10**14 of them
         keep = wn.distinct_per_row(row, low)
-        return {"low": low[keep], "high": (high[keep] >> cm.U64(33)).astype(np.int32),  # 95 bits: enough for 10**14 windows "id": rows["id"].take(pa.array(row[keep])), "place": (at - words.first[row])[keep]}
+        return {"low": low[keep], "high": (high[keep] >> cm.U64(33)).astype(np.int32), "id": rows["id"].take(pa.array(row[keep])), "place": (at - words.first[row])[keep]}
 
     kind = docs.schema["id"].dataType.simpleString()
     return cm.map_texts(docs, run, f"low bigint, high int, id {kind}, place bigint")
