@@ -15,8 +15,9 @@ needs no windows and adds none to the index.  Of the other texts only windows th
 the index.  They first give their
 winnowed fingerprints (``winnow``; about two per ``span`` words); equal windows
 have equal fingerprints, so a window whose fingerprint no second document has
-is unique.  Fingerprints and windows are counted with partial aggregation
-before the shuffle, and hot ones are joined, not collected.
+is unique.  Fingerprints are counted with partial aggregation before the shuffle.  Windows whose
+fingerprint ``HOT_DOCS`` documents or fewer have meet in one sorted shuffle, in groups of that size;
+those of the others are aggregated before the shuffle and joined, so no group lands in one task.
 
 Defined cases.  Null, empty and wordless texts have no words and keep nothing
 (the hash of no bytes).  Texts shorter than a window lose nothing.  Rows with equal ids are
@@ -32,13 +33,14 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import common as cm
 from wordloom.llm import winnow as wn
 
 SPAN = 13
+HOT_DOCS = 1000
 
 
 def _fingerprints(docs: DataFrame, span: int) -> DataFrame:
@@ -160,14 +162,19 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, doc_id: str = "doc_id", te
     copies = texts.join(firsts, "md5").where("first < id").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("md5", "first"))).alias("copies"))
     tagged = dealt.join(copies, "id", "left").select("id", "text", F.col("copies")[F.md5("text")].alias("whole"))
     marks = _fingerprints(tagged.where("whole is null").drop("whole"), span)
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    per_doc = marks.join(shared, "mark").groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    found = _candidates(tagged.where("whole is null").drop("whole").join(per_doc, "id"), span)
-    index = found.groupBy("low", "high").agg(F.min(F.struct("id", "place")).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high", "ref")
-    entries = (
-        found.select("low", "high", "id").join(index, ["low", "high"]).where("ref.id < id")
-        .groupBy("id").agg(F.collect_list(F.struct("low", F.col("ref.id").alias("ref"), F.col("ref.place").alias("ref_start"))).alias("entries"))
-    )
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = F.col("n") > HOT_DOCS
+    per_doc = marks.join(shared, "mark").groupBy("id").agg(
+        F.collect_list(F.when(~hot, F.col("mark"))).alias("few"), F.collect_list(F.when(hot, F.col("mark"))).alias("many"))
+    found = lambda c: _candidates(tagged.where("whole is null").drop("whole").join(per_doc.where(F.size(c) > 0).select("id", F.col(c).alias("marks")), "id"), span)
+    entry = F.struct("low", "ref", "ref_start")
+    # equal windows have equal fingerprints, so a window lies wholly on one side
+    same = Window.partitionBy("low", "high").orderBy("id", "place")  # at most HOT_DOCS documents
+    few = found("few").select("low", "id", F.first("id").over(same).alias("ref"), F.first("place").over(same).alias("ref_start"))
+    many = found("many")
+    index = many.groupBy("low", "high").agg(F.min(F.struct("id", "place")).alias("first")).select("low", "high", "first")
+    many = many.select("low", "high", "id").join(index, ["low", "high"]).select("low", "id", F.col("first.id").alias("ref"), F.col("first.place").alias("ref_start"))
+    entries = few.unionByName(many).where("ref < id").groupBy("id").agg(F.collect_list(entry).alias("entries"))
     nothing = F.lit(None).cast(entries.schema["entries"].dataType)
     parsed = _parse(tagged.join(entries, "id", "left").withColumn("entries", F.when(F.col("whole").isNull(), F.col("entries"))), span)
     unnamed = docs.where("id is null").withColumn("whole", F.lit(None).cast(docs.schema["id"].dataType)).withColumn("entries", nothing)
