@@ -40,7 +40,7 @@ from wordloom.llm import common as cm
 from wordloom.llm import winnow as wn
 
 SPAN = 13
-HOT_DOCS = 1000
+HOT_DOCS = 50
 
 
 def _fingerprints(docs: DataFrame, span: int) -> DataFrame:
