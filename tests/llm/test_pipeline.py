@@ -1,0 +1,51 @@
+"""The pipeline's stages, each held against plain Python on what its predecessor kept."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from wordloom.llm import queries, tokenids  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    from tokenizers import Tokenizer
+
+    docs, rows = spark.read.parquet(f"{SMALL}/documents.parquet"), {}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    columns = docs.columns
+    before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        path = tokenids.fresh_path(spark, "stage")
+        stage(spark, docs, SMALL).write.parquet(path)
+        docs = spark.read.parquet(path)
+        rows[name] = docs.collect()
+        if name == "language_id":
+            expected = [r for r in before if any(c.isalpha() for c in r[1] or "")]
+        elif name == "near_dedup":
+            group, _ = brute.groups([r[:2] for r in before], 5, 80)
+            least = {g: min(r[0] for r, h in zip(before, group, strict=True) if h == g) for g in set(group)}
+            expected = [r for r, g in zip(before, group, strict=True) if g is None or r[0] == least[g]]
+        elif name == "decontamination":
+            expected = [r for r in before if not brute.hits(r[1], items)[-1]]
+        elif name == "mixing":
+            by_id = {r[0]: r for r in before}
+            expected = [by_id[i] for i, _, _ in brute.mixture(before, 0.9, 2.0)]
+        if name != "token_ids":
+            assert docs.columns == columns
+            got = [(r.doc_id, r.text, r.source) for r in rows[name]]
+            assert sorted(got) == sorted(expected), name
+            before = got
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    ids = [(r[0], library.encode(r[1], add_special_tokens=False).ids + [1]) for r in before]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows["token_ids"]) == sorted((i, len(x), brute.crc(x)) for i, x in ids)
+
+
+def test_entry_registers_all():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names

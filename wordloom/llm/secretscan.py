@@ -9,7 +9,7 @@ parts pairs parts of complementary kinds within one scope (the same
 block of lines without an empty line between, at most ``reach`` characters from
 end to start).  Strong findings take part in the join as identifiers
 (``access``) and secrets (``assign``, ``hex``).  The join is a sweep over parts
-sorted by place that keeps the last part of each kind, so it is linear in
+sorted by place, once forward and once backward, that keeps the nearest part of each kind, so it is linear in
 the parts; each candidate needs only its nearest partner on each side.
 
 Spans are in code points, end exclusive.  A weak span that overlaps a strong
@@ -95,17 +95,17 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
     scope = lambda at: bisect_left(breaks, at)
     parts = sorted(base + weak)
     kept: set[Span] = set()
-    last: dict[str, Span] = {}  # of each role the part that ends last, in the current scope
-    here = -1
-    for part in parts:
-        if scope(part[0]) != here:
-            here, last = scope(part[0]), {}
-        role = ROLE[part[2]]
-        for other, before in last.items():
-            if other != role and part[0] - before[1] <= reach:
-                kept |= {part, before}
-        if role not in last or part[1] >= last[role][1]:
-            last[role] = part
+    for forward in (True, False):
+        edge: dict[str, int] = {}  # of each role in this scope, the nearest end before or start after
+        here = -1
+        for part in parts if forward else reversed(parts):
+            if scope(part[0]) != here:
+                here, edge = scope(part[0]), {}
+            role = ROLE[part[2]]
+            for other, at in edge.items():
+                if other != role and (part[0] - at if forward else at - part[1]) <= reach:
+                    kept.add(part)
+            edge[role] = max(edge.get(role, part[1]), part[1]) if forward else part[0]
     return [s for s in weak if s in kept]
 
 
