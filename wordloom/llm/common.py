@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wordloom.session import ensure_checkpoint_dir
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 500
 # Row bound under which a table of keys (16 bytes or less each) may be broadcast.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,13 +47,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, if they get it by no other way (--py-files)."""
+    """Let Python workers import this package from where the driver did, if they get it by no other way (--py-files), in small batches."""
+    small_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the session asks for smaller ones: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def small_or_plain(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast hint for a table whose counted rows are within the bound, else the table itself."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
@@ -169,6 +178,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, pa.Array], dict | Non
             columns = fn(rows, texts)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([column(columns[f.name], f.type) for f in out], names=out.names)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 
