@@ -1,53 +1,27 @@
-"""Whole-table checks on the smallest driver tables against the Python model."""
+"""Whole-table checks on the smallest driver tables against SQL and by counts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators.normalize import tokenize
-from wordloom.operators.stats import normalization_stats
 from wordloom.plans import inputs
-from wordloom.sources.dictionary import CUSTOM_TABLE, DEFAULT_TABLE, read_fixed_table
+from wordloom.plans.oracle import oracle_sql
+from wordloom.plans.queries import registry
 
-import pyrules
 from conftest import SMALL_SF
 
 
-def _table():
-    table = {}
-    for p in (DEFAULT_TABLE, CUSTOM_TABLE):
-        for k, v in read_fixed_table(p):
-            table[k] = v
-    return table
+@pytest.mark.parametrize("name", ["preprocess_documents", "normalization_stats"])
+def test_whole_table_matches_sql(spark, name):
+    import duckdb
 
-
-def test_every_comment_matches_python_model(spark, normalizer):
-    comments = inputs.comments(spark, SMALL_SF)
-    got = {r.row_id: r.text for r in normalizer.normalize(comments.select("row_id", "text")).collect()}
-    table = _table()
-    for r in comments.select("row_id", "text").collect():
-        expected = pyrules.normalize_text(r.text, table)
-        if expected.strip():
-            assert got[r.row_id] == expected, r.row_id
-        else:
-            assert r.row_id not in got
-
-
-def test_stats_add_up_and_match_model(spark, normalizer):
-    comments = inputs.comments(spark, SMALL_SF)
-    ann = normalizer.annotate(tokenize(comments, "text", keys=("row_id", "split")))
-    stats = {r.split: r for r in normalization_stats(ann).collect()}
-    table = _table()
-    expect = {}
-    for r in comments.collect():
-        c = expect.setdefault(r.split, {"exact": 0, "fuzzy": 0, "stretch": 0, "none": 0})
-        for w in (r.text or "").split():
-            stage = pyrules.normalize_word(w, table)[1]
-            if stage in c:
-                c[stage] += 1
-    for split, s in stats.items():
-        assert s.total_words == s.exact_matches + s.fuzzy_matches + s.no_matches
-        e = expect[split]
-        assert (s.exact_matches, s.fuzzy_matches, s.stretch_matches, s.no_matches) == (
-            e["exact"], e["fuzzy"] + e["stretch"], e["stretch"], e["none"])
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL_SF}/{table}.parquet'")
+    expected = con.sql(oracle_sql()[name]).df()
+    got = registry()[name](spark, SMALL_SF).toPandas()
+    rows = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(str).values.tolist()))
+    assert rows(got) == rows(expected)
 
 
 def test_token_count_preserved(spark, normalizer):

@@ -31,7 +31,9 @@ _STRIP_WS = f"^{WHITESPACE}+|{WHITESPACE}+$"
 
 IS_UPPER = f"^[^{LOWER}{TITLE}]*{UPPER}[^{LOWER}{TITLE}]*$"
 IS_LOWER = f"^[^{UPPER}{TITLE}]*{LOWER}[^{UPPER}{TITLE}]*$"
-IS_TITLE = f"^[^{CASED}]*(?:[{UPPER}{TITLE}]{LOWER}*(?:[^{CASED}]+|$))+$"
+# Title case by what must not be in it: a repeated group would recurse on long tokens.
+HAS_CASED = f"[{CASED}]"
+NOT_TITLE = f"(?:^|[^{CASED}]){LOWER}|[{CASED}][{UPPER}{TITLE}]"
 
 STRETCH_RUN = r"(.)\1{2,}"
 
@@ -95,7 +97,7 @@ def case_pattern(word: Column) -> Column:
     """'upper' / 'title' / 'lower' / 'mixed', tested in that order on the whole token."""
     return (
         F.when(word.rlike(IS_UPPER), F.lit("upper"))
-        .when(word.rlike(IS_TITLE), F.lit("title"))
+        .when(word.rlike(HAS_CASED) & ~word.rlike(NOT_TITLE), F.lit("title"))
         .when(word.rlike(IS_LOWER), F.lit("lower"))
         .otherwise(F.lit("mixed"))
     )

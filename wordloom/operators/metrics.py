@@ -14,7 +14,7 @@ from wordloom.session import cut_lineage
 
 def accuracy(df: DataFrame, true_col: str, pred_col: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Share of rows whose prediction equals the truth (rows without truth excluded)."""
-    hit = (F.col(true_col) == F.col(pred_col)).cast("double")
+    hit = F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False)).cast("double")  # no prediction is a miss
     rows = df.filter(F.col(true_col).isNotNull())
     aggs = [F.count(F.lit(1)).cast("long").alias("n"), F.avg(hit).alias("accuracy")]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
