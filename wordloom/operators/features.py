@@ -5,12 +5,12 @@ The Spark job keeps its contract -- ids, attention mask, truncate and pad to
 ``max_length`` with start / end / pad / unknown specials -- with a word
 vocabulary learned from the train split at scale:
 
-* vocabulary: word counts (one hash aggregate), then the ``vocab_size`` most
-  frequent words (ties by word) via a distributed top-k; ids follow that
-  order after the specials.  ``vocab_size`` is the model's vocabulary size,
-  a parameter of the encoder like the reference tokenizer's.
-* encoding: tokens exploded with position, broadcast join to the (bounded)
-  vocabulary, regrouped per row in position order.
+* vocabulary: every train token, ids by falling frequency (ties by token) after
+  the specials.  Counts are range-partitioned in that order; a token's id is its
+  place in its partition plus the sizes of the partitions before.
+* encoding: tokens exploded with position, joined with the vocabulary (its most
+  frequent short tokens by broadcast, the rest in a salted shuffle), regrouped
+  per row in position order.
 """
 
 from __future__ import annotations
@@ -22,16 +22,22 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators.layout import spread_by
+from wordloom.session import cut_lineage
 
 # Special token ids.
 START_ID, PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 
+# The broadcast part of a vocabulary: at most this many tokens of at most this many bytes.
+HEAD_WORDS = 200_000
+HEAD_BYTES = 128
+# Salts of the join with the rest, which only a token unseen in training or a long one can skew.
+SALT_BUCKETS = 8
+
 
 @dataclass(frozen=True)
 class EncoderParams:
     max_length: int = 512
-    vocab_size: int = 30_000
 
 
 def encoder_tokens(df: DataFrame, text_col: str = "text", row_id: str = "row_id") -> DataFrame:
@@ -43,15 +49,40 @@ def encoder_tokens(df: DataFrame, text_col: str = "text", row_id: str = "row_id"
     )
 
 
-def learn_vocabulary(train: DataFrame, params: EncoderParams = EncoderParams(),
-                     text_col: str = "text", row_id: str = "row_id") -> DataFrame:
-    """(tok, id): the ``vocab_size`` most frequent train tokens, ids from FIRST_WORD_ID."""
+def learn_vocabulary(train: DataFrame, text_col: str = "text", row_id: str = "row_id") -> DataFrame:
+    """(tok, id): every train token, the most frequent first, ids from FIRST_WORD_ID."""
     counts = encoder_tokens(spread_by(train, row_id), text_col, row_id).groupBy("tok").agg(
         F.count(F.lit(1)).alias("n")
     )
-    top = counts.orderBy(F.desc("n"), F.asc("tok")).limit(params.vocab_size)
-    w = Window.orderBy(F.desc("n"), F.asc("tok"))
-    return top.select("tok", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("id"))
+    order = [F.desc("n"), F.asc("tok")]
+    # written once, so that places and partitions stay as they are when a task is repeated
+    placed = cut_lineage(
+        counts.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("tok", F.monotonically_increasing_id().alias("place"))
+    ).select("tok", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select(
+        "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")
+    )
+    return placed.join(F.broadcast(starts), "part").select(
+        "tok", (F.col("start") + F.col("place") + FIRST_WORD_ID).cast("int").alias("id")
+    )
+
+
+def _token_ids(toks: DataFrame, vocab: DataFrame, row_id: str) -> DataFrame:
+    """row_id, pos, id (null for a token outside the vocabulary)."""
+    frequent = (F.col("id") < FIRST_WORD_ID + HEAD_WORDS) & (F.octet_length("tok") <= HEAD_BYTES)
+    headed = toks.join(F.broadcast(vocab.filter(frequent)), "tok", "left")
+    tail = vocab.filter(~frequent)
+    if tail.isEmpty():
+        return headed.select(row_id, "pos", "id")
+    salts = F.array(*[F.lit(i).cast("long") for i in range(SALT_BUCKETS)])
+    rest = headed.filter(F.col("id").isNull()).select(
+        row_id, "pos", "tok", F.pmod(F.xxhash64(row_id, "pos"), F.lit(SALT_BUCKETS)).alias("salt"))
+    found = rest.join(tail.withColumn("salt", F.explode(salts)), ["tok", "salt"], "left")
+    return headed.filter(F.col("id").isNotNull()).select(row_id, "pos", "id").unionByName(
+        found.select(row_id, "pos", "id"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, params: EncoderParams = EncoderParams(),
@@ -63,9 +94,7 @@ def encode(df: DataFrame, vocab: DataFrame, params: EncoderParams = EncoderParam
     keep = params.max_length - 2
     base = spread_by(df.select(row_id, text_col, *carry), row_id)
     toks = encoder_tokens(base, text_col, row_id).filter(F.col("pos") < keep)
-    ids = toks.join(F.broadcast(vocab), "tok", "left").select(
-        row_id, "pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")
-    )
+    ids = _token_ids(toks, vocab, row_id).withColumn("id", F.coalesce("id", F.lit(UNKNOWN_ID)))
     grouped = ids.groupBy(row_id).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("body")
     )

@@ -1,9 +1,10 @@
 """Query inputs derived from the driver tables.
 
 * comments  := documents(doc_id -> row_id, text + one dirty snippet), split by
-  ``doc_id % 10`` (0-7 train, 8 val, 9 test).  Every document is kept; the
-  snippet only adds words the dictionary can hit, and two residues of
-  ``doc_id % 50`` get a null / blank text so the blank-row filter has work.
+  ``doc_id % 10`` (0-7 train, 8 val, 9 test).  Every document is kept with its
+  whole text; the snippet only adds words the dictionary can hit.  So that the
+  blank-row filter has work, two residues of ``doc_id % 50`` bring one more row
+  each, with a null / blank text and the id ``-1 - doc_id``.
 * labelled  := comments inner join labels; label = quality as string; the
   stand-in prediction (for metric queries that must not depend on a model)
   is "1" when the document is not toxic, else "0".
@@ -51,24 +52,27 @@ def split_order(split: Column) -> Column:
 
 def dirty_text(doc_id: Column, text: Column) -> Column:
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.pmod(doc_id, F.lit(len(SNIPPETS))) + 1).cast("int"))
+    return F.concat(text, F.lit(" "), snippet)
+
+
+def as_comments(documents: DataFrame) -> DataFrame:
+    """Comments of a documents table or stream: every document, then the added blank rows."""
+    doc_id = F.col("doc_id")
     m = F.pmod(doc_id, F.lit(50))
-    return (
-        F.when(m == NULL_RESIDUE, F.lit(None).cast("string"))
-        .when(m == BLANK_RESIDUE, F.lit(BLANK_TEXT))
-        .otherwise(F.concat(text, F.lit(" "), snippet))
+    real = documents.select(
+        doc_id.alias("row_id"), split_of(doc_id).alias("split"), dirty_text(doc_id, F.col("text")).alias("text"),
+        "lang", "source",
     )
+    blank = documents.filter(m.isin(NULL_RESIDUE, BLANK_RESIDUE)).select(
+        (F.lit(-1) - doc_id).alias("row_id"), split_of(doc_id).alias("split"),
+        F.when(m == BLANK_RESIDUE, F.lit(BLANK_TEXT)).alias("text"), "lang", "source",
+    )
+    return real.unionByName(blank)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, split, text, lang, source -- one row per document."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(
-        F.col("doc_id").alias("row_id"),
-        split_of(F.col("doc_id")).alias("split"),
-        dirty_text(F.col("doc_id"), F.col("text")).alias("text"),
-        "lang",
-        "source",
-    )
+    """row_id, split, text, lang, source -- one row per document, and the added blank rows."""
+    return as_comments(table(spark, sf_dir, "documents"))
 
 
 def labelled_comments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ IS_L = r"[^\p{Lu}\p{Lt}]*\p{Ll}[^\p{Lu}\p{Lt}]*"
 IS_T = r"[^\p{Lu}\p{Lt}\p{Ll}]*(?:[\p{Lu}\p{Lt}]\p{Ll}*(?:[^\p{Lu}\p{Lt}\p{Ll}]+|$))+"
 THRESHOLD = "0.8::DOUBLE"
 MAX_DIST = 2
+ENCODER_LENGTH = 512
 
 
 def lit(s: str | None) -> str:
@@ -96,11 +97,13 @@ def default_comments() -> str:
     return f"""comments AS (
   SELECT d.doc_id AS row_id,
          CASE WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split,
-         CASE WHEN d.doc_id % 50 = {NULL_RESIDUE} THEN CAST(NULL AS VARCHAR)
-              WHEN d.doc_id % 50 = {BLANK_RESIDUE} THEN {lit(BLANK_TEXT)}
-              ELSE d.text || ' ' || s.s END AS text,
-         d.lang, d.source
-  FROM documents d JOIN snip s ON s.i = d.doc_id % {n}),
+         d.text || ' ' || s.s AS text, d.lang, d.source
+  FROM documents d JOIN snip s ON s.i = d.doc_id % {n}
+  UNION ALL
+  SELECT -1 - doc_id,
+         CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END,
+         CASE WHEN doc_id % 50 = {BLANK_RESIDUE} THEN {lit(BLANK_TEXT)} END, lang, source
+  FROM documents WHERE doc_id % 50 IN ({NULL_RESIDUE}, {BLANK_RESIDUE})),
 """
 
 
@@ -397,8 +400,7 @@ ENCODED_SQL = """
   FROM processed p, unnest(regexp_split_to_array({strip}, '{ws}+')) WITH ORDINALITY AS t(tok, pos)
   WHERE t.tok <> ''),
 vocab_top AS (
-  SELECT tok, n FROM (SELECT tok, count(*) AS n FROM enc_tok WHERE split = 'train' GROUP BY tok)
-  ORDER BY n DESC, tok ASC LIMIT {vocab}),
+  SELECT tok, count(*) AS n FROM enc_tok WHERE split = 'train' GROUP BY tok),
 vocab_ids AS (SELECT tok, CAST(row_number() OVER (ORDER BY n DESC, tok ASC) - 1 + 4 AS INTEGER) AS id FROM vocab_top),
 body AS (
   SELECT e.row_id, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY e.pos) AS ids, count(*) AS n
@@ -411,10 +413,7 @@ FROM processed p LEFT JOIN body b ON b.row_id = p.row_id
 
 
 def _encoded_sql(final_select: str | None = None) -> str:
-    from wordloom.operators.features import EncoderParams
-
-    e = EncoderParams()
-    sel = ENCODED_SQL.format(strip=strip("lower(p.text)"), ws=WS, vocab=e.vocab_size, keep=e.max_length - 2)
+    sel = ENCODED_SQL.format(strip=strip("lower(p.text)"), ws=WS, keep=ENCODER_LENGTH - 2)
     if final_select is not None:  # keep the CTEs, replace the final SELECT
         sel = sel[:sel.index("\nSELECT p.row_id")] + "\n" + final_select
     return "WITH " + base_ctes().strip() + "\n" + sel.strip()

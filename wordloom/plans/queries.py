@@ -413,10 +413,10 @@ def comments_for_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every requested video's comments, normalised (blank comments dropped)."""
     feed = inputs.video_comments(spark, sf_dir)
     rows = comments_for_videos(inputs.video_requests(spark, sf_dir), feed)
-    keyed = rows.select(F.struct("video_id", "turn").alias("row_id"), "url", "role", "text")
+    keyed = rows.select(F.struct("url", "video_id", "turn").alias("row_id"), "role", "text")
     done = _normalizer(spark).normalize(keyed, "text")
     return done.select(
-        "url", F.col("row_id.video_id").alias("video_id"), F.col("row_id.turn").alias("turn"),
+        F.col("row_id.url").alias("url"), F.col("row_id.video_id").alias("video_id"), F.col("row_id.turn").alias("turn"),
         "role", "text", "text_original",
     )
 
@@ -451,7 +451,7 @@ def _processed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: ids + mask, truncated / padded to 512, vocabulary learned on train."""
     done = _processed_comments(spark, sf_dir)
-    vocab = fe.learn_vocabulary(done.filter(F.col("split") == "train"), ENCODER)
+    vocab = fe.learn_vocabulary(done.filter(F.col("split") == "train"))
     enc = fe.encode(done, vocab, ENCODER, carry=("split",))
     return enc.select(
         "row_id", "split",
@@ -462,9 +462,9 @@ def encoded_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encoder_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: the encoder's vocabulary (most frequent train tokens, ids after the specials)."""
+    """M1: the encoder's vocabulary (every train token, by frequency, ids after the specials)."""
     done = _processed_comments(spark, sf_dir)
-    return fe.learn_vocabulary(done.filter(F.col("split") == "train"), ENCODER)
+    return fe.learn_vocabulary(done.filter(F.col("split") == "train"))
 
 
 def _trained(spark: SparkSession, sf_dir: str):
@@ -588,13 +588,6 @@ def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parque[t]")
 
 
-def _as_comments(d: DataFrame) -> DataFrame:
-    return d.select(
-        F.col("doc_id").alias("row_id"), inputs.split_of(F.col("doc_id")).alias("split"),
-        inputs.dirty_text(F.col("doc_id"), F.col("text")).alias("text"), "lang", "source",
-    )
-
-
 def _run_comment_stream(spark: SparkSession, sf_dir: str, scored: bool) -> sm.StreamOutput:
     folder = cs.scratch_folder(spark, "stream")
     model = labels = None
@@ -602,7 +595,7 @@ def _run_comment_stream(spark: SparkSession, sf_dir: str, scored: bool) -> sm.St
         _, _, labels, sel = _trained(spark, sf_dir)
         model = sel.model
     return sm.run_stream(spark, _documents_stream(spark, sf_dir), _normalizer(spark), f"{folder}/out",
-                         f"{folder}/checkpoint", prepare=_as_comments, model=model, labels=labels)
+                         f"{folder}/checkpoint", prepare=inputs.as_comments, model=model, labels=labels)
 
 
 @query
