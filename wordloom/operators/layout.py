@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition an under-partitioned input by ``key``.
+    """Hash-partition a small, under-partitioned input by ``key``.
 
-    A scan with fewer splits than the cluster has cores (one row group, a few
-    small files) would run every per-row regex in a handful of tasks.  Such an
-    input is spread by ``key`` (deterministic on retry, and a later
-    ``groupBy(key)`` reuses the partitioning without another exchange).  A
-    large input already has enough splits and is returned untouched, so no
-    extra full shuffle is paid at scale.  Split counts can mislead for a few
-    single-row-group files (Spark cuts them into splits that are mostly empty),
-    so inputs with few splits that also come from fewer files than cores are
-    spread too.
+    A scan of one row group or a few small files would run every per-row regex
+    in a handful of tasks.  Such an input is spread by ``key`` (deterministic on
+    retry, and a later ``groupBy(key)`` reuses the partitioning without another
+    exchange).  The decision reads the plan and runs nothing: an input is left
+    alone if its plan states two partitions a core or more, or if the files it
+    reads would fill as many splits, so no full shuffle is added at scale.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    if parts >= 2 * cores:
-        return df  # plenty of splits: a large input, already parallel
-    # Few splits, or few files: a file with one row group is cut into several
-    # splits of which only one holds rows, so the split count alone can mislead.
-    if parts < cores or len(df.inputFiles()) < cores:
-        n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return df.repartition(n, key)
-    return df
+    query = df._jdf.queryExecution()
+    if query.executedPlan().outputPartitioning().numPartitions() >= 2 * cores:
+        return df
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = query.optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if read >= 2 * cores * split_bytes:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
