@@ -181,8 +181,11 @@ def _deletion_candidates(w: DataFrame, dictionary: Dictionary, params: MatchPara
     kv = cut_lineage(kv)
     if kv.count() <= MAX_BROADCAST_ROWS:
         kv = F.broadcast(kv)
-    wv = w.select("clean", F.explode(
-        deletion_variants(F.col("clean"), deletion_budget(F.length("clean"), params), k)).alias("w_v"))
+    # a word too long or too short for every key stands for itself alone: its variants grow with its length squared
+    lo, hi = dictionary.key_lengths
+    n = F.length("clean")
+    budget = F.when(n.between(max(lo - k, 0), hi + k), deletion_budget(n, params)).otherwise(F.lit(0))
+    wv = w.select("clean", F.explode(deletion_variants(F.col("clean"), budget, k)).alias("w_v"))
     on = (F.col("w_v") == F.col("v")) & ((F.col("clean") == F.col("b_key")) | passes_gate(params))
     return wv.join(kv, on, "left").select("clean", "b_key", "b_ord")
 

@@ -155,7 +155,7 @@ class Normalizer:
             joined = t.join(F.broadcast(side), F.col("word") == F.col("_fword"), "left")
         else:
             n = self.salt_buckets
-            t = t.withColumn("_salt", F.pmod(F.xxhash64(*self._token_id(t)), F.lit(n)))
+            t = t.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in token_cols if c not in ("word", "_carry")]), F.lit(n)))
             s = side.withColumn("_fsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
             joined = t.join(s, (F.col("word") == F.col("_fword")) & (F.col("_salt") == F.col("_fsalt")), "left") \
                 .drop("_salt", "_fsalt")
@@ -167,15 +167,12 @@ class Normalizer:
             F.coalesce(F.col("_f_out_word"), F.col("word")).alias("out_word"),
         )
 
-    @staticmethod
-    def _token_id(tokens_df: DataFrame) -> list[str]:
-        return [c for c in ("row_id", "pos") if c in tokens_df.columns] or ["clean"]
-
     # -- text level -------------------------------------------------------
     def normalize(self, df: DataFrame, text_col: str = "text", row_id: str = "row_id",
                   keep_original: bool = True, forms: DataFrame | None = None) -> DataFrame:
         """all columns kept, ``text_col`` normalised, ``<text>_original`` last,
-        rows whose normalised text is blank removed (P1, F11, P2).
+        rows whose normalised text is blank removed (P1, F11, P2).  ``row_id`` must
+        be unique among texts that are not blank; a repeated one raises.
 
         ``forms``: per-raw-token answers already computed for these texts
         (see :meth:`annotate`), to share them with other passes.
@@ -208,9 +205,14 @@ def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
     is_hit = F.col("stage").isin(*HIT_STAGES)
     rows = annotated.filter(is_hit | (F.col("pos") == 0))
     g = rows.groupBy(row_id, *keys).agg(
-        F.map_from_entries(F.collect_list(F.when(is_hit, F.struct("pos", "out_word")))).alias("_changes"),
+        F.collect_list(F.when(is_hit, F.struct("pos", "out_word"))).alias("_hits"),
         F.first("_carry", ignorenulls=True).alias("_carry"),
+        F.count_if(F.col("pos") == 0).alias("_rows"),
     )
+    # two texts under one id would be merged: stop instead
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {row_id}: "), F.to_json(F.struct(row_id))))
+    hits = F.when(F.col("_rows") > 1, repeated.cast(g.schema["_hits"].dataType)).otherwise(F.col("_hits"))
+    g = g.withColumn("_changes", F.map_from_entries(hits))
     src = F.col(f"_carry.{text_col}")
     replaced = F.array_join(
         F.transform(tx.split_words(src), lambda w, i: F.coalesce(F.try_element_at(F.col("_changes"), i), w)), " "

@@ -15,8 +15,9 @@ Spark from shared storage.
 from __future__ import annotations
 
 import csv
-import os
 from dataclasses import dataclass
+from importlib import resources
+from importlib.resources.abc import Traversable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 
 from wordloom.session import cut_lineage
 
-DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
-DEFAULT_TABLE = os.path.join(DATA_DIR, "default_normalizations.csv")
-CUSTOM_TABLE = os.path.join(DATA_DIR, "custom_normalizations.csv")
+# Package resources, so that the tables are also found inside a zip given by --py-files.
+DEFAULT_TABLE = resources.files("wordloom") / "data" / "default_normalizations.csv"
+CUSTOM_TABLE = resources.files("wordloom") / "data" / "custom_normalizations.csv"
 
 ENTRY_SCHEMA = T.StructType([
     T.StructField("src", T.IntegerType(), False),
@@ -66,15 +67,14 @@ class Dictionary:
         return F.broadcast(side) if self.max_keys * rows_per_key <= MAX_BROADCAST_ROWS else side
 
 
-def read_fixed_table(path: str) -> list[tuple[str, str]]:
+def read_fixed_table(table: Traversable) -> list[tuple[str, str]]:
     """(key, value) pairs of a packaged table, in file order, comment lines skipped."""
-    with open(path, encoding="utf-8", newline="") as fh:
-        rows = csv.DictReader(line for line in fh if not line.startswith("#"))
-        return [(r["key"], r["value"]) for r in rows]
+    lines = table.read_text(encoding="utf-8").splitlines()
+    return [(r["key"], r["value"]) for r in csv.DictReader(line for line in lines if not line.startswith("#"))]
 
 
-def fixed_entries(spark: SparkSession, path: str, src: int) -> DataFrame:
-    pairs = read_fixed_table(path)
+def fixed_entries(spark: SparkSession, table: Traversable, src: int) -> DataFrame:
+    pairs = read_fixed_table(table)
     return spark.createDataFrame(
         [(src, i, k, v) for i, (k, v) in enumerate(pairs)], ENTRY_SCHEMA
     )
@@ -83,13 +83,15 @@ def fixed_entries(spark: SparkSession, path: str, src: int) -> DataFrame:
 def read_entries(spark: SparkSession, path: str, src: int) -> DataFrame:
     """A user table ``key,value[,line]`` (CSV with header) as dictionary entries.
 
-    Without a ``line`` column the order is the file order, taken from the row's
-    position inside its file split (single-file tables keep their order).
+    Without a ``line`` column the order is that of the rows in the file, which only
+    a table of one file has; several files need the column.
     """
     raw = (
         spark.read.option("header", True).option("comment", "#")
         .option("multiLine", True).option("escape", '"').csv(path)
     )
+    if "line" not in raw.columns and len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path}: a dictionary of several files needs a column 'line' for the order of its entries")
     line = F.col("line").cast("int") if "line" in raw.columns else F.monotonically_increasing_id().cast("int")
     return raw.select(F.lit(src).alias("src"), line.alias("line"), "key", "value")
 
@@ -145,12 +147,14 @@ def load_dictionary(spark: SparkSession, custom: bool = True,
                     extra_paths: tuple[str, ...] = ()) -> Dictionary:
     """The default table, the domain table on top (``custom``), then user tables.
 
-    Loaded (merged, case forms added, checkpointed) once per application and
-    set of tables; later calls reuse the checkpointed table.
+    The packaged tables are merged and checkpointed once per application; user
+    tables are read anew at each call, as they may have been edited.
     """
-    key = (spark.sparkContext.applicationId, custom, tuple(extra_paths))
+    if extra_paths:
+        return _load(spark, custom, tuple(extra_paths))
+    key = (spark.sparkContext.applicationId, custom)
     if key not in _LOADED:
-        _LOADED[key] = _load(spark, custom, tuple(extra_paths))
+        _LOADED[key] = _load(spark, custom, ())
     return _LOADED[key]
 
 

@@ -25,6 +25,8 @@ SALT_BUCKETS = 64
 def comments_for_videos(requests: DataFrame, feed: DataFrame, url_col: str = "url") -> DataFrame:
     """Every comment of every requested video: (url, video_id, feed columns...).
 
+    A URL requested twice is answered once; two URLs of one video are two requests.
+
     The request table is counted first: under the bound it is broadcast, so the
     comment feed is streamed past it without a shuffle -- a video holding a
     third of all comments then costs nothing extra.  Beyond the bound it is a
@@ -32,7 +34,7 @@ def comments_for_videos(requests: DataFrame, feed: DataFrame, url_col: str = "ur
     request is repeated once per salt, so a hot video is spread over
     ``SALT_BUCKETS`` tasks instead of one.
     """
-    r = requests.select(F.col(url_col).alias("url"), video_id(F.col(url_col)).alias("video_id"))
+    r = requests.select(F.col(url_col).alias("url"), video_id(F.col(url_col)).alias("video_id")).distinct()
     if r.count() <= MAX_BROADCAST_REQUESTS:
         return feed.join(F.broadcast(r), "video_id", "inner")
     n = SALT_BUCKETS
