@@ -63,7 +63,7 @@ def test_long_tokens(spark, dictionary, normalizer):
     assert got[0] == got[1] == [("voulda", "coulda")]
     rows = spark.createDataFrame([(1, " ".join(words) + " " + "Ab." * 300_000)], "id long, text string")
     out = normalizer.normalize(rows, "text", row_id="id").first().text
-    assert out.split()[2] == "could" and len(out.split()) == 4
+    assert out.split()[2:4] == ["could", "have"] and len(out.split()) == 5
 
 
 def test_salted_join_takes_the_given_row_key(spark, normalizer):
