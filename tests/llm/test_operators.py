@@ -86,7 +86,7 @@ def test_near_copies_of_a_large_group_lose_no_link(spark):
         for _ in range(rng.randrange(5)):
             words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    p = minhash.NearDup(shingle=3, percent=85, block_shingles=3000)  # many blocks
+    p = minhash.NearDup(shingle=3, percent=85, block_shingles=3000, block_nodes=40)  # many blocks
     group, _ = brute.groups(rows, 3, 85)
     least = {g: min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p)

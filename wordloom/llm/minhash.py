@@ -57,6 +57,7 @@ class NearDup:
     errors: int = 1
     bits: int = 32
     block_shingles: int = 200_000  # set elements on one side of a block pair
+    block_nodes: int = 2000        # nodes on one side of a block pair
 
 
 def shingles(words: cm.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def _joining_links(group: pd.DataFrame, p: NearDup) -> pd.DataFrame:
             c = parent[c]
         return c
 
-    out, columns = [], 8192
+    out, columns = [], 2048
     outer, inner = group[group["outer"]], group[~group["outer"]]
     if len(outer) and len(inner):
         sizes = [np.array([len(g) for g in side["grams"]]) for side in (outer, inner)]
@@ -191,10 +192,14 @@ def _leftover_links(keyed: DataFrame, comps: DataFrame, nodes: DataFrame, docs:
     per_key = per_comp.groupBy("key").agg(
         F.sum("c").alias("members"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "s", "comp")).alias("main"), F.sum("s").alias("total"),
     ).where("members > 3 and comps > 1")  # of up to three nodes the star has checked every pair
+
+    def blocks(elements, members):
+        return F.greatest(F.ceil(elements / p.block_shingles), F.ceil(members / p.block_nodes))
+
     open_rows = cm.checkpointed(held.join(per_key, "key").select(
         "key", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("outer"),
-        F.ceil(F.col("total") / p.block_shingles).alias("inner_blocks"),
-        F.ceil((F.col("total") - F.col("main.s")) / p.block_shingles).alias("outer_blocks"),
+        blocks(F.col("total"), F.col("members")).alias("inner_blocks"),
+        blocks(F.col("total") - F.col("main.s"), F.col("members") - F.col("main.c")).alias("outer_blocks"),
     ))
     if open_rows.isEmpty():
         return None
@@ -207,8 +212,8 @@ def _leftover_links(keyed: DataFrame, comps: DataFrame, nodes: DataFrame, docs:
     outer = open_rows.where("outer").select(
         "key", "node", "comp", F.lit(True).alias("outer"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("inner_blocks") - 1)).alias("i"), F.pmod(spread, "outer_blocks").alias("j"))
-    blocks = inner.unionByName(outer).join(sets, "node")
-    return blocks.groupBy("key", "i", "j").applyInPandas(lambda g: _joining_links(g, p), "a binary, b binary").distinct()
+    rows = inner.unionByName(outer).join(sets, "node")
+    return rows.groupBy("key", "i", "j").applyInPandas(lambda g: _joining_links(g, p), "a binary, b binary").distinct()
 
 
 def _grouped(docs: DataFrame, p: NearDup) -> DataFrame:
