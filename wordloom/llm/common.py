@@ -23,6 +23,10 @@ from wordloom.session import ensure_checkpoint_dir
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
+#: Settings of Python workers, unless the session has its own: freed blocks of 4 MB or more go back to the system at
+#: once (the C library's default keeps up to twice the largest block ever freed), Arrow's buffers with them.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 # Row bound under which a table of keys (16 bytes or less each) may be broadcast.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,19 +51,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, if they get it by no other way (--py-files), in small batches."""
+    """Let Python workers import this package from where the driver did, if they get it by no other way (--py-files), in small batches and little memory."""
     small_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` rows, unless the session asks for smaller ones: texts are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Arrow batches of ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes, unless the session asks for smaller ones: texts are long."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def small_or_plain(df: DataFrame, n_rows: int) -> DataFrame:
