@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from wordloom.llm import common as cm  # noqa: E402
-from wordloom.llm import decontam, langid, minhash, mixing, quality, queries, secretscan, sharding, substring, tokencount, tokenids  # noqa: E402
+from wordloom.llm import decontam, encode, langid, minhash, mixing, quality, queries, secretscan, sharding, substring, tokencount, tokenids  # noqa: E402
 
 MID = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, mark string, row string, key string, n int, comp string, slot int, node string, words int"
@@ -232,3 +232,15 @@ def test_empty_tables(spark, docs, items):
                 langid.predict(none, None), mixing.mixed(none), queries.written_and_read(spark, none), tokencount.token_counts(none, queries.tokenizer_path()),
                 sharding.placed(none, queries.SHARDS), minhash.one_of_each(none)):
         assert got.count() == 0
+
+
+def test_encoder_in_small_pieces_gives_the_library_ids(monkeypatch):
+    path = queries.tokenizer_path()
+    library = encode.json_encoder(path).tokenizer
+    texts = [t or "" for _, t in TEXTS] + ["", " \n", "x" * 700 + " y", " ".join(f"w{i} Ünï{i % 7}" for i in range(400))]
+    for name, value in (("PIECE_BYTES", 300), ("MEMO_WORDS", 50), ("CALL_WORDS", 7)):
+        monkeypatch.setattr(encode, name, value)
+    ids, sizes = encode.JsonEncoder(path).encode([t.encode() for t in texts])
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert encode.JsonEncoder(path).counts([t.encode() for t in texts]).tolist() == sizes.tolist()

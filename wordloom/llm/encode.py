@@ -3,20 +3,27 @@
 Where a tokenizer drops white space before its merges, no token spans two words,
 so a text's ids are those of its words one after the other.  A process then asks the
 library once for each distinct word and keeps the answer (up to ``MEMO_WORDS``
-words, then it starts anew).  For any other tokenizer whole texts go to the library.
+words, then it starts anew).  Long texts are taken in pieces cut at white space, so neither the words in
+hand nor the library's answers grow with a text.  For any other tokenizer whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
 
 MEMO_WORDS = 400_000
+CALL_WORDS = 8192
+PIECE_BYTES = 1 << 20
 SPACES = "\t\n\x0b\x0c\r "
+SPACE = re.compile(b"[\t\n\x0b\x0c\r ]")
 
 
 class _Codes(dict):
@@ -46,46 +53,87 @@ class JsonEncoder:
     def _forget(self) -> None:
         self.codes = _Codes()
         self.codes.new = []
-        self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.first, self.lengths, self.answers = np.zeros(1, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words of all texts, and how many each text has; every number has its ids afterwards."""
-        if len(self.codes) > MEMO_WORDS:
-            self._forget()
-        lookup, parts, sizes = self.codes.__getitem__, [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = text.split()  # bytes: the six ASCII spaces
-            sizes[i] = len(words)
-            parts.append(np.fromiter(map(lookup, words), np.int64, len(words)))
-        if self.codes.new:
-            got = self._library([w.decode("utf-8", "replace") for w in self.codes.new])
-            self.codes.new.clear()
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words; the library gets ``CALL_WORDS`` at a time, as its answers take some kilobytes each."""
+        for at in range(0, len(words), CALL_WORDS):
+            got = self._library([w.decode("utf-8", "replace") for w in words[at: at + CALL_WORDS]])
             lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((t for ids in got for t in ids), np.uint32, int(lengths.sum()))])
-        return (np.concatenate(parts) if parts else np.empty(0, np.int64)), sizes
+            self.lengths.append(lengths)
+            self.answers.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
+        lengths = np.concatenate(self.lengths)
+        self.lengths, self.answers = [lengths], [np.concatenate(self.answers)]
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+
+    def _coded(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text of each piece, words of each piece, numbers of all their words) by groups of pieces; the numbers hold until the next group."""
+        for group in _groups(texts):
+            if len(self.codes) > MEMO_WORDS:
+                self._forget()
+            lookup, parts = self.codes.__getitem__, []
+            for _, piece in group:
+                words = piece.split()  # bytes: the six ASCII spaces
+                parts.append(np.fromiter(map(lookup, words), np.int64, len(words)))
+            if self.codes.new:
+                self._learn(self.codes.new)
+                self.codes.new.clear()
+            yield np.array([row for row, _ in group]), np.array([len(x) for x in parts]), np.concatenate(parts)
+
+    def _sizes(self, rows: np.ndarray, words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> None:
+        """Add the ids of each piece to its text's."""
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        np.add.at(sizes, rows, np.diff(total[np.concatenate([[0], np.cumsum(words)])]))
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         if not self.by_word:
             return np.array([len(x) for x in self._library([t.decode("utf-8", "replace") for t in texts])], np.int64)
-        codes, sizes = self._word_codes(texts)
-        total = np.concatenate([[0], np.cumsum(np.diff(self.first)[codes])])
-        return np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+        sizes = np.zeros(len(texts), np.int64)
+        for rows, words, codes in self._coded(texts):
+            self._sizes(rows, words, self.lengths[0][codes], sizes)
+        return sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if not self.by_word:
             got = self._library([t.decode("utf-8", "replace") for t in texts])
             sizes = np.array([len(x) for x in got], np.int64)
-            return np.fromiter((t for ids in got for t in ids), np.uint32, int(sizes.sum())), sizes
-        codes, sizes = self._word_codes(texts)
-        lengths = np.diff(self.first)[codes]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.first[codes] - total[:-1], lengths) + np.arange(total[-1])
-        return self.ids[at], np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+        sizes, out = np.zeros(len(texts), np.int64), []
+        for rows, words, codes in self._coded(texts):
+            lengths = self.lengths[0][codes]
+            self._sizes(rows, words, lengths, sizes)
+            before = np.cumsum(lengths) - lengths
+            out.append(self.answers[0][np.repeat(self.first[codes] - before, lengths) + np.arange(lengths.sum())])
+        return (np.concatenate(out) if out else np.empty(0, np.uint32)), sizes
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` cut at white space into runs of about ``PIECE_BYTES`` bytes (more only for a longer word)."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        space = SPACE.search(text, at + PIECE_BYTES)
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
+def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(text, piece) in runs of about ``PIECE_BYTES`` bytes."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        for piece in _pieces(text):
+            if group and size + len(piece) > PIECE_BYTES:
+                yield group
+                group, size = [], 0
+            group.append((row, piece))
+            size += len(piece)
+    if group:
+        yield group
 
 
 def drops_white_space(config: dict) -> bool:
