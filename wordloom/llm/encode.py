@@ -23,6 +23,9 @@ MEMO_WORDS = 400_000
 CALL_WORDS = 8192
 PIECE_BYTES = 1 << 20
 SPACES = "\t\n\x0b\x0c\r "
+#: Words of one or two pre-tokens: letters that no normaliser here splits, and one run of marks after them.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+JOINED = 256
 SPACE = re.compile(b"[\t\n\x0b\x0c\r ]")
 
 
@@ -46,7 +49,11 @@ class JsonEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_word = drops_white_space(json.load(f))
+            config = json.load(f)
+        self.by_word = drops_white_space(config)
+        suffix = (config.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and t.endswith(suffix) for t in self._tokens()])
+        self.joins = self.by_word and bool(suffix) and self._answers(["Ab", "é,", "b", "zÿ.!", "Ü"], joined=True) == self._library(["Ab", "é,", "b", "zÿ.!", "Ü"])
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._forget()
 
@@ -58,10 +65,35 @@ class JsonEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _tokens(self) -> list[str]:
+        return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def _answers(self, words: list[str], joined: bool) -> list[list[int]]:
+        """Ids of each word.  ``joined``: plain words go to the library with spaces between them, which is cheaper; the
+        tokens that end a pre-token tell them apart.  A run with another number of such ends is asked word by word."""
+        marks = [PLAIN.fullmatch(w) if joined else None for w in words]
+        out: list = [None] * len(words)
+        plain = [i for i, m in enumerate(marks) if m]
+        rest = [i for i, m in enumerate(marks) if not m]
+        runs = [plain[at: at + JOINED] for at in range(0, len(plain), JOINED)]
+        for run, ids in zip(runs, self._library([" ".join(words[i] for i in run) for run in runs]), strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([2 if marks[i][1] else 1 for i in run]) - 1
+            if last[-1] + 1 != len(ends) or ends[-1] != len(ids):
+                rest += run
+                continue
+            begin = 0
+            for i, end in zip(run, ends[last].tolist(), strict=True):
+                out[i] = ids[begin:end]
+                begin = end
+        for i, ids in zip(rest, self._library([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words; the library gets ``CALL_WORDS`` at a time, as its answers take some kilobytes each."""
         for at in range(0, len(words), CALL_WORDS):
-            got = self._library([w.decode("utf-8", "replace") for w in words[at: at + CALL_WORDS]])
+            got = self._answers([w.decode("utf-8", "replace") for w in words[at: at + CALL_WORDS]], self.joins)
             lengths = np.fromiter(map(len, got), np.int64, len(got))
             self.lengths.append(lengths)
             self.answers.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
