@@ -11,6 +11,10 @@ Training uses a bounded sample of labelled rows (``per_language`` of each langua
 chosen by a hash of the text; at most ``max_languages`` languages), one window of each by
 the same hash.  The trained network is some thousand numbers, broadcast to the tasks.
 
+A softmax has no answer "none of these", so a network always names a language.  Whether a text is in the named
+one is decided by its byte pairs (``pair_fit``): texts whose pairs suit no learned language clearly
+better than the language's own bytes in random order are not ``accepted``.
+
 Defined cases.  Null texts and texts without a letter are ``und`` with score 0.  Null labels
 are not learned from.  Without any labelled text every text is ``und``.
 Repeated rows are predicted alike.  An empty table gives an empty result.
@@ -29,6 +33,13 @@ from pyspark.sql import functions as F
 from wordloom.llm import common as cm
 
 UNKNOWN = "und"
+# Classes of (lower) bytes whose pairs are counted: 0 for blanks and marks, 1 for digits, the letters a to z, bytes beyond ASCII.
+KINDS = 2 + 26 + 128
+KIND = np.concatenate([np.zeros(48, np.int32), np.ones(10, np.int32), np.zeros(39, np.int32), np.arange(2, 28, dtype=np.int32), np.zeros(5, np.int32), np.arange(28, KINDS, dtype=np.int32)])
+MIXED = KINDS * KINDS  # stands for every pair of a word of letters and digits
+PRIOR_PAIRS = 5.0  # weight of the single bytes' shares in a pair's probability
+NEEDED = 0.25  # on sf0.001 to sf0.1 every text reaches 0.33, random letters, base64 and other alphabets at most -0.16, Finnish 0.03
+FEW_ROWS = 30  # learned rows of a language under which its pairs are hardly known
 
 
 @dataclass(frozen=True)
@@ -52,6 +63,8 @@ class ByteNet:
     p: NetParams
     names: list[str]
     w: dict[str, np.ndarray] = field(default_factory=dict)
+    fit_of: np.ndarray | None = None  # (languages, pairs), see pair_fit
+    slack: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         if self.w:
@@ -146,6 +159,56 @@ def windows_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return cm.TO_LOWER[out], row, length
 
 
+def _pairs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring bytes' classes (``MIXED`` in words of letters and digits), and where they count: one of the two is of a letter."""
+    kinds = KIND[np.pad(windows, ((0, 0), (0, 1)))]
+    flat = kinds.ravel()
+    starts = np.flatnonzero(np.diff(flat > 0, prepend=False))  # of words and of what is between them
+    if len(starts):
+        mixed = (np.minimum.reduceat(np.where(flat > 0, flat, KINDS), starts) == 1) & (np.maximum.reduceat(flat, starts) > 1)
+        within = np.zeros(len(flat), bool)
+        within[starts[0]:] = np.repeat(mixed, np.diff(starts, append=len(flat)))
+        within = within.reshape(kinds.shape)
+    else:
+        within = np.zeros(kinds.shape, bool)
+    first, second = kinds[:, :-1], kinds[:, 1:]
+    pairs = np.where(within[:, :-1] | within[:, 1:], MIXED, first * KINDS + second)
+    return pairs, (first > 1) | (second > 1)
+
+
+def pair_fit(windows: np.ndarray, labels: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, pairs) log-probabilities of a byte after another, above the mean that a text of the language needs, and each language's slack.
+
+    The mean needed lies ``NEEDED`` of the way from what the language's own bytes reach in random order to what its learned
+    rows reach (the median of the rows, each judged without its own pairs).  Words of letters and digits (blobs,
+    keys) count like random order.  Rows of a language of fewer than ``FEW_ROWS`` may reach less: its slack spares them all.
+    """
+    out, slack = np.empty((languages, MIXED + 1), np.float32), np.zeros(languages)
+    pairs, inside = _pairs(windows)
+    inside &= pairs != MIXED
+    for k in range(languages):
+        seen = [pairs[i][inside[i]] for i in np.flatnonzero(labels == k)]
+        seen = [x for x in seen if len(x)]
+        count = np.bincount(np.concatenate([*seen, np.empty(0, int)]).astype(int), minlength=MIXED).astype(float)
+        own = [_log_pairs(count - np.bincount(x, minlength=MIXED))[0][x].mean() for x in seen]
+        log, share = _log_pairs(count)
+        chance = np.outer(share, share)
+        chance[:2, :2] = 0
+        random = (chance.ravel() @ log) / chance.sum()
+        needed = random + NEEDED * max(np.median(own) - random, 0) if own else random
+        out[k, :MIXED], out[k, MIXED] = log - needed, random - needed
+        if 0 < len(own) < FEW_ROWS:
+            slack[k] = max(needed - min(own), 0)
+    return out, slack
+
+
+def _log_pairs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of each pair's second byte after its first, and the shares of single bytes."""
+    table = count.reshape(KINDS, KINDS)
+    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * KINDS)
+    return np.log((table + PRIOR_PAIRS * share) / (table.sum(1, keepdims=True) + PRIOR_PAIRS)).ravel(), share
+
+
 def train(labelled: DataFrame, p: NetParams = NetParams(), text: str = "text", label: str = "lang") -> ByteNet | None:
     """A network from a bounded sample of the labelled rows; None if there are none."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(text).alias("h")).where("label is not null and text rlike '\\\\p{L}'")
@@ -167,7 +230,10 @@ def train(labelled: DataFrame, p: NetParams = NetParams(), text: str = "text", l
     windows = np.zeros((len(sample), p.window), np.uint8)
     for i, b in enumerate(sample["bytes"]):
         windows[i, : len(b)] = cm.TO_LOWER[np.frombuffer(b, np.uint8)]
-    return ByteNet(p, names).fit(windows, np.searchsorted(names, sample["label"]))
+    labels = np.searchsorted(names, sample["label"])
+    net = ByteNet(p, names).fit(windows, labels)
+    net.fit_of, net.slack = pair_fit(windows, labels, len(names))
+    return net
 
 
 def labelled(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +252,30 @@ def labelled(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     return np.where(letters, np.array(net.names, object)[best], UNKNOWN), np.where(letters, score, 0.0)
 
 
+def fitting(net: ByteNet | None, texts: pa.Array, lang: np.ndarray) -> np.ndarray:
+    """Whether each text's byte pairs suit the language it was given, or else another learned one; nothing suits ``und``.
+
+    The other languages are asked as the network errs on clean texts too, above all if it has learned from few rows.
+    """
+    fits = np.zeros(len(texts), bool)
+    if net is None:
+        return fits
+    windows, row, _ = windows_of(texts, net.p.window)
+    known = lang != UNKNOWN
+    named = np.searchsorted(net.names, np.where(known, lang, net.names[0]).astype(str))
+    for k in range(-1, len(net.names)):  # -1: the given language
+        left = np.flatnonzero((known & ~fits)[row])
+        total = np.zeros(len(texts))
+        for at in range(0, len(left), 1024):
+            some = left[at: at + 1024]
+            of = named[row[some]] if k < 0 else np.full(len(some), k)
+            pairs, inside = _pairs(windows[some])
+            values = net.fit_of[of[:, None], pairs] + (net.slack[of][:, None] if k < 0 else 0)
+            total += np.bincount(row[some], np.where(inside, values, 0).sum(1), len(texts))
+        fits |= known & (total > 0)
+    return fits
+
+
 def predict(docs: DataFrame, net: ByteNet | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score -- a row per input row."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -199,11 +289,11 @@ def predict(docs: DataFrame, net: ByteNet | None, doc_id: str = "doc_id", text:
 
 
 def accepted(docs: DataFrame, net: ByteNet | None, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with a language, of at least the given score."""
+    """Rows of ``docs`` whose byte pairs suit a learned language, of at least the given score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(rows, texts):
         lang, score = labelled(shared.value, texts)
-        return (lang != UNKNOWN) & (score >= min_score)
+        return fitting(shared.value, texts, lang) & (score >= min_score)
 
     return cm.filter_texts(docs, run, text)
