@@ -158,6 +158,16 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_copies_leave_the_language_sample_whole(spark):
+    p = langid.NetParams(per_language=20)
+    many = spark.range(300_000).selectExpr("concat('copied text ', id) as text").withColumn("h", cm.F.xxhash64("text"))
+    copied = many.where("pmod(h, 1000000) < 500").orderBy("h").first().text  # in any share, before most others in hash order
+    one = spark.range(20_000).select(cm.F.lit(copied).alias("text"), cm.F.lit("aa").alias("lang"))
+    own = spark.range(400).selectExpr("concat('own text ', id) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    sample = langid.sampled(one.unionByName(own), p)
+    assert sample.groupby("label")["h"].nunique().to_dict() == sample["label"].value_counts().to_dict() == {"aa": 20, "bb": 20}
+
+
 def test_mixing(docs):
     got = mixing.mixed(docs, mixing.Mix())
     assert got.columns == [*docs.columns, "mix_block", "mix_rank"]

@@ -7,7 +7,7 @@ languages' probabilities.  Narrow filters are padded with zeros to the widest, s
 batch of windows is one matrix product.  A document's probabilities are
 the mean over its windows, weighted by bytes.
 
-Training uses a bounded sample of labelled rows (``per_language`` of each language,
+Training uses a bounded sample of labelled rows (``per_language`` different texts of each language,
 chosen by a hash of the text; at most ``max_languages`` languages), one window of each by
 the same hash.  The trained network is some thousand numbers, broadcast to the tasks.
 
@@ -25,9 +25,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import common as cm
@@ -209,24 +210,27 @@ def _log_pairs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log((table + PRIOR_PAIRS * share) / (table.sum(1, keepdims=True) + PRIOR_PAIRS)).ravel(), share
 
 
-def train(labelled: DataFrame, p: NetParams = NetParams(), text: str = "text", label: str = "lang") -> ByteNet | None:
-    """A network from a bounded sample of the labelled rows; None if there are none."""
+def sampled(labelled: DataFrame, p: NetParams, text: str = "text", label: str = "lang") -> pd.DataFrame:
+    """label, h, bytes: a window of at most ``per_language`` different texts of each label, those of the least hash shares."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(text).alias("h")).where("label is not null and text rlike '\\\\p{L}'")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(p.max_languages).collect()}
-    if not counts:
-        return None
-    names = sorted(counts)
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "label").limit(p.max_languages).collect()}
     part = F.pmod("h", F.lit(1_000_000))
     share = F.lit(0)
     for name, n in counts.items():  # 1.2 times the bound, then cut to it
-        share = F.when(F.col("label") == name, F.lit(int(min(1, 1.2 * p.per_language / n) * 1_000_000) + 1)).otherwise(share)
+        share = F.when(F.col("label") == name, F.lit(int(min(1, 1.2 * p.per_language / max(n, 1)) * 1_000_000) + 1)).otherwise(share)
     size = F.octet_length("text")
     start = F.pmod(F.shiftrightunsigned("h", 24), F.greatest(size - F.lit(p.window), F.lit(0)) + 1)
-    sample = (
-        rows.where(part < share).select("label", "h", F.substring(F.encode("text", "UTF-8"), start.cast("int") + 1, F.lit(p.window)).alias("bytes"))
-        .orderBy("h", "label").limit(int(1.5 * p.per_language * len(names)) + 1000).toPandas()
-    )
-    sample = sample[sample.groupby("label").cumcount() < p.per_language]
+    few = rows.where(part < share).select("label", "h", F.substring(F.encode("text", "UTF-8"), start.cast("int") + 1, F.lit(p.window)).alias("bytes")).distinct()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(part, "h"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= p.per_language).drop("nth").toPandas().sort_values(["h", "label"], ignore_index=True)
+
+
+def train(labelled: DataFrame, p: NetParams = NetParams(), text: str = "text", label: str = "lang") -> ByteNet | None:
+    """A network from a bounded sample of the labelled rows; None if there are none."""
+    sample = sampled(labelled, p, text, label)
+    if sample.empty:
+        return None
+    names = sorted(set(sample["label"]))
     windows = np.zeros((len(sample), p.window), np.uint8)
     for i, b in enumerate(sample["bytes"]):
         windows[i, : len(b)] = cm.TO_LOWER[np.frombuffer(b, np.uint8)]
