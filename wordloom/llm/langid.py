@@ -39,7 +39,7 @@ KINDS = 2 + 26 + 128
 KIND = np.concatenate([np.zeros(48, np.int32), np.ones(10, np.int32), np.zeros(39, np.int32), np.arange(2, 28, dtype=np.int32), np.zeros(5, np.int32), np.arange(28, KINDS, dtype=np.int32)])
 MIXED = KINDS * KINDS  # stands for every pair of a word of letters and digits
 PRIOR_PAIRS = 5.0  # weight of the single bytes' shares in a pair's probability
-NEEDED = 0.25  # on sf0.001 to sf0.1 every text reaches 0.33, random letters, base64 and other alphabets at most -0.16, Finnish 0.03
+NEEDED = 0.25  # seen before MIXED was added: texts of sf0.001 to sf0.1 reach 0.33 or more, random letters and other alphabets at most -0.16, Finnish 0.03
 FEW_ROWS = 30  # learned rows of a language under which its pairs are hardly known
 
 
