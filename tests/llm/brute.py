@@ -108,3 +108,39 @@ def mixture(rows, entropy, repeats_):
                 out.append((i, s, whole))
             at += n
     return sorted(out, key=str)
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def framed(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def merkle(rows, arity, change):
+    """(id, leaf, subroot, root, proof, folded root, verified) of rows (id, source, lang, n_chars, text); ``change(id, text)``: the tampered text."""
+    def climb(nodes):
+        """Top digest, and each lowest node's (left, right) level by level."""
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for p, i in zip(paths, at, strict=True):
+                run = i - i % arity
+                p.append(("".join(nodes[run:i]), "".join(nodes[i + 1:run + arity])))
+            nodes, at = [sha(*nodes[i:i + arity]) for i in range(0, len(nodes), arity)], [i // arity for i in at]
+        return nodes[0], paths
+
+    leaves = sorted(((r[1] is not None, (r[1] or "").encode(), r[0] is not None, r[0] or 0, sha(*map(framed, r))), r) for r in rows)
+    sources = []
+    for key, r in leaves:
+        if not sources or sources[-1][0] != key[:2]:
+            sources.append((key[:2], []))
+        sources[-1][1].append((key[4], r))
+    trees = [climb([leaf for leaf, _ in s]) for _, s in sources]
+    root, above = climb([top for top, _ in trees]) if trees else (None, [])
+    for (_, s), (top, paths), rest in zip(sources, trees, above, strict=True):
+        for (leaf, r), own in zip(s, paths, strict=True):
+            h, path = sha(*map(framed, (*r[:4], change(r[0], r[4])))), own + rest
+            for left, right in path:
+                h = sha(left, h, right)
+            yield r[0], leaf, top, root, sha(*(x + y for x, y in path)), h, h == root

@@ -124,5 +124,44 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _op11() -> str:
+    def framed(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+    def siblings(nodes: str, tree: str) -> str:
+        """Digests on either side of each node, in its run of three."""
+        return f"""select a.lv, {tree} a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx < a.idx), '') as lft, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx > a.idx), '') as rgt
+  from {nodes} a left join {nodes} b on a.lv = b.lv {"and a.source is not distinct from b.source" if tree else ""} and a.idx // 3 = b.idx // 3 and a.idx <> b.idx
+  where a.n > 1 group by a.lv, {tree} a.idx"""
+
+    values = " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars")))
+    return f"""
+with recursive bits(i, k, v) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+tab as (select list(v order by i) as t from bits where k = 8),
+d as (select doc_id, source, sha256({values} || {framed("text")}) as leaf, sha256({values} || {framed("replace(text, chr(10), '')")}) as cut,
+             xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 as tampered
+      from documents, tab),
+low as (select *, row_number() over (partition by source order by doc_id) - 1 as idx, count(*) over (partition by source) as n from d),
+nodes(lv, source, idx, n, h) as (
+  select 0, source, idx, n, leaf from low
+  union all select lv + 1, source, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from nodes where n > 1 group by lv, source, idx // 3, n),
+subs as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from nodes where n = 1),
+tops(lv, idx, n, h) as (
+  select 0, idx, n, subroot from subs
+  union all select lv + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from tops where n > 1 group by lv, idx // 3, n),
+sib as ({siblings("nodes", "a.source,")}),
+topsib as ({siblings("tops", "")}),
+steps as (
+  select low.doc_id, 0 as phase, lv, lft, rgt from low join sib on low.source is not distinct from sib.source and sib.idx = low.idx // pow(3, lv)::bigint
+  union all
+  select low.doc_id, 1, lv, lft, rgt from low join subs on low.source is not distinct from subs.source join topsib on topsib.idx = subs.idx // pow(3, lv)::bigint),
+proof as (select doc_id, sha256(string_agg(lft || rgt, '' order by phase, lv)) as proof, list(lft || '|' || rgt order by phase, lv) as path from steps group by doc_id),
+r as (select low.doc_id, leaf, subroot, tops.h as root, coalesce(proof, sha256('')) as proof_sha256,
+             list_reduce(list_concat([case when tampered then cut else leaf end], coalesce(path, [])), lambda a, e: sha256(split_part(e, '|', 1) || a || split_part(e, '|', 2))) as folded_root
+      from low join subs on low.source is not distinct from subs.source join tops on tops.n = 1 left join proof using (doc_id))
+select *, folded_root = root as verified from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_near_duplicates": OP2, "op3_substring_dedup": OP3, "op5_quality": _op5(), "op7_decontamination": OP7}
+    return {"op1_mixing": OP1, "op2_near_duplicates": OP2, "op3_substring_dedup": OP3, "op5_quality": _op5(), "op7_decontamination": OP7, "op11_merkle": _op11()}

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables: ``opN_<name> -> (spark, sf_dir) -> DataFrame``."""
+"""The operators as queries over whole tables: ``opN_<name> -> (spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import common as cm
-from wordloom.llm import decontam, langid, minhash, mixing, quality, secretscan, sharding, substring, tokencount, tokenids
+from wordloom.llm import decontam, langid, merkle, minhash, mixing, quality, secretscan, sharding, substring, tokencount, tokenids
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = {f"shard-{i:02d}": 1 for i in range(16)}
@@ -82,8 +82,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "slot", "shard", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast(T.LongType()).alias("n_bytes"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    rows = merkle.manifest(cm.table(spark, sf_dir, "documents"), tampered={"text": F.translate("text", "\n", "")}, when=even)
+    return merkle.verified(rows)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_mixing, op2_near_duplicates, op3_substring_dedup, op4_secrets, op5_quality, op6_language_id, op7_decontamination,
-        op8_token_ids, op9_token_counts, op10_sharding,
+        op8_token_ids, op9_token_counts, op10_sharding, op11_merkle,
     )}
