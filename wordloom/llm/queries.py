@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import common as cm
-from wordloom.llm import decontam, langid, merkle, minhash, mixing, quality, secretscan, sharding, substring, tokencount, tokenids
+from wordloom.llm import alignment, decontam, fingerprints, langid, merkle, minhash, mixing, quality, secretscan, sharding, substring, tokencount, tokenids
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = {f"shard-{i:02d}": 1 for i in range(16)}
@@ -88,8 +88,19 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(rows)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(cm.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_classes(cm.table(spark, sf_dir, "documents"))
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_mixing, op2_near_duplicates, op3_substring_dedup, op4_secrets, op5_quality, op6_language_id, op7_decontamination,
-        op8_token_ids, op9_token_counts, op10_sharding, op11_merkle,
+        op8_token_ids, op9_token_counts, op10_sharding, op11_merkle, op12_token_alignment, op13_fingerprints,
     )}
