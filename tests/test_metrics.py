@@ -70,3 +70,13 @@ def test_report_and_confusion_match_definitions(spark):
 
     accs = {r.split: r.accuracy for r in mx.accuracy(enc, "label_idx", "pred_idx", by=("split",)).collect()}
     assert round(accs["test"], 12) == round(acc, 12)
+
+
+def test_many_classes_have_the_long_form(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(i % 1500, (i * 7) % 1500) for i in range(6000)] + [(None, 3)], "label_idx int, pred_idx int")
+    with pytest.raises(ValueError, match="confusion_pairs"):
+        mx.confusion_matrix(rows, spark.createDataFrame([("a", 0)], "label string, idx int"), 1500)
+    pairs = mx.confusion_pairs(rows).collect()
+    assert sum(r.n for r in pairs) == 6000 and len(pairs) == 1500

@@ -118,3 +118,27 @@ def apply_case(pattern: Column, value: Column, value_upper: Column, value_title:
 def replace_core(word: Column, replacement: Column) -> Column:
     """Put ``replacement`` where the word's core is, keeping outer punctuation."""
     return F.concat(word_prefix(word), replacement, word_suffix(word))
+
+
+def replace_words(words: Column, changes: Column) -> Column:
+    """``words`` joined by blanks, with those at the given positions replaced.
+
+    ``changes``: array<struct<pos, out_word>> in any order, each position once.
+    The changes are sorted and the slices of words between them taken as they
+    are, so the work is linear in the words plus the changes.
+    """
+    def joined(one: Column) -> Column:
+        w, c = one["w"], one["c"]
+        n = F.size(c)
+
+        def piece(i: Column) -> Column:
+            begin = F.when(i > 0, F.get(c, i - 1)["pos"] + 1).otherwise(F.lit(0))
+            end = F.when(i < n, F.get(c, i)["pos"]).otherwise(F.size(w))
+            changed = F.when(i < n, F.array(F.get(c, i)["out_word"])).otherwise(F.array().cast("array<string>"))
+            return F.concat(F.slice(w, begin + 1, end - begin), changed)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), piece)), " ")
+
+    # a one-element array binds both arrays to a variable: they are computed once a row
+    bound = F.array(F.struct(words.alias("w"), F.sort_array(changes).alias("c")))
+    return F.element_at(F.transform(bound, joined), 1)

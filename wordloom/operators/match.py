@@ -173,13 +173,15 @@ def _deletion_candidates(w: DataFrame, dictionary: Dictionary, params: MatchPara
     dictionary.
     """
     k = params.fuzzy_threshold
-    kv = dictionary.df.select(
-        F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
-        F.explode(deletion_variants(F.col("key"), deletion_budget(F.length("key"), params), k)).alias("v"),
-    )
-    # the variant table's size depends on key lengths: count it (dictionary-sized) before broadcasting
-    kv = cut_lineage(kv)
-    if kv.count() <= MAX_BROADCAST_ROWS:
+    # the variant table's size depends on key lengths: it is made and counted (dictionary-sized) once for each dictionary
+    if params not in dictionary.variants:
+        kv = cut_lineage(dictionary.df.select(
+            F.col("key").alias("b_key"), F.col("ord").alias("b_ord"),
+            F.explode(deletion_variants(F.col("key"), deletion_budget(F.length("key"), params), k)).alias("v"),
+        ))
+        dictionary.variants[params] = kv, kv.count()
+    kv, n_variants = dictionary.variants[params]
+    if n_variants <= MAX_BROADCAST_ROWS:
         kv = F.broadcast(kv)
     # a word too long or too short for every key stands for itself alone: its variants grow with its length squared
     lo, hi = dictionary.key_lengths

@@ -76,9 +76,21 @@ def classification_report(df: DataFrame, mapping: DataFrame, true_col: str = "la
     return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
+# Classes that a matrix may have as columns; beyond, see ``confusion_pairs``.
+MAX_CLASSES = 1_000
+
+
+def confusion_pairs(df: DataFrame, true_col: str = "label_idx", pred_col: str = "pred_idx") -> DataFrame:
+    """A9 in long form, for any number of classes: true_idx, pred_idx, n of the pairs that occur."""
+    rows = df.filter(F.col(true_col).isNotNull())
+    return rows.groupBy(F.col(true_col).alias("true_idx"), F.col(pred_col).alias("pred_idx")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 def confusion_matrix(df: DataFrame, mapping: DataFrame, class_count: int,
                      true_col: str = "label_idx", pred_col: str = "pred_idx") -> DataFrame:
-    """rows = true class, columns ``pred_<i>`` = predicted class, zero-filled."""
+    """rows = true class, columns ``pred_<i>`` = predicted class, zero-filled; at most ``MAX_CLASSES`` classes."""
+    if class_count > MAX_CLASSES:
+        raise ValueError(f"{class_count} classes are too many for a matrix of columns: use confusion_pairs")
     rows = df.filter(F.col(true_col).isNotNull())
     idx = list(range(class_count))
     counts = (

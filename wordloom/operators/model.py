@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,6 @@ class TrainParams:
     reg_param: float = 0.01
     elastic_net: float = 0.0
     num_features: int = 1 << 18
-    seed: int = 42
 
 
 def feature_stages(params: TrainParams, text_col: str = "text"):
@@ -96,15 +95,32 @@ def train_select(spark: SparkSession, train: DataFrame, val: DataFrame, params:
     return Selection(model, history, best_round)
 
 
-def predict(model: PipelineModel, df: DataFrame, labels: list[str]) -> DataFrame:
-    """M5 + F16: predicted index / class, confidence (max probability), label -> probability map."""
-    out = model.transform(df)
-    probs = vector_to_array(F.col("probability"))
+def with_label_names(model: PipelineModel, labels: list[str]) -> PipelineModel:
+    """The pipeline with decoding as its last stage, so that a saved model needs nothing else to name its classes."""
+    return PipelineModel(stages=[*model.stages, IndexToString(inputCol="prediction", outputCol="predicted_class", labels=list(labels))])
+
+
+def label_names(model: PipelineModel) -> list[str]:
+    last = model.stages[-1]
+    if not isinstance(last, IndexToString):
+        raise ValueError("the pipeline does not decode its labels: see with_label_names")
+    return list(last.getLabels())
+
+
+def predict(model: PipelineModel, df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """M5 + F16: predicted index / class, confidence (max probability), label -> probability map.
+
+    Without ``labels`` the pipeline must decode its own (``with_label_names``)."""
+    if labels is None:
+        labels = label_names(model)
+        decoded = F.col("predicted_class")
+    else:
+        decoded = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
     names = F.array(*[F.lit(x) for x in labels])
     return (
-        out.withColumn("_p", probs)
+        model.transform(df).withColumn("_p", vector_to_array(F.col("probability")))
         .withColumn("pred_idx", F.col("prediction").cast("int"))
-        .withColumn("predicted_class", F.element_at(names, F.col("pred_idx") + 1))
+        .withColumn("predicted_class", decoded)
         .withColumn("confidence", F.array_max("_p"))
         .withColumn("all_probabilities", F.map_from_arrays(names, F.col("_p")))
         .drop("_p", "_words", "_tf", "features", "rawPrediction", "probability", "prediction")

@@ -6,16 +6,25 @@ Plan shape, per call::
     tokens --distinct(word)--> raw words, cleaned once each        1 shuffle (partial agg), checkpoint
     cleaned words that could hit --distinct--> cascade            word map (hits only), checkpoint + count
     raw words JOIN word map --> per-raw-token answers              hits + skipped, checkpoint + count
-    tokens LEFT JOIN answers on the raw word --> stage, out_word   broadcast, or salted shuffle join
-    changed tokens + position-0 token --groupBy(row_id)--> text   per-row map of replacements
+    tokens LEFT JOIN answers on the raw word --> stage, out_word   broadcast
+    changed tokens + position-0 token --groupBy(row_id)--> text   per-row list of replacements
 
 Big text columns are never copied per token: they ride along on the token at
 position 0 only and are picked up again by the regroup, which rebuilds each
-text from its own token array and the map of replaced positions.
+text from its own token array and the sorted list of its replacements.
+
+Beyond the broadcast gate only tokens that pass a Bloom filter over the answered
+words meet the answers in a shuffle join by word (frequent words salted), as
+(row_id, pos, word) without any text; the texts are joined with their rows'
+replacements by row_id::
+
+    tokens that may hit --word--> answers --> (row_id, pos, out_word)
+    replacements --groupBy(row_id)--> JOIN texts by row_id --> text
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +33,16 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as tx
 from wordloom.operators.layout import spread_by
 from wordloom.operators.match import VALUE_COLS, MatchParams, word_map
+from wordloom.operators.wordfilter import word_filter
 from wordloom.session import cut_lineage
 from wordloom.sources.dictionary import Dictionary
 
 # Size gate for the token-side join: word maps up to this many rows are broadcast.
 WORD_MAP_BROADCAST_ROWS = 1_000_000
-# Salt buckets for the shuffle join used beyond the gate (hot words spread out).
+# Salt buckets of hot words in the shuffle join used beyond the gate.
 SALT_BUCKETS = 64
+# A word is hot with more than this share (1 / HOT_SHARE) of all answered tokens: fewer than HOT_SHARE words are.
+HOT_SHARE = 1000
 
 # Token stages: "short" (< 2 characters, untouched), "skipped" (cleans to
 # nothing, untouched), then the cascade's "exact" / "fuzzy" / "stretch", or "none".
@@ -81,6 +93,7 @@ class Normalizer:
     broadcast_rows: int = WORD_MAP_BROADCAST_ROWS
     salt_buckets: int = SALT_BUCKETS
     strategy: str = "auto"  # fuzzy candidates: "bucket", "deletion" or "auto"
+    cut: Callable[[DataFrame], DataFrame] = cut_lineage  # how intermediate tables are kept; a stream gives its own
 
     # -- word level -------------------------------------------------------
     def word_map(self, tokens_df: DataFrame) -> DataFrame:
@@ -92,7 +105,7 @@ class Normalizer:
 
     def materialize(self, table: DataFrame) -> tuple[DataFrame, bool]:
         """Checkpoint a lookup table (lineage cut) and decide broadcast by its row count."""
-        table = cut_lineage(table)
+        table = self.cut(table)
         return table, table.count() <= self.broadcast_rows
 
     def word_forms(self, tokens_df: DataFrame) -> DataFrame:
@@ -101,12 +114,15 @@ class Normalizer:
         A token's stage and output depend on the raw token alone, so the work is
         done once per distinct raw token (two characters or more): clean it,
         look the cleaned word up in the word map, and build the output form
-        (case pattern, kept punctuation).  Columns: word, clean, stage,
-        match_key, ord, value, similarity, out_word.  Tokens absent from it are
-        "short" (under two characters) or "none", and stay as they are.
+        (case pattern, kept punctuation).  Columns: word, n_tokens, clean,
+        stage, match_key, ord, value, similarity, out_word.  Tokens absent from
+        it are "short" (under two characters) or "none", and stay as they are.
         """
-        raw = tokens_df.filter(F.length("word") >= 2).select("word").distinct()
-        raw = cut_lineage(raw.withColumn("clean", tx.clean_word(F.col("word"))))
+        raw = tokens_df.filter(F.length("word") >= 2).groupBy("word").agg(F.count(F.lit(1)).alias("n_tokens"))
+        return self.answers(self.cut(raw.withColumn("clean", tx.clean_word(F.col("word")))))
+
+    def answers(self, raw: DataFrame) -> DataFrame:
+        """Answers for distinct raw words (word, n_tokens, clean): those that hit or clean to nothing."""
         wm, small = self.materialize(word_map(self._candidates(raw), self.dictionary, self.params, self.strategy))
         side = wm.select(F.col("clean").alias("_wclean"), "stage", "match_key", "ord", *VALUE_COLS, "similarity")
         joined = raw.join(F.broadcast(side) if small else side, F.col("clean") == F.col("_wclean"), "left")
@@ -116,7 +132,7 @@ class Normalizer:
             with_lower=F.col("stage") != "stretch",
         )
         return joined.filter(F.col("stage").isNotNull() | (F.col("clean") == "")).select(
-            "word", "clean",
+            "word", "n_tokens", "clean",
             F.when(F.col("clean") == "", F.lit("skipped")).otherwise(F.col("stage")).alias("stage"),
             "match_key", "ord", "value", "similarity",
             F.when(F.col("stage").isNotNull(), tx.replace_core(F.col("word"), value))
@@ -138,27 +154,23 @@ class Normalizer:
         """Attach stage and normalised word to every token.
 
         Tokens join the per-raw-token answers on the raw word (broadcast after a
-        count, salted shuffle join beyond the bound), so no per-token regex runs
-        here.  ``clean`` / ``match_key`` / ``value`` / ``similarity`` are set for
-        hits (``clean`` also for skipped tokens) and null otherwise.  ``forms``
-        may be given: a DataFrame of :meth:`word_forms`, or the pair returned
-        by :meth:`materialize` (then it is used as is).
+        count), so no per-token regex runs here.  Beyond the bound only tokens
+        that pass a Bloom filter over the answered words are shuffled.
+        ``clean`` / ``match_key`` / ``value`` / ``similarity`` are set for hits
+        (``clean`` also for skipped tokens) and null otherwise.  ``forms`` may
+        be given: a DataFrame of :meth:`word_forms`, or the pair returned by
+        :meth:`materialize` (then it is used as is).
         """
-        if isinstance(forms, tuple):  # already materialised by the caller
-            forms, small = forms
-        else:
-            forms, small = self.materialize(self.word_forms(tokens_df) if forms is None else forms)
-        side = forms.select(F.col("word").alias("_fword"), *[F.col(c).alias(f"_f_{c}") for c in FORM_COLS])
+        forms, small = self._given(tokens_df, forms)
         t = tokens_df.drop("clean")
         token_cols = t.columns
         if small:
-            joined = t.join(F.broadcast(side), F.col("word") == F.col("_fword"), "left")
+            joined = t.join(F.broadcast(_side(forms)), F.col("word") == F.col("_fword"), "left")
         else:
-            n = self.salt_buckets
-            t = t.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in token_cols if c not in ("word", "_carry")]), F.lit(n)))
-            s = side.withColumn("_fsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-            joined = t.join(s, (F.col("word") == F.col("_fword")) & (F.col("_salt") == F.col("_fsalt")), "left") \
-                .drop("_salt", "_fsalt")
+            marked = word_filter(forms, forms.count(), cut=self.cut).marked(t, name="_maybe")
+            others = marked.where("not _maybe").drop("_maybe")
+            others = others.select(*token_cols, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _side(forms).schema])
+            joined = self._meet(marked.where("_maybe").drop("_maybe"), forms, "left").unionByName(others)
         stage = F.when(F.length("word") < 2, F.lit("short")).otherwise(F.coalesce(F.col("_f_stage"), F.lit("none")))
         return joined.select(
             *token_cols,
@@ -167,9 +179,27 @@ class Normalizer:
             F.coalesce(F.col("_f_out_word"), F.col("word")).alias("out_word"),
         )
 
+    def _given(self, tokens_df: DataFrame, forms: DataFrame | tuple[DataFrame, bool] | None) -> tuple[DataFrame, bool]:
+        if isinstance(forms, tuple):  # already materialised by the caller
+            return forms
+        return self.materialize(self.word_forms(tokens_df) if forms is None else forms)
+
+    def _meet(self, toks: DataFrame, forms: DataFrame, how: str) -> DataFrame:
+        """Shuffle join of tokens and answers by word; the tokens of hot words are dealt over salts, and only these words' answers repeated."""
+        total = forms.agg(F.sum("n_tokens")).first()[0] or 0
+        hot = F.col("n_tokens") * HOT_SHARE > F.lit(total)
+        hot_words = F.broadcast(self.cut(forms.where(hot).select(F.col("word").alias("_hot"))))  # fewer than HOT_SHARE
+        keys = [c for c in toks.columns if c not in ("word", "_carry")]
+        n = F.lit(self.salt_buckets)
+        salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*keys), n)).otherwise(F.lit(0).cast("bigint"))
+        t = toks.join(hot_words, F.col("word") == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+        salts = F.when(hot, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array(F.lit(0).cast("bigint")))
+        s = _side(forms.withColumn("_fsalt", F.explode(salts)), "_fsalt")
+        return t.join(s, (F.col("word") == F.col("_fword")) & (F.col("_salt") == F.col("_fsalt")), how).drop("_salt", "_fsalt")
+
     # -- text level -------------------------------------------------------
     def normalize(self, df: DataFrame, text_col: str = "text", row_id: str = "row_id",
-                  keep_original: bool = True, forms: DataFrame | None = None) -> DataFrame:
+                  keep_original: bool = True, forms: DataFrame | tuple[DataFrame, bool] | None = None) -> DataFrame:
         """all columns kept, ``text_col`` normalised, ``<text>_original`` last,
         rows whose normalised text is blank removed (P1, F11, P2).  ``row_id`` must
         be unique among texts that are not blank; a repeated one raises.
@@ -178,48 +208,86 @@ class Normalizer:
         (see :meth:`annotate`), to share them with other passes.
         """
         others = [c for c in df.columns if c != row_id]
+        original = f"{text_col}_original" if keep_original else None
         df = spread_by(df, row_id)
         toks = tokenize(df, text_col, keys=(row_id,), carry=tuple(others))
-        ann = self.annotate(toks, forms)
-        original = f"{text_col}_original" if keep_original else None
-        return regroup(ann, row_id, text_col, others, original_col=original)
+        forms, small = self._given(toks, forms)
+        if small:
+            return regroup(self.annotate(toks, (forms, True)), row_id, text_col, others, original_col=original,
+                           may_turn_blank=self.dictionary.has_blank_values)
+        return self._rejoined(df, text_col, row_id, forms, original)
+
+    def blank_counts(self, df: DataFrame, by: str, text_col: str = "text", row_id: str = "row_id") -> DataFrame:
+        """Rows in and out of the blank filter per group.
+
+        A text is blank afterwards if it was blank before, unless a dictionary value is blank: then texts are normalised."""
+        if self.dictionary.has_blank_values:
+            kept = self.normalize(df.select(row_id, text_col), text_col, row_id, keep_original=False)
+            df = df.select(row_id, by).join(kept, row_id, "left")
+        return df.groupBy(by).agg(
+            F.count(F.lit(1)).cast("long").alias("rows_in"), F.count_if(~tx.is_blank(F.col(text_col))).cast("long").alias("rows_out"))
+
+    def _rejoined(self, df: DataFrame, text_col: str, row_id: str, forms: DataFrame, original: str | None) -> DataFrame:
+        """F13 beyond the gate: only words that may change are shuffled by word, texts meet their changes by row id."""
+        hit_forms = forms.where(F.col("stage").isin(*HIT_STAGES))
+        toks = tokenize(df, text_col, keys=(row_id,)).drop("clean")
+        probable = word_filter(hit_forms, hit_forms.count(), cut=self.cut).keep(toks)
+        hits = self._meet(probable, hit_forms, "inner").select(row_id, F.struct("pos", F.col("_f_out_word").alias("out_word")).alias("_hit"))
+        texts = df.where(~tx.is_blank(F.col(text_col)))
+        marks = texts.select(row_id, F.lit(None).cast(hits.schema["_hit"].dataType).alias("_hit"))
+        g = hits.unionByName(marks).groupBy(row_id).agg(F.collect_list("_hit").alias("_hits"), F.count_if(F.col("_hit").isNull()).alias("_rows"))
+        g = g.select(F.col(row_id).alias("_id"), _once(row_id, F.col("_id"), F.col("_hits")).alias("_hits"))
+        same = F.col(row_id).eqNullSafe(F.col("_id")) if df.schema[row_id].nullable else F.col(row_id) == F.col("_id")
+        out = texts.join(g, same).withColumn("_text", _rebuilt(F.col(text_col), F.col("_hits")))
+        out = out.filter(~tx.is_blank(F.col("_text"))) if self.dictionary.has_blank_values else out
+        cols = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in [row_id, *(c for c in df.columns if c != row_id)]]
+        return out.select(*cols, *([F.col(text_col).alias(original)] if original else []))
+
 
+def _side(forms: DataFrame, *more: str) -> DataFrame:
+    return forms.select(F.col("word").alias("_fword"), *more, *[F.col(c).alias(f"_f_{c}") for c in FORM_COLS])
+
+
+def _once(name: str, row_id: Column, hits: Column) -> Column:
+    """``hits``; two texts under one id would be merged: stop instead."""
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {name}: "), F.to_json(F.struct(row_id.alias(name)))))
+    return F.when(F.col("_rows") > 1, repeated.cast("array<struct<pos: int, out_word: string>>")).otherwise(hits)
+
+
+def _rebuilt(text: Column, hits: Column) -> Column:
+    """The text with its changed words; without a change only the whitespace is collapsed (one codegen'd regex)."""
+    return F.when(F.size(hits) == 0, tx.collapse_ws(text)).otherwise(tx.replace_words(tx.split_words(text), hits))
 
 
 def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
-            keys: tuple[str, ...] = (), original_col: str | None = None) -> DataFrame:
+            keys: tuple[str, ...] = (), original_col: str | None = None, may_turn_blank: bool = True) -> DataFrame:
     """F5 + F11: the normalised text of every row, words joined by one blank.
 
-    Only tokens that changed (dictionary hits) are aggregated, as a
-    ``position -> replacement`` map, together with the row's position-0 token
-    that carries the source text and the other columns.  The text is rebuilt
-    from its own token array with the replacements applied, so the per-row
+    Only tokens that changed (dictionary hits) are aggregated, as a list of
+    (position, replacement), together with the row's position-0 token that
+    carries the source text and the other columns.  The text is rebuilt from
+    its own token array with the replacements applied, so the per-row
     aggregate (and, for large inputs, its shuffle) moves one row per text plus
     the few changed words instead of every token.
 
     ``keys`` are per-token columns that depend on the row (grouped alongside
     ``row_id``, so a partitioning by ``row_id`` still serves the grouping);
     other columns of ``order`` come from the carry struct, which must hold
-    ``text_col``.
+    ``text_col``.  ``may_turn_blank``: replacements may be blank, so that a
+    text is only known to be blank once it is rebuilt.
     """
     is_hit = F.col("stage").isin(*HIT_STAGES)
     rows = annotated.filter(is_hit | (F.col("pos") == 0))
+    # the carried text is appended once; a buffer that holds it (first, max_by) would be copied for every hit of the row
     g = rows.groupBy(row_id, *keys).agg(
         F.collect_list(F.when(is_hit, F.struct("pos", "out_word"))).alias("_hits"),
-        F.first("_carry", ignorenulls=True).alias("_carry"),
-        F.count_if(F.col("pos") == 0).alias("_rows"),
+        F.collect_list("_carry").alias("_carries"),
     )
-    # two texts under one id would be merged: stop instead
-    repeated = F.raise_error(F.concat(F.lit(f"repeated {row_id}: "), F.to_json(F.struct(row_id))))
-    hits = F.when(F.col("_rows") > 1, repeated.cast(g.schema["_hits"].dataType)).otherwise(F.col("_hits"))
-    g = g.withColumn("_changes", F.map_from_entries(hits))
+    g = g.withColumn("_rows", F.size("_carries")).withColumn("_carry", F.get("_carries", F.lit(0)))
     src = F.col(f"_carry.{text_col}")
-    replaced = F.array_join(
-        F.transform(tx.split_words(src), lambda w, i: F.coalesce(F.try_element_at(F.col("_changes"), i), w)), " "
-    )
-    # rows without a hit only need their whitespace collapsed (one codegen'd regex, no per-word lambda)
-    text = F.when(F.size("_changes") == 0, tx.collapse_ws(src)).otherwise(replaced)
-    g = g.withColumn("_text", text).filter(~tx.is_blank(F.col("_text")))
+    g = g.withColumn("_hits", _once(row_id, F.col(row_id), F.col("_hits"))).filter(~tx.is_blank(src))
+    g = g.withColumn("_text", _rebuilt(src, F.col("_hits")))
+    g = g.filter(~tx.is_blank(F.col("_text"))) if may_turn_blank else g
     cols = [F.col(row_id)]
     for c in order:
         if c == text_col:
@@ -227,7 +295,7 @@ def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
         else:
             cols.append(F.col(c) if c in keys else F.col(f"_carry.{c}").alias(c))
     if original_col:
-        cols.append(F.col(f"_carry.{text_col}").alias(original_col))
+        cols.append(src.alias(original_col))
     return g.select(*cols)
 
 

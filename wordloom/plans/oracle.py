@@ -319,9 +319,9 @@ comments AS (
 SELECTS.update({
     "scan_csv_splits": f"SELECT row_id, split, {na('text')} AS text, {na('label')} AS label FROM labels_in",
     "split_profile": """
-        SELECT split, CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, min(row_id) AS first_row_id,
-               min(row_id) FILTER (WHERE rk = 2) AS second_row_id
-        FROM (SELECT split, row_id, row_number() OVER (PARTITION BY split ORDER BY row_id) AS rk FROM labels_in)
+        SELECT split, CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, 'row_id,text,label,split' AS column_names,
+               """ + ", ".join(f"max({c}) FILTER (WHERE rk = {i}) AS {c}_{i}" for i in (1, 2) for c in ("row_id", "text", "label")) + """
+        FROM (SELECT split, row_id, text, label, row_number() OVER (PARTITION BY split ORDER BY row_id) AS rk FROM labels_in)
         GROUP BY split""",
     "processed_roundtrip": (f"SELECT row_id, split, {na('text')} AS text, {na('lang')} AS lang, "
                             f"{na('source')} AS source, {na('text_original')} AS text_original FROM processed"),
@@ -329,8 +329,8 @@ SELECTS.update({
         SELECT {lit(MODEL_TYPE)} AS model_type, {THRESHOLD} AS levenshtein_threshold, {MAX_DIST} AS fuzzy_threshold,
                exact_matches, fuzzy_matches, no_matches, total_words,
                (SELECT CAST(count(*) AS BIGINT) FROM rest) AS fuzzy_cache_size,
-               (SELECT CAST(count(*) AS INTEGER) FROM dict0) AS n_dictionary_keys,
-               (SELECT CAST(count(*) AS INTEGER) FROM mapping) AS n_labels
+               (SELECT string_agg(key || '=' || value, ';' ORDER BY ord) FROM dict0) AS dictionary_pairs,
+               (SELECT string_agg(label || '=' || idx, ';' ORDER BY idx) FROM mapping) AS label_pairs
         FROM stats WHERE split = 'test'""",
     "sample_rows": """
         SELECT p.row_id, p.text_original AS original, p.text AS processed, l.label,
@@ -348,6 +348,34 @@ SELECTS.update({
         FROM (SELECT * FROM fz2 ORDER BY first_seen LIMIT 10)""",
 })
 
+_TEST_ACCURACY = ("(SELECT avg(CASE WHEN label_idx = pred_idx THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM scored "
+                  "WHERE split = 'test' AND label_idx IS NOT NULL)")
+
+
+def _samples(split: str) -> str:
+    return f"(SELECT CAST(count(*) AS BIGINT) FROM processed p JOIN labels l ON l.doc_id = p.row_id WHERE p.split = '{split}')"
+
+
+SELECTS.update({
+    "final_summary": f"""
+        SELECT {_TEST_ACCURACY} AS test_accuracy, {_samples('train')} AS train_samples, {_samples('val')} AS val_samples,
+               {_samples('test')} AS test_samples, total_words, exact_matches, fuzzy_matches, no_matches,
+               exact_matches + fuzzy_matches AS words_normalized,
+               CASE WHEN total_words > 0 THEN (exact_matches + fuzzy_matches)::DOUBLE / total_words::DOUBLE * 100.0::DOUBLE
+                    ELSE 0.0::DOUBLE END AS normalization_rate
+        FROM stats WHERE split = 'test'""",
+    "report_record": f"""
+        SELECT {_TEST_ACCURACY} AS test_accuracy, {lit(MODEL_TYPE)} AS model_type, {ENCODER_LENGTH} AS max_sequence_length,
+               exact_matches, fuzzy_matches, no_matches, total_words,
+               {_samples('train')} AS train, {_samples('val')} AS val, {_samples('test')} AS test,
+               {THRESHOLD} AS threshold, {MAX_DIST} AS max_edit_distance,
+               (SELECT CAST(count(*) AS BIGINT) FROM rest) AS cache_size
+        FROM stats WHERE split = 'test'""",
+    "model_roundtrip": """
+        SELECT x.row_id, x.label, true AS same FROM labels_in x JOIN processed p ON p.row_id = x.row_id WHERE x.split = 'test'""",
+    "stream_scored": "SELECT row_id, text_original AS original_text, text AS processed_text, true AS same FROM processed",
+})
+
 RESOLVE_SQL = f"""
 WITH cols AS (
   SELECT table_name AS tbl, column_name AS col, ordinal_position AS pos, data_type

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions import text as tx
+from wordloom.jobs.score import Scorer
 from wordloom.operators import features as fe
 from wordloom.operators import labels as lb
 from wordloom.operators import metrics as mx
@@ -165,11 +166,10 @@ def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """normalised text of every comment ('' for null / blank)."""
-    n = _normalizer(spark)
-    c = inputs.comments(spark, sf_dir)
-    done = n.normalize(c.select("row_id", "text"), "text", keep_original=False)
-    keys = c.select("row_id")
-    return keys.join(done, "row_id", "left").select("row_id", F.coalesce("text", F.lit("")).alias("text"))
+    c = inputs.comments(spark, sf_dir).select("row_id", "text")
+    done = _normalizer(spark).normalize(c, "text", keep_original=False)
+    # without blank dictionary values the filter drops just the texts that are blank from the start
+    return done.unionByName(c.filter(tx.is_blank(F.col("text"))).select("row_id", F.lit("").alias("text")))
 
 
 @query
@@ -181,14 +181,8 @@ def preprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def blank_rows_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per split before and after the blank filter."""
-    c = inputs.comments(spark, sf_dir)
-    done = _normalizer(spark).normalize(c, "text")
-    before = c.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("rows_in"))
-    after = done.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("rows_out"))
-    return before.join(after, "split", "left").select(
-        "split", "rows_in", F.coalesce("rows_out", F.lit(0).cast("long")).alias("rows_out"),
-        (F.col("rows_in") - F.coalesce("rows_out", F.lit(0).cast("long"))).alias("removed"),
-    )
+    counts = _normalizer(spark).blank_counts(inputs.comments(spark, sf_dir), "split")
+    return counts.withColumn("removed", F.col("rows_in") - F.col("rows_out"))
 
 
 @query
@@ -347,8 +341,10 @@ def scan_csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per split, column count and first row of each scanned split."""
-    return cs.split_profile(_csv_splits(spark, sf_dir))
+    """Rows per split, column names and the first two rows of each scanned split."""
+    p = cs.split_profile(_csv_splits(spark, sf_dir))
+    rows = [F.get("head", i)[c].alias(f"{c}_{i + 1}") for i in (0, 1) for c in ("row_id", "text", "label")]
+    return p.select("split", "n_rows", "n_columns", F.array_join("column_names", ",").alias("column_names"), *rows)
 
 
 @query
@@ -382,6 +378,10 @@ def processed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("row_id", "split", "text", "lang", "source", "text_original")
 
 
+def _joined(entries):
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
 @query
 def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preprocessing artifact (test-split counters, as the reference
@@ -403,8 +403,9 @@ def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("normalization_stats.no_matches").alias("no_matches"),
         F.col("normalization_stats.total_words").alias("total_words"),
         "fuzzy_cache_size",
-        F.size("normalization_dict").alias("n_dictionary_keys"),
-        F.size("label_mapping").alias("n_labels"),
+        # the maps' contents, in their own order
+        _joined(F.map_entries("normalization_dict")).alias("dictionary_pairs"),
+        _joined(F.map_entries("label_mapping")).alias("label_pairs"),
     )
 
 
@@ -424,9 +425,9 @@ def comments_for_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five processed train rows with label and changed flag."""
+    n = _normalizer(spark)
     lab = _labelled(spark, sf_dir).filter(F.col("split") == "train").select("row_id", "text", "label")
-    done = _normalizer(spark).normalize(lab, "text")
-    return rp.sample_rows(done, n=SAMPLE_ROWS)
+    return rp.sample_rows(n.normalize(rp.first_texts(lab, n.dictionary, n=SAMPLE_ROWS), "text"), n=SAMPLE_ROWS)
 
 
 @query
@@ -505,36 +506,50 @@ def test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.classification_report(scored, mapping, "label_idx", "pred_idx")
 
 
+def _saved_run(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with what scoring needs: the preprocessing artifact and the selected pipeline, as the splits job writes them."""
+    _, mapping, labels, sel = _trained(spark, sf_dir)
+    n = _normalizer(spark)
+    toks = _comment_tokens(spark, sf_dir)
+    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    folder = cs.scratch_folder(spark, "run")
+    rec = rp.artifact_record(spark, n.dictionary, mapping, stats, st.fuzzy_cache_size(toks, n.dictionary), n.params, md.MODEL_TYPE)
+    rec.coalesce(1).write.mode("overwrite").json(f"{folder}/artifacts")
+    md.with_label_names(sel.model, labels).write().overwrite().save(f"{folder}/model")
+    return folder
+
+
 @query
 def scored_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6 + F16: every comment normalised and scored into the five-field record."""
-    _, _, labels, sel = _trained(spark, sf_dir)
-    done = _normalizer(spark).normalize(inputs.comments(spark, sf_dir).select("row_id", "text"), "text")
-    scored = md.predict(sel.model, done, labels)
-    return md.scored_record(scored, keys=("row_id",))
+    """M6 + F16 + P4: every comment normalised and scored into the five-field record, from the saved run alone."""
+    return Scorer.load(spark, _saved_run(spark, sf_dir)).score(inputs.comments(spark, sf_dir))
 
 
 @query
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted pipeline saved, loaded back, and scoring the test split the same way."""
+    """S9 + P4: the fitted pipeline saved with its label names, loaded back, and scoring the test split the same way."""
     enc, _, labels, sel = _trained(spark, sf_dir)
     folder = cs.scratch_folder(spark, "model")
-    sel.model.write().overwrite().save(folder)
+    md.with_label_names(sel.model, labels).write().overwrite().save(folder)
     loaded = md.PipelineModel.load(folder)
     test = enc.filter(F.col("split") == "test")
-    a = md.predict(sel.model, test, labels).select("row_id", F.col("predicted_class").alias("before"))
-    b = md.predict(loaded, test, labels).select("row_id", F.col("predicted_class").alias("after"))
-    return a.join(b, "row_id").select("row_id", "before", "after", (F.col("before") == F.col("after")).alias("same"))
+    fields = ("predicted_class", "confidence", "all_probabilities")
+    a = md.predict(sel.model, test, labels).select("row_id", "label", F.struct(*fields).alias("before"))
+    b = md.predict(loaded, test).select("row_id", F.struct(*fields).alias("after"))
+    text = lambda c: F.to_json(c)  # noqa: E731  (maps cannot be compared)
+    return a.join(b, "row_id").select("row_id", "label", (text("before") == text("after")).alias("same"))
 
 
 def _final_parts(spark: SparkSession, sf_dir: str):
-    enc, _, labels, sel = _trained(spark, sf_dir)
-    scored = md.predict(sel.model, enc.filter(F.col("split") == "test"), labels)
+    """What the final records are made of, with the stand-in prediction's accuracy (the job reports the model's)."""
+    scored = _scored_stand_in(spark, sf_dir).filter(F.col("split") == "test")
     metrics = mx.accuracy(scored, "label_idx", "pred_idx")
     n = _normalizer(spark)
     toks = _comment_tokens(spark, sf_dir)
     stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
-    sizes = enc.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
+    lab = _labelled(spark, sf_dir).select("row_id", "split", "text")
+    done = n.normalize(lab, "text", keep_original=False)
+    sizes = done.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
     # one-row tables, read by several scalar subqueries: materialise once
     return n, toks, cut_lineage(metrics), cut_lineage(stats), cut_lineage(sizes)
 
@@ -543,12 +558,7 @@ def _final_parts(spark: SparkSession, sf_dir: str):
 def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: test accuracy, split sizes, words processed / normalised and the rate."""
     _, _, metrics, stats, sizes = _final_parts(spark, sf_dir)
-    norm = F.col("exact_matches") + F.col("fuzzy_matches")
-    s = stats.select(
-        "total_words", "exact_matches", "fuzzy_matches", "no_matches", norm.alias("words_normalized"),
-        F.when(F.col("total_words") > 0, norm.cast("double") / F.col("total_words").cast("double") * F.lit(100.0))
-        .otherwise(F.lit(0.0)).alias("normalization_rate"),
-    )
+    s = rp.impact_summary(stats)
     return rp.one_row(
         spark,
         test_accuracy=metrics.select("accuracy").scalar(),
@@ -561,13 +571,14 @@ def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final report record written as JSON and read back."""
+    """The final report record written as JSON and read back, its fields side by side."""
     n, toks, metrics, stats, sizes = _final_parts(spark, sf_dir)
     rec = rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
                           md.MODEL_TYPE, ENCODER.max_length)
     folder = cs.scratch_folder(spark, "report")
     rec.coalesce(1).write.mode("overwrite").json(folder)
-    return spark.read.schema(rec.schema).json(folder)
+    return spark.read.schema(rec.schema).json(folder).select(
+        "model_performance.*", "preprocessing_stats.*", "dataset_info.*", "fuzzy_matching.*")
 
 
 @query
@@ -588,33 +599,38 @@ def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parque[t]")
 
 
-def _run_comment_stream(spark: SparkSession, sf_dir: str, scored: bool) -> sm.StreamOutput:
+def _run_comment_stream(spark: SparkSession, sf_dir: str) -> tuple[sm.StreamOutput, str]:
     folder = cs.scratch_folder(spark, "stream")
-    model = labels = None
-    if scored:
-        _, _, labels, sel = _trained(spark, sf_dir)
-        model = sel.model
-    return sm.run_stream(spark, _documents_stream(spark, sf_dir), _normalizer(spark), f"{folder}/out",
-                         f"{folder}/checkpoint", prepare=inputs.as_comments, model=model, labels=labels)
+    out = sm.run_stream(spark, _documents_stream(spark, sf_dir), _normalizer(spark), f"{folder}/out",
+                        f"{folder}/checkpoint", prepare=inputs.as_comments)
+    return out, folder
 
 
 @query
 def stream_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 (text part): the stream's processed rows equal the batch F13 result."""
-    out = _run_comment_stream(spark, sf_dir, scored=False)
+    out, _ = _run_comment_stream(spark, sf_dir)
     return spark.read.parquet(out.rows_path).select("row_id", "split", "text", "lang", "source", "text_original")
 
 
 @query
 def stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving comments normalised and scored by the selected model."""
-    out = _run_comment_stream(spark, sf_dir, scored=True)
-    rows = spark.read.parquet(out.rows_path)
-    return md.scored_record(rows, keys=("row_id",))
+    """Arriving comments normalised and scored from a saved run; ``same``: as the batch scores them."""
+    scorer = Scorer.load(spark, _saved_run(spark, sf_dir))
+    folder = cs.scratch_folder(spark, "stream-scored")
+    arriving = inputs.as_comments(_documents_stream(spark, sf_dir))
+    out = scorer.score_stream(spark, arriving, f"{folder}/out", f"{folder}/checkpoint")
+    live = md.scored_record(spark.read.parquet(out.rows_path), keys=("row_id",))
+    at_rest = scorer.score(inputs.comments(spark, sf_dir))
+    result = lambda c: F.to_json(F.struct("predicted_class", "confidence", "all_probabilities")).alias(c)
+    both = live.select("row_id", "original_text", "processed_text", result("_live")).join(at_rest.select("row_id", result("_at_rest")), "row_id")
+    return both.select("row_id", "original_text", "processed_text", (F.col("_live") == F.col("_at_rest")).alias("same"))
 
 
 @query
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running match counters of the stream (sum over micro-batches)."""
-    out = _run_comment_stream(spark, sf_dir, scored=False)
-    return sm.running_stats(spark, out)
+    """Running match counters of the stream, kept in the state store."""
+    out, folder = _run_comment_stream(spark, sf_dir)
+    schema = sm.counts_schema(T.StructField("row_id", T.LongType()), [T.StructField("split", T.StringType())])
+    sm.run_totals(spark, out, f"{folder}/totals-checkpoint", schema)
+    return sm.running_stats(spark, out, schema)

@@ -2,19 +2,24 @@
 
 The reference reads each split with pandas defaults; Spark's CSV reader only
 nulls the empty cell, so the scan applies pandas' default NA strings itself
-(exact match, no trimming).  Splits become one DataFrame with a ``split``
+(exact match, no trimming).  Files are read in blocks (``csv_records``).  Splits become one DataFrame with a ``split``
 column instead of three separate frames.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.session import ensure_checkpoint_dir
+from wordloom.sources import csv_records
 
 # Pandas.read_csv's default NA strings.
 PANDAS_NA = [
@@ -26,6 +31,9 @@ PANDAS_NA = [
 TEXT_CANDIDATES = ["text", "comment", "sentence", "content", "message"]
 LABEL_CANDIDATES = ["label", "class", "category", "hope_speech"]
 
+# Each split of a scan has its own range of row ids.
+SPLIT_IDS = 1 << 52
+
 _CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 _WRITE_OPTIONS = {**_CSV_OPTIONS, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                   "quoteAll": "true"}
@@ -36,21 +44,31 @@ def na_to_null(c: Column) -> Column:
     return F.when(c.isin(PANDAS_NA), F.lit(None).cast("string")).otherwise(c)
 
 
-def scan_split(spark: SparkSession, path: str, split: str, schema: T.StructType | None = None) -> DataFrame:
-    """One split as strings with pandas NA rules, then cast to ``schema`` if given."""
-    raw = spark.read.options(**_CSV_OPTIONS).csv(path)
-    cols = []
-    for name in raw.columns:
+def scan_split(spark: SparkSession, path: str, split: str, schema: T.StructType | None = None,
+               row_id: str | None = None, split_col: str = "split") -> DataFrame:
+    """One split as strings with pandas NA rules, then cast to ``schema`` if given.
+
+    Files are read in blocks, whatever their size (``csv_records``).  ``row_id`` names
+    a column for the rows' places in the split (files in the order of their paths).
+    """
+    place = row_id or "_place"
+    raw = csv_records.scan(spark, path, _CSV_OPTIONS, place)
+    cols = [F.col(place)] if row_id else []
+    for name in (c for c in raw.columns if c != place):
         c = na_to_null(F.col(name))
         if schema is not None and name in schema.fieldNames():
             c = c.cast(schema[name].dataType)
         cols.append(c.alias(name))
-    return raw.select(*cols, F.lit(split).alias("split"))
+    return raw.select(*cols, F.lit(split).alias(split_col))
 
 
-def scan_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType | None = None) -> DataFrame:
-    """S1 + U1: all splits as one DataFrame with a ``split`` column."""
-    frames = [scan_split(spark, p, s, schema) for s, p in paths.items()]
+def scan_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType | None = None,
+                row_id: str | None = None, split_col: str = "split") -> DataFrame:
+    """S1 + U1: all splits as one DataFrame with a ``split`` column; ``row_id``: places, splits one after the other."""
+    frames = []
+    for i, (split, path) in enumerate(paths.items()):
+        one = scan_split(spark, path, split, schema, row_id, split_col)
+        frames.append(one.withColumn(row_id, F.lit(i).cast("long") * F.lit(SPLIT_IDS) + F.col(row_id)) if row_id else one)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -68,6 +86,10 @@ def write_processed(df: DataFrame, folder: str, split_col: str = "split") -> Non
     df.write.mode("overwrite").options(**_WRITE_OPTIONS).partitionBy(split_col).csv(folder)
 
 
+def write_csv(df: DataFrame, folder: str) -> None:
+    df.write.mode("overwrite").options(**_WRITE_OPTIONS).csv(folder)
+
+
 def read_processed(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
     raw = spark.read.options(**_CSV_OPTIONS).csv(folder)
     cols = []
@@ -102,21 +124,37 @@ def resolve_columns(schema: T.StructType) -> tuple[str, str]:
     return text, label
 
 
-def split_profile(df: DataFrame, split_col: str = "split", row_id: str = "row_id") -> DataFrame:
-    """Rows per split, column count, first two row ids (``head(2)``).
+def split_profile(df: DataFrame, split_col: str = "split", row_id: str = "row_id", n: int = 2) -> DataFrame:
+    """Rows per split, the columns' names, and the first ``n`` rows (``head``) with all their columns.
 
-    The two smallest ids per split come from two aggregations (the minimum,
-    then the minimum above it, joined to the per-split table, one row per
-    split) -- never by collecting a split's ids into one group.
+    One scan: every task counts its rows of a split and keeps the ``n`` with the
+    smallest ids; these few rows are merged.
     """
-    first = df.groupBy(split_col).agg(
-        F.count(F.lit(1)).cast("long").alias("n_rows"),
-        F.lit(len(df.columns)).alias("n_columns"),
-        F.min(row_id).alias("first_row_id"),
-    )
-    f = F.broadcast(first.select(F.col(split_col).alias("_s"), F.col("first_row_id").alias("_first")))
-    second = (
-        df.join(f, F.col(split_col) == F.col("_s"), "inner").filter(F.col(row_id) > F.col("_first"))
-        .groupBy(split_col).agg(F.min(row_id).alias("second_row_id"))
+    names = [row_id, *(c for c in df.columns if c not in (row_id, split_col))]
+    fields = T.StructType([df.schema[c] for c in names])
+    schema = T.StructType([df.schema[split_col], T.StructField("n_rows", T.LongType()), T.StructField("head", T.ArrayType(fields))])
+    arrow = to_arrow_schema(schema)
+
+    def first(rows: list[dict]) -> list[dict]:
+        return sorted(rows, key=lambda r: (r[row_id] is None, r[row_id]))[:n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+        heads: dict = {}
+        for batch in batches:
+            for split in pc.unique(batch[split_col]):
+                here = pc.is_null(batch[split_col]) if not split.is_valid else pc.fill_null(pc.equal(batch[split_col], split), False)
+                part = batch.filter(here).select(names)
+                key = split.as_py()
+                counts[key] = counts.get(key, 0) + len(part)
+                top = part.take(pc.select_k_unstable(part, k=min(n, len(part)), sort_keys=[(row_id, "ascending")]))
+                heads[key] = first(heads.get(key, []) + top.to_pylist())
+        rows = [{split_col: k, "n_rows": counts[k], "head": heads[k]} for k in counts]
+        yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    parts = df.select(split_col, *names).mapInArrow(run, schema)
+    return parts.groupBy(split_col).agg(
+        F.sum("n_rows").cast("long").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("column_names"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("head"))), 1, n).alias("head"),  # n rows of a task
     )
-    return first.join(second, split_col, "left")

@@ -15,7 +15,7 @@ Spark from shared storage.
 from __future__ import annotations
 
 import csv
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from importlib import resources
 from importlib.resources.abc import Traversable
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.functions import text as tx
 from wordloom.session import cut_lineage
 
 # Package resources, so that the tables are also found inside a zip given by --py-files.
@@ -55,6 +56,8 @@ class Dictionary:
     df: DataFrame
     max_keys: int
     key_lengths: tuple[int, int] = (0, 1 << 30)
+    has_blank_values: bool = False
+    variants: dict = field(default_factory=dict, compare=False, repr=False)  # deletion variants made so far, by match parameters
 
     @property
     def broadcastable(self) -> bool:
@@ -168,9 +171,20 @@ def _load(spark: SparkSession, custom: bool, extra_paths: tuple[str, ...]) -> Di
     return dictionary_from_entries(entries, bound)
 
 
+def dictionary_from_mapping(spark: SparkSession, mapping: dict[str, str] | DataFrame) -> Dictionary:
+    """A dictionary given as a mapping in order: a Python dict, or a DataFrame of one row and one map column."""
+    if isinstance(mapping, dict):
+        rows = [(0, i, k, v) for i, (k, v) in enumerate(mapping.items())]
+        return dictionary_from_entries(spark.createDataFrame(rows, ENTRY_SCHEMA), len(rows))
+    entries = mapping.select(F.posexplode(mapping.columns[0]).alias("line", "key", "value"))
+    entries = cut_lineage(entries.select(F.lit(0).alias("src"), "line", "key", "value"))
+    return dictionary_from_entries(entries, entries.count())
+
+
 def dictionary_from_entries(entries: DataFrame, max_keys: int) -> Dictionary:
     """Merge, add case forms, and checkpoint once: queries then read a plain
     table instead of re-running the merge and the Python case-form UDF."""
     df = cut_lineage(with_case_forms(merge_entries(entries)))
-    lo, hi = df.agg(F.min(F.length("key")), F.max(F.length("key"))).first()  # two numbers
-    return Dictionary(df, max_keys, (int(lo or 0), int(hi or 0)))
+    blank = F.count_if(tx.is_blank(F.col("value")))
+    lo, hi, blanks = df.agg(F.min(F.length("key")), F.max(F.length("key")), blank).first()  # three numbers
+    return Dictionary(df, max_keys, (int(lo or 0), int(hi or 0)), blanks > 0)
