@@ -1,10 +1,14 @@
 """Exact tokenizer output at the price of a dictionary lookup per word.
 
 Where a tokenizer drops white space before its merges, no token spans two words,
-so a text's ids are those of its words one after the other.  A process then asks the
-library once for each distinct word and keeps the answer (up to ``MEMO_WORDS``
-words, then it starts anew).  Long texts are taken in pieces cut at white space, so neither the words in
-hand nor the library's answers grow with a text.  For any other tokenizer whole texts go to the library.
+so a text's ids are those of its words one after the other.  Words are split, made distinct and looked up by
+Arrow, about a megabyte of text at a time.  A plain word -- Latin letters and a run of marks after them -- is two
+pre-tokens, and where the tokenizer lower-cases, the letters' case does not matter: such words are kept
+by their lower-cased letters, and the marks by themselves.  The library is asked once in a process for
+each of these.  Answers are kept in two generations: when the younger one holds ``MEMO_WORDS`` words it becomes the
+older one, and words that are met again move over, so frequent words are never asked for again.  Long texts are
+taken in pieces cut at white space, so neither the words in hand nor the library's answers grow with a
+text.  For any other tokenizer whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -17,25 +21,47 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000  # of each generation
 CALL_WORDS = 8192
 PIECE_BYTES = 1 << 20
 SPACES = "\t\n\x0b\x0c\r "
-#: Words of one or two pre-tokens: letters that no normaliser here splits, and one run of marks after them.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+MARKS = ".,;:!?"
+#: Letters that no normaliser here splits or composes, and whose lower case is one of them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 JOINED = 256
 SPACE = re.compile(b"[\t\n\x0b\x0c\r ]")
 
 
-class _Codes(dict):
-    """Word (bytes) -> number; a new word gets the next number."""
+class _Answers:
+    """Numbered words, and the ids of word ``n`` in ``ids[first[n]:first[n + 1]]``."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.first, self.lengths, self.ids = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def add(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
+        self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Number of each word, or -1."""
+        get = self.codes.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them in order."""
+        lengths = self.lengths[codes]
+        return lengths, self.ids[_places(self.first[codes], lengths)]
+
+
+def _places(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of every i, one after the other."""
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 class JsonEncoder:
@@ -53,67 +79,123 @@ class JsonEncoder:
         self.by_word = drops_white_space(config)
         suffix = (config.get("model") or {}).get("end_of_word_suffix")
         self.ends = np.array([bool(suffix) and t.endswith(suffix) for t in self._tokens()])
-        self.joins = self.by_word and bool(suffix) and self._answers(["Ab", "é,", "b", "zÿ.!", "Ü"], joined=True) == self._library(["Ab", "é,", "b", "zÿ.!", "Ü"])
+        self.letters = self._for_letters(path, config) if self.by_word and suffix else None
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
+        self.young, self.old = _Answers(), _Answers()
+
+    def _for_letters(self, path: str, config: dict):
+        """The same tokenizer without the steps that change nothing for lower-case letters: its pattern, and its normaliser
+        (whose lower-casing is made before); None unless it lower-cases, and takes letters and marks as two pre-tokens each."""
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _forget(self) -> None:
-        self.codes = _Codes()
-        self.codes.new = []
-        self.first, self.lengths, self.answers = np.zeros(1, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        kinds = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [config.get("normalizer") or {}])]
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if "Lowercase" not in kinds or [s.get("type") for s in steps] != ["Split", "ByteLevel"]:
+            return None
+        pattern = steps[0]["pattern"]["Regex"]
+        probes = ["abzéÿ" + m for m in ("", *MARKS, MARKS, "..")]
+        if any(regex.findall(pattern, p) != [x for x in ("abzéÿ", p[5:]) if x] for p in probes):
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.no_truncation()
+        plain.no_padding()
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _tokens(self) -> list[str]:
         return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
-    def _answers(self, words: list[str], joined: bool) -> list[list[int]]:
-        """Ids of each word.  ``joined``: plain words go to the library with spaces between them, which is cheaper; the
-        tokens that end a pre-token tell them apart.  A run with another number of such ends is asked word by word."""
-        marks = [PLAIN.fullmatch(w) if joined else None for w in words]
-        out: list = [None] * len(words)
-        plain = [i for i, m in enumerate(marks) if m]
-        rest = [i for i, m in enumerate(marks) if not m]
-        runs = [plain[at: at + JOINED] for at in range(0, len(plain), JOINED)]
-        for run, ids in zip(runs, self._library([" ".join(words[i] for i in run) for run in runs]), strict=True):
+    def _asked(self, words: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them.  Lower-case letters go to the library with spaces between them, which is cheaper;
+        the tokens that end a word tell them apart.  A run with another number of such ends is asked word by word."""
+        lengths, order, parts = np.zeros(len(words), np.int64), [], []
+        some = [i for i, p in enumerate(plain) if p]
+        rest = [i for i, p in enumerate(plain) if not p]
+        runs = [some[at: at + JOINED] for at in range(0, len(some), JOINED)]
+        for run, ids in zip(runs, self._library([" ".join([words[i] for i in run]) for run in runs], self.letters), strict=True):
+            ids = np.array(ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([2 if marks[i][1] else 1 for i in run]) - 1
-            if last[-1] + 1 != len(ends) or ends[-1] != len(ids):
+            if len(ends) != len(run) or ends[-1] != len(ids):
                 rest += run
                 continue
-            begin = 0
-            for i, end in zip(run, ends[last].tolist(), strict=True):
-                out[i] = ids[begin:end]
-                begin = end
-        for i, ids in zip(rest, self._library([words[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words; the library gets ``CALL_WORDS`` at a time, as its answers take some kilobytes each."""
-        for at in range(0, len(words), CALL_WORDS):
-            got = self._answers([w.decode("utf-8", "replace") for w in words[at: at + CALL_WORDS]], self.joins)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.lengths.append(lengths)
-            self.answers.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
-        lengths = np.concatenate(self.lengths)
-        self.lengths, self.answers = [lengths], [np.concatenate(self.answers)]
-        self.first = np.concatenate([[0], np.cumsum(lengths)])
-
-    def _coded(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text of each piece, words of each piece, numbers of all their words) by groups of pieces; the numbers hold until the next group."""
+            lengths[run] = np.diff(ends, prepend=0)
+            order += run
+            parts.append(ids)
+        got = self._library([words[i] for i in rest])
+        lengths[rest] = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.concatenate([*parts, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[rest].sum()))])
+        order = np.array(order + rest, np.int64)
+        out = np.empty(len(ids), np.uint32)
+        out[_places((np.cumsum(lengths) - lengths)[order], lengths[order])] = ids
+        return lengths, out
+
+    def _learned(self, words: list[str], plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words in the younger generation; new ones come from the older one or from the library, which gets
+        ``CALL_WORDS`` at a time, as its answers take some kilobytes each."""
+        codes = self.young.find(words)
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
+            return codes
+        names = [words[i] for i in new.tolist()]
+        known = self.old.find(names)
+        moved = np.flatnonzero(known >= 0)
+        codes[new[moved]] = len(self.young.codes) + np.arange(len(moved))
+        self.young.add([names[i] for i in moved.tolist()], *self.old.of(known[moved]))
+        asked = np.flatnonzero(known < 0)
+        for at in range(0, len(asked), CALL_WORDS):
+            some = asked[at: at + CALL_WORDS]
+            group = [names[i] for i in some.tolist()]
+            codes[new[some]] = len(self.young.codes) + np.arange(len(some))
+            self.young.add(group, *self._asked(group, plain[new[some]].tolist()))
+        return codes
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of each distinct word, where its ids begin, all their ids)."""
+        if self.letters is None:
+            codes = self._learned(words.to_pylist(), np.zeros(len(words), bool))
+            lengths, ids = self.young.of(codes)
+            return lengths, np.cumsum(lengths) - lengths, ids
+        stems = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(stems, f"^[{LETTERS}]+$")
+        keys = pc.if_else(plain, pc.utf8_lower(stems), words).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)
+        # letters, or a whole word that is not plain; a key is of one kind only
+        kinds = np.zeros(len(keys.dictionary), bool)
+        kinds[keys.indices.to_numpy()] = plain
+        own = self._learned(keys.dictionary.to_pylist(), kinds)[keys.indices.to_numpy()]
+        own_lengths, own_ids = self.young.of(own)
+        # the marks after plain words: runs of a few characters, few of them distinct
+        marks = pc.replace_substring_regex(pc.if_else(pc.equal(stems, words), "", words), f"^.*?([{MARKS}]*)$", "\\1").dictionary_encode()
+        at = np.where(plain, marks.indices.to_numpy(), -1)
+        answers = self._library(marks.dictionary.to_pylist())
+        tails = _Answers()
+        tails.add(marks.dictionary.to_pylist(), np.fromiter(map(len, answers), np.int64, len(answers)), np.fromiter(chain.from_iterable(answers), np.uint32))
+        marked = np.flatnonzero((at >= 0) & (tails.lengths[at] > 0))
+        tail_lengths, tail_ids = tails.of(at[marked])
+        lengths = own_lengths.copy()
+        lengths[marked] += tail_lengths
+        first = np.cumsum(lengths) - lengths
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        ids[_places(first, own_lengths)] = own_ids
+        ids[_places((first + own_lengths)[marked], tail_lengths)] = tail_ids
+        return lengths, first, ids
+
+    def _coded(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text of each piece, words of each piece, distinct number of every word, and what ``_distinct`` tells) by groups of pieces."""
         for group in _groups(texts):
-            if len(self.codes) > MEMO_WORDS:
-                self._forget()
-            lookup, parts = self.codes.__getitem__, []
-            for _, piece in group:
-                words = piece.split()  # bytes: the six ASCII spaces
-                parts.append(np.fromiter(map(lookup, words), np.int64, len(words)))
-            if self.codes.new:
-                self._learn(self.codes.new)
-                self.codes.new.clear()
-            yield np.array([row for row, _ in group]), np.array([len(x) for x in parts]), np.concatenate(parts)
+            if len(self.young.codes) > MEMO_WORDS:
+                self.young, self.old = _Answers(), self.young
+            pieces = _strings([piece for _, piece in group])
+            split = pc.ascii_split_whitespace(pieces)
+            words, piece = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+            full = pc.not_equal(pc.binary_length(words), 0)
+            words, piece = words.filter(full).dictionary_encode(), piece[full.to_numpy(zero_copy_only=False)]
+            rows = np.array([row for row, _ in group])
+            yield rows, np.bincount(piece, minlength=len(group)), words.indices.to_numpy(), *self._distinct(words.dictionary)
 
     def _sizes(self, rows: np.ndarray, words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> None:
         """Add the ids of each piece to its text's."""
@@ -124,8 +206,8 @@ class JsonEncoder:
         if not self.by_word:
             return np.array([len(x) for x in self._library([t.decode("utf-8", "replace") for t in texts])], np.int64)
         sizes = np.zeros(len(texts), np.int64)
-        for rows, words, codes in self._coded(texts):
-            self._sizes(rows, words, self.lengths[0][codes], sizes)
+        for rows, words, distinct, lengths, _, _ in self._coded(texts):
+            self._sizes(rows, words, lengths[distinct], sizes)
         return sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +217,21 @@ class JsonEncoder:
             sizes = np.array([len(x) for x in got], np.int64)
             return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
         sizes, out = np.zeros(len(texts), np.int64), []
-        for rows, words, codes in self._coded(texts):
-            lengths = self.lengths[0][codes]
+        for rows, words, distinct, lengths, first, ids in self._coded(texts):
+            lengths = lengths[distinct]
             self._sizes(rows, words, lengths, sizes)
-            before = np.cumsum(lengths) - lengths
-            out.append(self.answers[0][np.repeat(self.first[codes] - before, lengths) + np.arange(lengths.sum())])
+            out.append(ids[_places(first[distinct], lengths)])
         return (np.concatenate(out) if out else np.empty(0, np.uint32)), sizes
 
 
+def _strings(pieces: list[bytes]) -> pa.Array:
+    """Texts as Arrow strings; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return pa.array(pieces, pa.large_binary()).cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([p.decode("utf-8", "replace") for p in pieces], pa.large_string())
+
+
 def _pieces(text: bytes) -> Iterator[bytes]:
     """``text`` cut at white space into runs of about ``PIECE_BYTES`` bytes (more only for a longer word)."""
     at = 0

@@ -8,7 +8,9 @@ leaves nothing behind and any store that Spark reaches will do):
            2 bytes each if the vocabulary allows and else 4 (``width``).  A document lies in one block.
 ``shards`` a row per shard: shard, n_tokens, base (ids of all shards before it).
 ``index``  a row per index part (keys are dealt by hash): a minimal perfect hash function over the part's
-           keys and, for each of its slots, a fingerprint, shard, block, place in the payload and length.
+           keys and, for each of its slots, a fingerprint, shard, block, place in the payload and length
+           of the key's first document.
+``rivals`` a row per further document of a key, dealt over salts; ``repeats`` a row per key that has any: key, salts.
 
 Documents lie in ascending order of their id: the shards are a range partition, each sorted.
 A key is looked up by one evaluation of its part's hash function and one comparison of the slot's
@@ -16,9 +18,9 @@ fingerprint; the function needs no keys.  It is built level by level: the keys
 without a rival for their place in a level's bit array set its bit, the others go on to the next
 level; a key's slot is the rank of its bit.
 
-Defined cases.  Null and empty texts are one end id.  Rows with equal ids lie side by side (ordered by a hash of their texts) and all are
-found under their key: the first has a slot, the others an entry in the part's short list of rivals.  A
-null id has a key of its own and comes first.  An empty table gives an empty folder and no
+Defined cases.  Null and empty texts are one end id.  Rows with equal ids lie side by side (ordered by a hash of their texts, equal
+rows spread over shards) and all are found under their key: the first by its slot, the others by an equijoin on key and salt, so no
+task holds all rows of one id.  A null id has a key of its own and comes first.  An empty table gives an empty folder and no
 rows.
 """
 
@@ -43,6 +45,7 @@ U64 = np.uint64
 END_ID = 1
 SHARD_BYTES = 64 << 20   # of text
 PART_KEYS = 100_000
+SALT_ROWS = 50_000       # further documents of a key under one salt
 GAMMA = 1.7              # places per key in a level
 IDS = "shard int, block int, first bigint, width int, keys array<bigint>, starts array<bigint>, sizes array<bigint>, payload binary"
 
@@ -125,24 +128,18 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def _index_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    order = np.lexsort((pdf["start"], pdf["shard"]))
-    pdf = pdf.iloc[order]
     keys = pdf["key"].to_numpy().view(U64)
-    own, at = np.unique(keys, return_index=True)
-    rival = np.setdiff1d(np.arange(len(keys)), at)
-    rival = rival[np.argsort(keys[rival], kind="stable")]
-    hash_ = PerfectHash.build(own)
-    slot = np.empty(len(own), np.int64)
-    slot[hash_.slots(own)] = at
-    columns = {c: pdf[c].to_numpy() for c in ("shard", "block", "start", "n")}
-    entry = {c: np.concatenate([v[slot], v[rival]]).astype(np.int64).tolist() for c, v in columns.items()}
+    hash_ = PerfectHash.build(keys)
+    slot = np.empty(len(keys), np.int64)
+    slot[hash_.slots(keys)] = np.arange(len(keys))
     return pd.DataFrame([{
         "part": int(pdf["part"].iloc[0]), "parts": int(pdf["parts"].iloc[0]), "sizes": hash_.sizes, "bits": np.packbits(hash_.bits).tobytes(),
-        "fingerprints": fingerprint(keys[slot]).astype("<u4").tobytes(), "rivals": keys[rival].astype("<u8").tobytes(), **entry,
+        "fingerprints": fingerprint(keys[slot]).astype("<u4").tobytes(), **{c: pdf[c].to_numpy()[slot].astype(np.int64).tolist() for c in ("shard", "block", "start", "n")},
     }])
 
 
-INDEX = "part bigint, parts bigint, sizes array<bigint>, bits binary, fingerprints binary, rivals binary, shard array<bigint>, block array<bigint>, start array<bigint>, n array<bigint>"
+INDEX = "part bigint, parts bigint, sizes array<bigint>, bits binary, fingerprints binary, shard array<bigint>, block array<bigint>, start array<bigint>, n array<bigint>"
+RIVALS, REPEATS = "key bigint, salt bigint, shard int, block int, start bigint, n bigint", "key bigint, salts bigint"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text",
@@ -152,8 +149,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(-(-n_bytes // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["id", "h"]
-    rows = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    order = ["id", "h", "tie"]
+    tied = docs.withColumn("h", F.xxhash64("text")).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))  # many equal rows spread over shards
+    rows = tied.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     rows = rows.select(key_of(F.col("id")).alias("key"), "text")
     _encoded(rows, tokenizer, end_id).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids").drop("payload")
@@ -161,10 +159,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
     totals.withColumn("base", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/shards")
     parts = max(1, -(-n_docs // part_keys))
-    entries = ids.select("shard", "block", "first", F.explode(F.arrays_zip("keys", "starts", "sizes")).alias("e")).select(
-        F.pmod("e.keys", F.lit(parts)).alias("part"), F.lit(parts).cast("bigint").alias("parts"), F.col("e.keys").alias("key"), "shard", "block",
-        (F.col("e.starts") - F.col("first")).alias("start"), F.col("e.sizes").alias("n"))
-    entries.groupBy("part").applyInPandas(_index_part, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
+    place = F.struct("shard", "block", (F.col("e.starts") - F.col("first")).alias("start"), F.col("e.sizes").alias("n"))
+    entries = ids.select("shard", "block", "first", F.explode(F.arrays_zip("keys", "starts", "sizes")).alias("e")).select(F.col("e.keys").alias("key"), place.alias("place"))
+    firsts = cm.checkpointed(entries.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c")))  # combined before the shuffle
+    parted = firsts.select(F.pmod("key", F.lit(parts)).alias("part"), F.lit(parts).cast("bigint").alias("parts"), "key", "place.*")
+    parted.groupBy("part").applyInPandas(_index_part, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
+    repeated = firsts.where("c > 1").select("key", F.col("place").alias("least"), F.ceil((F.col("c") - 1) / SALT_ROWS).alias("salts"))
+    n_repeated = repeated.count()
+    repeated.select("key", "salts").write.parquet(f"{path}/repeats")
+    # a key with many documents is a row here; the documents' side is read in place, or split by AQE beyond the bound
+    rivals = entries.join(cm.small_or_plain(repeated, n_repeated), "key").where("place != least")
+    salt = F.pmod(F.xxhash64("place"), "salts")
+    rivals.select("key", salt.alias("salt"), "place.*").write.parquet(f"{path}/rivals")
 
 
 # ---- reading ----------------------------------------------------------------------
@@ -180,13 +186,8 @@ def _find(key: tuple, wanted: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame
     keys = wanted["key"].to_numpy().view(U64)
     marks = np.frombuffer(part["fingerprints"], "<u4")
     slot = hash_.slots(keys)
-    real = (slot >= 0) & (marks[slot] == fingerprint(keys))
-    rivals = np.frombuffer(part["rivals"], "<u8")
-    begin, end = np.searchsorted(rivals, keys, "left"), np.searchsorted(rivals, keys, "right")
-    more = np.repeat(np.arange(len(keys)), np.where(real, end - begin, 0))
-    nth = np.concatenate([np.arange(a, b) for a, b in zip(begin[real], end[real], strict=True)] or [np.empty(0, np.int64)])
-    which, entry = np.concatenate([np.flatnonzero(real), more]), np.concatenate([slot[real], len(marks) + nth]).astype(np.int64)
-    return pd.DataFrame({"key": keys[which].view(np.int64), **{c: np.asarray(part[c])[entry] for c in ("shard", "block", "start", "n")}})
+    real = np.flatnonzero((slot >= 0) & (marks[slot] == fingerprint(keys)))
+    return pd.DataFrame({"key": keys[real].view(np.int64), **{c: np.asarray(part[c])[slot[real]] for c in ("shard", "block", "start", "n")}})
 
 
 def lookup(spark: SparkSession, path: str, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -197,7 +198,14 @@ def lookup(spark: SparkSession, path: str, ids: DataFrame, doc_id: str = "doc_id
     keyed = wanted.withColumn("part", F.pmod("key", F.lit(parts)))
     cm.workers_find_package(spark)
     found = keyed.select("part", "key").groupBy("part").cogroup(index.groupBy("part")).applyInPandas(_find, "key bigint, shard bigint, block bigint, start bigint, n bigint")
-    return found.join(wanted, "key").select(F.col("id").alias(doc_id), "shard", "block", "start", "n")
+    places = ("shard", "block", "start", "n")
+    firsts = found.join(wanted, "key").select("id", *places)
+    repeats = spark.read.schema(REPEATS).parquet(f"{path}/repeats")
+    if not repeats.isEmpty():
+        salted = wanted.join(repeats, "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+        rivals = spark.read.schema(RIVALS).parquet(f"{path}/rivals").join(salted, ["key", "salt"])
+        firsts = firsts.unionByName(rivals.select("id", *places))
+    return firsts.withColumnRenamed("id", doc_id)
 
 
 def _reader(kind: pa.DataType, value, value_type: pa.DataType):
