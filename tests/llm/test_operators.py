@@ -254,3 +254,61 @@ def test_encoder_in_small_pieces_gives_the_library_ids(monkeypatch):
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
     assert encode.JsonEncoder(path).counts([t.encode() for t in texts]).tolist() == sizes.tolist()
+
+
+def test_hot_and_null_ids_are_split_and_found(spark):
+    """A third of all rows under one id, another third under null: all are found, no index row holds them, and their entries are dealt over salts."""
+    rows = [(7, f"hot {i % 50}") for i in range(300)] + [(None, f"null {i}") for i in range(300)] + [(1000 + i, f"own {i}") for i in range(300)] + [(7, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    saved, tokenids.SALT_ROWS = tokenids.SALT_ROWS, 60
+    try:
+        path = tokenids.fresh_path(spark, "hot")
+        tokenids.write(docs, path, queries.tokenizer_path(), part_keys=100)
+    finally:
+        tokenids.SALT_ROWS = saved
+    found = tokenids.lookup(spark, path, docs.select("doc_id"))
+    got = tokenids.read(spark, path, found, tokenids.ids_crc32, "bigint").collect()
+    library = encode.json_encoder(queries.tokenizer_path()).tokenizer
+    crc = {t: brute.crc(library.encode(t, add_special_tokens=False).ids + [1]) for _, t in rows}
+    same([(r.doc_id, r.value) for r in got], [(i, crc[t]) for i, t in rows])
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None] * 300 + [7] * 340 + [1000 + i for i in range(300)]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(by_start, by_start[1:], strict=False))
+    index = spark.read.parquet(f"{path}/index").selectExpr("size(n) as n").collect()
+    assert sum(r.n for r in index) == 302
+    rivals = spark.read.parquet(f"{path}/rivals").groupBy("key", "salt").count().collect()
+    assert sum(r["count"] for r in rivals) == 638 and max(r["count"] for r in rivals) < 150 and len(rivals) > 8
+
+
+def test_quality_rejects_made_up_words_and_other_languages(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    rng = random.Random(3)
+    made_up = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)) for _ in range(20)]
+    others = [r.text for r in docs.where("lang in ('de', 'es', 'fr') and size(split(text, ' ')) between 300 and 3000").orderBy("doc_id").limit(50).collect()]
+    planted = [(10**6 + i, t, "en", "src0", len(t)) for i, t in enumerate(made_up + others)]
+    before = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    rows = {r.doc_id: r for r in quality.judged(docs.unionByName(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert not any(rows[10**6 + i].kept for i in range(20))
+    assert sum(rows[10**6 + 20 + i].kept for i in range(50)) <= 2
+    assert sum(before[i] != rows[i].kept for i in before) <= 5
+
+
+def test_quality_of_few_documents_has_no_switch(spark):
+    """A language's reference comes from all its documents and the prior, with one document as with a thousand."""
+    text = prose(4, 400)
+    for n in (1, 19, 20, 21):
+        rows = [(i, text, "en") for i in range(n)] + [(100, " ".join("qwxzkj" + str(i) for i in range(300)), "en")]
+        got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert got[100].words_distance is not None and got[0].words_distance is not None
+
+
+def test_clashing_names_in_mixing_and_dedup(spark):
+    rows = [(i, f"text {i} " * 30, "ab"[i % 2], "x", "y", i, "z") for i in range(10)] + [(3, "text 3 " * 30, "b", "x", "y", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_block string, mix_rank string, mark long, contaminated_text string")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "mix_block_", "mix_rank_"] and got.select("mix_block").distinct().first()[0] == "x"
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 10 and sorted(r.mark for r in kept.collect()) == list(range(10))
+    item = spark.createDataFrame([(1, rows[4][1])], "item_id long, text string")
+    for most in (0, 10**6):
+        assert sorted(r.doc_id for r in decontam.clean(docs, item, 10, broadcast_windows=most).collect()) == [0, 1, 2, 3, 3, 5, 6, 7, 8, 9]

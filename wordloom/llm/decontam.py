@@ -203,7 +203,8 @@ def clean(
     if windows.count() > broadcast_windows:
         own = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
         found = _by_joins(docs.select(own.alias("id"), F.col(text).alias("text")), windows, "string").where("contaminated")
-        return docs.join(found.select(F.col("id").alias("contaminated_text")).distinct(), own == F.col("contaminated_text"), "left_anti")
+        name = cm.free_name("contaminated_text", docs)
+        return docs.join(found.select(F.col("id").alias(name)).distinct(), own == F.col(name), "left_anti")
     index = docs.sparkSession.sparkContext.broadcast(_Index(windows.toArrow()))
 
     def run(rows, texts):

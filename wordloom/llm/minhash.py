@@ -263,5 +263,6 @@ def one_of_each(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id",
         return kept
     again = cm.small_or_plain(repeated, repeated.count())
     alone = kept.join(again, same(repeated), "left_anti")
-    twice = kept.join(again, same(repeated), "left_semi").withColumn("__mark", mark).dropDuplicates([doc_id, "__mark"]).drop("__mark")
+    own = cm.free_name("mark", docs)
+    twice = kept.join(again, same(repeated), "left_semi").withColumn(own, mark).dropDuplicates([doc_id, own]).drop(own)
     return alone.unionByName(twice)

@@ -17,7 +17,7 @@ is read exactly once, so no document is lost.
 
 Defined cases.  A null source is the source ''.  Null and empty texts have 0 tokens; a source without
 tokens has no weight and is read once.  A null doc_id permutes as ''.  Repeated rows are rows of
-their own with equal place in a block.  An empty table gives an empty result.
+their own with equal place in a block.  Other columns, whatever their names, are carried along.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,12 +110,18 @@ def plan(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     return weighted.join(cut, "source", "left").select("source", "weight", "n_tokens", "whole", F.coalesce("cut", F.lit("")).alias("cut"))
 
 
-def mixed(docs: DataFrame, m: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every taken row of ``docs`` with all its columns, plus ``mix_block`` (from 0) and ``mix_rank`` (order within the block)."""
+def taken(docs: DataFrame, m: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """row (a struct with all columns of ``docs``), block (from 0), rank (order within the block) of every taken row."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     chosen = cm.checkpointed(plan(named, m).select("source", "whole", "cut"))
     chosen = cm.small_or_plain(chosen, chosen.count())
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"))
-    taken = rows.join(chosen, "source").withColumn("blocks", F.col("whole") + (_rank(F.col("whole")) <= F.col("cut")).cast("bigint"))
-    taken = taken.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return taken.withColumn("rank", _rank(F.col("block"))).select("row.*", F.col("block").alias("mix_block"), F.col("rank").alias("mix_rank"))
+    out = rows.join(chosen, "source").withColumn("blocks", F.col("whole") + (_rank(F.col("whole")) <= F.col("cut")).cast("bigint"))
+    out = out.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return out.select("row", "block", _rank(F.col("block")).alias("rank"))
+
+
+def mixed(docs: DataFrame, m: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every taken row of ``docs`` with all its columns, plus ``mix_block`` and ``mix_rank`` (with underscores after them if ``docs`` has such columns)."""
+    rows = taken(docs, m, doc_id, text, source)
+    return rows.select("row.*", *[F.col(c).alias(cm.free_name(f"mix_{c}", docs)) for c in ("block", "rank")])

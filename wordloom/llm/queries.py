@@ -28,8 +28,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cm.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.mixed(docs, mixing.Mix())
-    return rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.tokens_of(F.col("text")).alias("n_tokens"), F.col("mix_block").alias("block"), F.col("mix_rank").alias("rank"))
+    rows = mixing.taken(docs, mixing.Mix())
+    return rows.select("row.doc_id", F.coalesce("row.source", F.lit("")).alias("source"), mixing.tokens_of(F.col("row.text")).alias("n_tokens"), "block", "rank")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
