@@ -79,26 +79,37 @@ select doc_id, source, n_tokens, block, md5(source || '/' || block || '/' || coa
 
 
 def _op5() -> str:
-    from wordloom.llm.quality import CLASSES, COMMON_WORDS, Rules
-
-    r = Rules()
+    # the rule's own constants, stated again: lists and limits of the engine do not reach this SQL
+    common_words = {
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
+        "en": "the of and to in a is that it was for on are as with his they at be this".split(),
+        "es": "de la que el en y a los se del las un por con no una su para es al".split(),
+        "fr": "de la le et les des en un du une que est pour qui dans par sur pas au avec".split(),
+    }
+    classes = {
+        "lower": "[a-z]+", "space": "[\\x20\\x09-\\x0D]+", "upper": "[A-Z]+", "accented": "[\\p{L}\\p{M}]+", "digit": "[0-9]+",
+        "symbol": "[#*$%&|<>]+", "mark": "[.,;:!?'\"()-]+", "bracket": "[\\[\\]{}=_/\\\\@~^`+]+",
+    }
     # each class is counted among the characters that earlier classes leave
     steps, last = [], "text"
-    for name, pattern in CLASSES.items():
+    for name, pattern in classes.items():
         steps.append((name, f"regexp_replace({last}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')", last))
         last = f"rest_{name}"
     chain, source = [], "w"
     for name, made, before in steps:
         chain.append(f"r_{name} as (select *, {made} as rest_{name}, length({before}) - length({made}) as n_{name} from {source})")
         source = f"r_{name}"
-    bins = [n for n in CLASSES if n != "space"]
+    bins = [n for n in classes if n != "space"]
     hist = ", ".join(f"n_{n}::double / greatest(word_chars, 1)" for n in bins) + f", length({last})::double / greatest(word_chars, 1)"
     words = "case " + " ".join(
-        "when lang = '{}' then [{}]".format(k, ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))::double" for w in ws)) for k, ws in COMMON_WORDS.items()) + " end"
+        "when lang = '{}' then [{}]".format(k, ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))::double" for w in ws)) for k, ws in common_words.items()) + " end"
     distance = "sqrt(greatest(list_sum([case when {p}[i] > 0 then {p}[i] * log2(2 * {p}[i] / ({p}[i] + {q}[i])) else 0 end / 2 + case when {q}[i] > 0 then {q}[i] * log2(2 * {q}[i] / ({p}[i] + {q}[i])) else 0 end / 2 for i in range(1, len({p}) + 1)]), 0))"
     means = lambda col, n: "[" + ", ".join(f"avg({col}[{i}])" for i in range(1, n + 1)) + "]"
-    known = ", ".join(f"'{k}'" for k in COMMON_WORDS)
-    n_words = max(map(len, COMMON_WORDS.values())) + 1
+    known = ", ".join(f"'{k}'" for k in common_words)
+    n_words = max(map(len, common_words.values())) + 1
+    prior = "[" + ", ".join(["0.2::double / 20"] * 20 + ["0.8::double"]) + "]"
+    smooth = lambda mean, q, n: f"[(m * {mean}[i] + 20 * {q}[i]) / (m + 20) for i in range(1, {n + 1})]"
+    prior_none = "[" + ", ".join(["0.0::double"] * 20 + ["1.0::double"]) + "]"
     return f"""
 with d as (select doc_id, lang, coalesce(text, '') as text from documents),
 w as (select *, {SPACED.format("text")} as w from d),
@@ -114,13 +125,16 @@ h as (select c.doc_id, lang, len(w)::bigint as n_words, word_chars, n_symbol::bi
       from c left join l using (doc_id) left join rep using (doc_id)),
 p as (select *, case when common is not null then list_concat([x / greatest(n_words, 1) for x in common], [(n_words - list_sum(common)) / greatest(n_words, 1)]) end as pw from h),
 every as (select {means("pc", len(bins) + 1)} as rc from p where n_words > 0),
-ref as (select lang, {means("pc", len(bins) + 1)} as rc, {means("pw", n_words)} as rw from p where n_words > 0 and lang in ({known}) group by lang having count(*) >= {r.min_documents}),
-j as (select p.*, coalesce(ref.rc, every.rc) as rc, ref.rw as rw from p left join ref using (lang), every),
-m as (select *, n_words < {r.least_words} or 100 * n_repeat_words > {r.most_repeated} * n_words as base_failed,
-             case when word_chars >= {r.min_chars} then {distance.format(p="pc", q="rc")} else 0 end as dc,
-             case when n_words >= {r.min_words} and rw is not null then {distance.format(p="pw", q="rw")} else 0 end as dw from j)
+means as (select lang, count(*) as m, {means("pc", len(bins) + 1)} as mc, {means("pw", n_words)} as mw from p where n_words > 0 and lang in ({known}) group by lang),
+ref as (select lang, {smooth("mc", "every.rc", len(bins) + 1)} as rc, {smooth("mw", prior, n_words)} as rw from means, every),
+without as (select lang, rc, rw, {prior_none} as p0 from ref),
+far as (select lang, rc, rw, 0.9 * {distance.format(p="p0", q="rw")} as most from without),
+j as (select p.*, coalesce(far.rc, every.rc) as rc, far.rw as rw, far.most from p left join far using (lang), every),
+m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+             case when word_chars >= 200 then {distance.format(p="pc", q="rc")} else 0 end as dc,
+             case when n_words >= 100 and rw is not null then {distance.format(p="pw", q="rw")} <= most else true end as near from j)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and dc <= {r.max_chars_distance} and dw <= {r.max_words_distance} as kept from m
+       not base_failed and dc <= 0.35 and near as kept from m
 """
 
 

@@ -4,10 +4,13 @@ Counted rules first: few words, or most words in three-word windows that repeat
 Then the distribution rule: a document's histogram of character classes and
 its histogram of its language's common words are compared with the language's
 reference by Jensen-Shannon distance (base 2, so 0 to 1).  A reference is
-the mean of the normalised histograms of all documents of a language; languages with fewer
-than ``min_documents`` use the mean over all documents.  Short texts have
+the mean of the normalised histograms of all documents of a language and of ``prior_documents`` more, which have the
+mean characters of all documents and ``PRIOR_COMMON`` of their words on the list: a language of few documents is
+smoothed, and none is left out.  Short texts have
 noisy histograms: the character test needs ``min_chars`` characters other than white space, the word test
-``min_words`` words and a language whose common words are listed.
+``min_words`` words and a language whose common words are listed.  The word test's limit comes from the reference:
+``max_words_share`` of the distance of a text that has none of the listed words, so texts of made-up words or in another
+language fail, whatever share of the reference's words is listed.
 
 Repeated windows are found without a shuffle: window hashes are packed
 with their places into longs and sorted, which leaves neighbours with equal
@@ -41,6 +44,7 @@ CLASSES = {
     "symbol": "[#*$%&|<>]+", "mark": "[.,;:!?'\"()-]+", "bracket": "[\\[\\]{}=_/\\\\@~^`+]+",
 }
 SPACES = " \t\n\x0b\x0c\r"
+PRIOR_COMMON = 0.2
 PLACE_BITS = 30  # a text has fewer words than 2**30 (2 GB at most, a space between)
 
 
@@ -49,10 +53,10 @@ class Rules:
     least_words: int = 50
     most_repeated: int = 50        # per cent of words
     max_chars_distance: float = 0.35
-    max_words_distance: float = 0.45
+    max_words_share: float = 0.9   # of the distance of a text without common words
     min_chars: int = 200
     min_words: int = 100
-    min_documents: int = 20
+    prior_documents: int = 20
 
 
 def _next_pairs(a: Column, fn) -> Column:
@@ -138,18 +142,24 @@ def judged(docs: DataFrame, r: Rules = Rules(), doc_id: str = "doc_id", text: st
     h = _histograms(cm.checkpointed(counted(docs, doc_id, text, lang)))
     found = references(h).collect()  # at most one row of averages for each listed language and one for all
     every = next((x.r_chars for x in found if x.lang is None), None) or [0.0] * len(CLASSES)
-    array = lambda values: F.array(*[F.lit(float(v or 0)) for v in values])
-    r_chars, r_words = array(every), F.lit(None).cast("array<double>")
+    every = [float(v or 0) for v in every]
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    smoothed = lambda mean, prior, n: [(n * v + r.prior_documents * q) / (n + r.prior_documents) for v, q in zip(mean, prior, strict=True)]
+    r_chars, r_words, limit = array(every), F.lit(None).cast("array<double>"), F.lit(None).cast("double")
     for x in found:
-        if x.lang is not None and x.n_docs >= r.min_documents:
-            r_chars = F.when(F.col("lang") == x.lang, array(x.r_chars)).otherwise(r_chars)
-            r_words = F.when(F.col("lang") == x.lang, array(x.r_words)).otherwise(r_words)
-    rows = h.withColumn("r_chars", r_chars).withColumn("r_words", r_words)
+        if x.lang is not None:
+            k = len(x.r_words) - 1
+            words = smoothed(x.r_words, [PRIOR_COMMON / k] * k + [1 - PRIOR_COMMON], x.n_docs)
+            here = F.col("lang") == x.lang
+            r_chars = F.when(here, array(smoothed(x.r_chars, every, x.n_docs))).otherwise(r_chars)
+            r_words = F.when(here, array(words)).otherwise(r_words)
+            limit = F.when(here, distance(array([0.0] * k + [1.0]), array(words)) * r.max_words_share).otherwise(limit)
+    rows = h.withColumn("r_chars", r_chars).withColumn("r_words", r_words).withColumn("limit", limit)
     to_chars = F.when((F.col("word_chars") >= r.min_chars), distance(F.col("p_chars"), F.col("r_chars")))
     to_words = F.when((F.col("n_words") >= r.min_words) & F.col("r_words").isNotNull(), distance(F.col("p_words"), F.col("r_words")))
     failed = (F.col("n_words") < r.least_words) | (100 * F.col("n_repeat_words") > r.most_repeated * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("chars_distance", to_chars).withColumn("words_distance", to_words)
-    near = (F.coalesce("chars_distance", F.lit(0.0)) <= r.max_chars_distance) & (F.coalesce("words_distance", F.lit(0.0)) <= r.max_words_distance)
+    near = (F.coalesce("chars_distance", F.lit(0.0)) <= r.max_chars_distance) & F.coalesce(F.col("words_distance") <= F.col("limit"), F.lit(True))
     return rows.select(
         F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance",
         (~F.col("base_failed") & near).alias("kept"))
