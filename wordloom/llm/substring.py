@@ -1,14 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication: words in windows that an earlier document holds, and the factors they make up.
 
 Every document is a reference block for the documents with larger ids.  The
 index of all blocks is kept by windows of ``span`` words (the shortest factor
 that counts): each distinct window points to its first place, the smallest
-(doc_id, word).  A document is parsed greedily against it: a factor begins at a
-word whose window the index has in an earlier document, and goes on while the
-next window points to the next word of the same reference; where it points
-elsewhere a new factor begins.  Each window across a factor boundary is looked up too, so
-the words covered by factors are exactly those in some window that an earlier
-document holds.
+(doc_id, word).  What is removed is decided by an exact join of windows: a word goes
+if some window over it is in the index with an earlier document.
+
+This stands in place of a greedy relative Lempel-Ziv parse.  Its factors of ``span`` words or more, together with
+the windows across their ends, cover the same words, since a window that an earlier document holds
+lies inside one such factor or across the end of one; but the longest match at a word needs all places of its window, not only the first, and
+their number is not bounded for a hot window.  ``factors`` therefore lists runs of covered windows that point to consecutive
+words of one reference: places in earlier documents, not always the longest ones.
 
 A text that an earlier document has too, character by character, is one factor; it
 needs no windows and adds none to the index.  Of the other texts only windows that can repeat enter
