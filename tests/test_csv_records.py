@@ -3,6 +3,8 @@
 import csv
 import os
 import random
+import subprocess
+import sys
 import tempfile
 
 import pandas as pd
@@ -11,6 +13,7 @@ import pytest
 from wordloom.sources import csv_records as cr
 from wordloom.sources import csv_splits as cs
 
+TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
@@ -147,3 +150,16 @@ def test_profile_reads_once(spark):
     got = {r.split: (r.n_rows, r.column_names, [tuple(h) for h in r["head"]]) for r in p.collect()}
     names = ["split", "row_id", "text"]
     assert got == {"train": (3, names, [(3, "c"), (5, "e")]), "val": (2, names, [(1, "a"), (2, None)]), None: (1, names, [(7, "n")])}
+
+
+def test_workers_find_the_package_wherever_the_driver_runs():
+    path = _write('text,label\n"a\nb",x\n')
+    code = (f"import sys; sys.path.insert(0, {TOP!r})\n"
+            "from wordloom.session import local_session, ensure_checkpoint_dir\n"
+            "from wordloom.sources import csv_splits as cs\n"
+            "spark = local_session('1', 1); ensure_checkpoint_dir(spark)\n"
+            f"df = cs.scan_splits(spark, {{'train': {path!r}}}, row_id='row_id')\n"
+            "print(df.collect() and cs.split_profile(df).first().n_rows)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tempfile.mkdtemp(prefix="wordloom-cwd-", dir="/tmp"), capture_output=True, text=True, check=True)
+    assert out.stdout.strip().endswith("1")

@@ -9,9 +9,9 @@ beginning of a record) or inside a quoted field.
 2. The blocks of a file are put in order and the answers composed: now every
    block knows its state and the number of records before it.  This table has a
    row per block (128 MB of input) and is broadcast; its rows are counted.
-3. Each block is read again and cut into records.  Whole records go straight to
-   the parser; only the pieces of a record that crosses a block's end are
-   grouped by record and put together.
+3. Each block is read again and cut into records, which are written beside the
+   checkpoints.  Whole records go straight to the parser; only the pieces of a
+   record that crosses a block's end are grouped by record and put together.
 
 Parsing is Spark's own (``from_csv``), with the options of a plain scan.  The
 quoting rules are those of that parser: a quote opens a quoted field only right
@@ -31,16 +31,18 @@ split settings change in between and move the blocks, the scan raises.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.session import cut_lineage
+from wordloom.session import cut_lineage, ensure_checkpoint_dir, workers_find_package
 
 MAX_BLOCKS = 1_000_000  # rows of the broadcast table of blocks: 128 TB in blocks of 128 MB
 OUTSIDE, INSIDE = 0, 1
@@ -62,37 +64,60 @@ def end_state(line: str, state: int) -> int:
     return INSIDE if STAYS.fullmatch(line) or STAYS_LATER.fullmatch(line) else OUTSIDE
 
 
+def _file(path: Column) -> Column:
+    """A hash of a file's path; schemes are spelled with one or three slashes by different readers."""
+    return F.xxhash64(F.ltrim(F.substring_index(path, ":/", -1), F.lit("/")))
+
+
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, block, line -- the physical lines; a task reads the lines that begin in its block, in order."""
+    """file (a hash of its path), block, line -- the physical lines; a task reads the lines that begin in its block, in order."""
     raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return raw.select(_file(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+
+def _paths(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, path: a row per file."""
+    names = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "path string")
+    return names.select(_file(F.col("path")).alias("file"), "path")
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """(begin, end) of neighbouring rows of one block; a task may read several."""
-    files, blocks = batch["file"].to_pylist(), batch["block"].to_pylist()
-    at = 0
-    for i in range(1, len(files) + 1):
-        if i == len(files) or files[i] != files[at] or blocks[i] != blocks[at]:
-            yield at, i
-            at = i
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of neighbouring rows with equal keys."""
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return zip(cuts, cuts[1:], strict=False) if len(keys) else iter(())
 
 
-def _with_quotes(lines: pa.Array, first_of_file: bool) -> Iterator[tuple[str, bool]]:
-    """Lines, and whether they hold a quote; a byte order mark at a file's beginning is dropped."""
-    texts = lines.to_pylist()
-    if first_of_file and texts:
-        texts[0] = texts[0].removeprefix("\ufeff")
-    return zip(texts, pc.match_substring(lines, '"').to_pylist(), strict=True)
+def _without_mark(lines: pa.Array) -> pa.Array:
+    """A file's first lines without a byte order mark."""
+    first = lines[0].as_py()
+    return pa.concat_arrays([pa.array([first[1:]], lines.type), lines.slice(1)]) if first.startswith("\ufeff") else lines
 
 
-def _empty(line: str) -> bool:
-    return line in ("", "\r")
+class _Lines:
+    """Lines of one block, of which only those with a quote can change the state."""
 
+    def __init__(self, lines: pa.Array):
+        self.lines = lines
+        self.quoted = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
+        self.texts = lines.take(pa.array(self.quoted)).to_pylist()
+        empty = pc.or_(pc.equal(lines, ""), pc.equal(lines, "\r"))
+        self.filled = ~empty.to_numpy(zero_copy_only=False)
 
-_SUMMARY = {"file": pa.string(), "block": pa.int64(), "end0": pa.int32(), "end1": pa.int32(), "records0": pa.int64(), "records1": pa.int64()}
-_STATES = "file string, block bigint, state int, ending int, before bigint, records bigint"
-_PIECES = {"file": pa.string(), "number": pa.int64(), "block": pa.int64(), "whole": pa.bool_(), "text": pa.string()}
+    def inside(self, state: int) -> np.ndarray:
+        """Whether each line begins inside a quoted field, and at last whether the lines end so."""
+        flips = np.zeros(len(self.lines) + 1, np.int8)
+        flips[0] = now = state
+        for at, text in zip(self.quoted.tolist(), self.texts, strict=True):
+            after = end_state(text, now)
+            if after != now:
+                flips[at + 1] ^= 1
+                now = after
+        return np.bitwise_xor.accumulate(flips).astype(bool)
+
+
+_SUMMARY = {"file": pa.int64(), "block": pa.int64(), "end0": pa.int32(), "end1": pa.int32(), "records0": pa.int64(), "records1": pa.int64()}
+_STATES = "file bigint, block bigint, state int, ending int, before bigint, records bigint"
+_PIECES = {"id": pa.int64(), "number": pa.int64(), "whole": pa.bool_(), "text": pa.string()}
 
 
 def _ddl(columns: dict[str, pa.DataType]) -> str:
@@ -100,27 +125,30 @@ def _ddl(columns: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{name} {names[kind]}" for name, kind in columns.items())
 
 
-def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
-    values = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
-    return pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(values, columns.values(), strict=True)], names=list(columns))
+def _batch(values: list, columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(values, columns.values(), strict=True)], names=list(columns))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block and either state at its beginning: the state at its end, and how many records begin in it."""
     totals: dict[tuple[str, int], list[int]] = {}
     for batch in batches:
-        for begin, end in _runs(batch):
+        files, places = batch["file"].to_numpy(), batch["block"].to_numpy()
+        for begin, end in _runs(np.rec.fromarrays([files, places])):
             key = batch["file"][begin].as_py(), batch["block"][begin].as_py()
             fresh = key not in totals
             t = totals.setdefault(key, [OUTSIDE, INSIDE, 0, 0])
-            for line, quoted in _with_quotes(batch["line"].slice(begin, end - begin), fresh and key[1] == 0):
-                begins = not _empty(line)
-                t[2] += begins and t[0] == OUTSIDE
-                t[3] += begins and t[1] == OUTSIDE
-                if quoted:
-                    ends = {state: end_state(line, state) for state in {t[0], t[1]}}
-                    t[0], t[1] = ends[t[0]], ends[t[1]]
-    yield _batch([(*key, *t) for key, t in totals.items()], _SUMMARY)
+            part = batch["line"].slice(begin, end - begin)
+            lines = _Lines(_without_mark(part) if fresh and key[1] == 0 else part)
+            for state in {t[0], t[1]}:
+                inside = lines.inside(state)
+                for k in (0, 1):
+                    if t[k] == state:
+                        t[2 + k] += int((lines.filled & ~inside[:-1]).sum())
+                        t[k] = (int(inside[-1]),)  # set after both states are read
+            t[0], t[1] = (x[0] for x in t[:2])
+    rows = [(*key, *t) for key, t in totals.items()]
+    yield _batch([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(_SUMMARY), _SUMMARY)
 
 
 def _composed(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -135,68 +163,75 @@ def _composed(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["file", "block", "state", "ending", "before", "records"])
 
 
-def block_states(lines: DataFrame) -> DataFrame:
-    """file, block, state and ending (at its beginning and end), before (records of the file that begin earlier), base (rows of earlier files): a row per block."""
+def block_states(lines: DataFrame, paths: DataFrame) -> DataFrame:
+    """id, file, block, state and ending (at its beginning and end), before (records of the file that begin earlier), base (rows of earlier files): a row per block."""
     states = cut_lineage(lines.mapInArrow(_summaries, _ddl(_SUMMARY)).groupBy("file").applyInPandas(_composed, _STATES))
     if states.count() > MAX_BLOCKS:
         raise ValueError(f"more than {MAX_BLOCKS} blocks: raise spark.sql.files.maxPartitionBytes")
-    files = states.groupBy("file").agg(F.greatest(F.sum("records") - 1, F.lit(0)).alias("n"))  # without the header
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)                # a row per file
-    return states.join(files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "file")
+    files = states.groupBy("file").agg(F.greatest(F.sum("records") - 1, F.lit(0)).alias("n")).join(paths, "file", "left")  # without the header
+    lost = F.raise_error(F.lit("a file that was read is not among the files")).cast("string")
+    earlier = Window.orderBy(F.coalesce("path", lost)).rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    states = states.join(files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "file")
+    return states.withColumn("id", F.xxhash64("file", "block"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records that begin and end in one block, and the pieces of the others (at most one of a record in a block)."""
-    key, state, number, lines, begun = None, OUTSIDE, 0, [], False
-    out: list[tuple] = []
-
-    def emit(whole: bool) -> None:
-        if lines:
-            out.append((key[0], number, key[1], whole, "\n".join(lines)))
-            lines.clear()
+    key, state, number, begun = None, OUTSIDE, 0, False
+    open_lines: list[str] = []   # of a record that a batch did not end
 
     for batch in batches:
-        for begin, end in _runs(batch):
-            here = batch["file"][begin].as_py(), batch["block"][begin].as_py()
-            fresh = here != key
+        ids = batch["id"].to_numpy()
+        for begin, end in _runs(ids):
+            more: list[tuple] = []
+            fresh = int(ids[begin]) != key
             if fresh:
-                emit(False)  # open at the end of the block before
-                key, state, number, begun = here, batch["state"][begin].as_py(), batch["before"][begin].as_py() - 1, False
-            for line, quoted in _with_quotes(batch["line"].slice(begin, end - begin), fresh and key[1] == 0):
-                if state == OUTSIDE:
-                    if _empty(line):
-                        continue
-                    number, begun = number + 1, True
-                lines.append(line)
-                state = end_state(line, state) if quoted else state
-                if state == OUTSIDE:
-                    emit(begun)
-        yield _batch(out, _PIECES)
-        out.clear()
-    emit(False)
-    yield _batch(out, _PIECES)
-
-
-def _records(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """The pieces of the blocks of ``states``; lines of other blocks are dropped before they leave the JVM."""
-    placed = lines.join(F.broadcast(states.select("file", "block", "state", "before")), ["file", "block"])
-    return placed.select("file", "block", "state", "before", "line").mapInArrow(_cut, _ddl(_PIECES))
+                if open_lines:
+                    more.append((key, number, False, "\n".join(open_lines)))  # goes on in the next block
+                    open_lines = []
+                key, state, number, begun = int(ids[begin]), batch["state"][begin].as_py(), batch["before"][begin].as_py() - 1, False
+            part = batch["line"].slice(begin, end - begin)
+            lines = _Lines(_without_mark(part) if fresh and batch["block"][begin].as_py() == 0 else part)
+            inside = lines.inside(state)
+            begins, ends = lines.filled & ~inside[:-1], ~inside[1:]
+            numbers = number + np.cumsum(begins)
+            single = np.flatnonzero(begins & ends)
+            # the lines of longer records; each record ends with the first line that ends outside
+            long = np.flatnonzero(inside[:-1] | (begins & ~ends))
+            texts, at = lines.lines.take(pa.array(long)).to_pylist(), 0
+            for last in np.flatnonzero(ends[long]).tolist():
+                record = open_lines + texts[at:last + 1]
+                whole = begun if open_lines or inside[long[at]] else True
+                more.append((key, int(numbers[long[last]]), bool(whole), "\n".join(record)))
+                open_lines, at = [], last + 1
+            if at < len(long):
+                begun = begun if open_lines or inside[long[at]] else True
+                open_lines = open_lines + texts[at:]
+            elif begins.any():
+                begun = True
+            number, state = int(numbers[-1]), int(inside[-1])
+            yield _batch([np.full(len(single), key), numbers[single], np.ones(len(single), bool), lines.lines.take(pa.array(single))], _PIECES)
+            if more:
+                yield _batch([list(c) for c in zip(*more, strict=True)], _PIECES)
+    if open_lines:
+        yield _batch([[key], [number], [False], ["\n".join(open_lines)]], _PIECES)
 
 
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """row_id, text -- every record of the files but their headers, in file order."""
+    workers_find_package(spark)
     lines = _lines(spark, path)
-    states = cut_lineage(block_states(lines))
+    states = cut_lineage(block_states(lines, _paths(spark, path)))
     moved = F.raise_error(F.lit("the blocks of the files moved between two reads")).cast("int")
-    known = F.broadcast(states.select("file", "block", F.lit(1).alias("known")))
-    checked = lines.join(known, ["file", "block"], "left").where(F.coalesce("known", moved) == 1).drop("known")
-    rows = _records(checked, states).where("whole").select("file", "number", "text")
-    crossing = states.where((F.col("state") == INSIDE) | (F.col("ending") == INSIDE))
-    if not crossing.isEmpty():
-        pieces = _records(lines, crossing).where("not whole").groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("p"))
-        rows = rows.unionByName(pieces.select("file", "number", F.array_join(F.col("p.text"), "\n").alias("text")))
-    bases = states.select("file", "base").distinct()  # a row per file
-    rows = rows.where("number > 0").join(F.broadcast(bases), "file")
+    known = F.broadcast(states.select("id", "state", "before"))
+    placed = lines.withColumn("id", F.xxhash64("file", "block")).join(known, "id", "left").withColumn("state", F.coalesce("state", moved))
+    cut = placed.select("id", "block", "state", "before", "line").mapInArrow(_cut, _ddl(_PIECES))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wordloom-io/records-{uuid.uuid4().hex}"
+    cut.where("number > 0").write.option("compression", "zstd").parquet(folder)
+    cut = spark.read.schema(_ddl(_PIECES)).parquet(folder).join(F.broadcast(states.select("id", "file", "block", "base")), "id")
+    pieces = cut.where("not whole").groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("p"), F.first("base").alias("base"))
+    joined = pieces.select("base", "number", F.array_join(F.col("p.text"), "\n").alias("text"))
+    rows = cut.where("whole").select("base", "number", "text").unionByName(joined)
     return rows.select((F.col("base") + F.col("number") - 1).alias("row_id"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
@@ -206,5 +241,6 @@ def scan(spark: SparkSession, path: str | list[str], options: dict[str, str], ro
     if row_id in names:
         raise ValueError(f"the files have a column {row_id}: name another for the ids")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    parsed = records(spark, path).select(F.col("row_id").alias(row_id), F.from_csv("text", schema.toDDL(), options).alias("_r"))
-    return parsed.select(row_id, *[F.col("_r").getField(name).alias(name) for name in names])
+    # as a generator: extracting fields from a projected from_csv would parse the record again for every column
+    record = F.from_csv("text", schema.toDDL(), options)
+    return records(spark, path).select(F.col("row_id").alias(row_id), F.inline(F.array(record)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wordloom.session import ensure_checkpoint_dir
+from wordloom.session import ensure_checkpoint_dir, workers_find_package
 from wordloom.sources import csv_records
 
 # Pandas.read_csv's default NA strings.
@@ -152,6 +152,7 @@ def split_profile(df: DataFrame, split_col: str = "split", row_id: str = "row_id
         rows = [{split_col: k, "n_rows": counts[k], "head": heads[k]} for k in counts]
         yield pa.RecordBatch.from_pylist(rows, arrow)
 
+    workers_find_package(df.sparkSession)
     parts = df.select(split_col, *names).mapInArrow(run, schema)
     return parts.groupBy(split_col).agg(
         F.sum("n_rows").cast("long").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
