@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators.layout import spread_by
+from wordloom.operators.wordcount import word_counts
 from wordloom.session import cut_lineage
 
 # Special token ids.
@@ -51,9 +52,7 @@ def encoder_tokens(df: DataFrame, text_col: str = "text", row_id: str = "row_id"
 
 def learn_vocabulary(train: DataFrame, text_col: str = "text", row_id: str = "row_id") -> DataFrame:
     """(tok, id): every train token, the most frequent first, ids from FIRST_WORD_ID."""
-    counts = encoder_tokens(spread_by(train, row_id), text_col, row_id).groupBy("tok").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counts = word_counts(spread_by(train.select(row_id, text_col), row_id), F.lower(F.col(text_col))).withColumnRenamed("word", "tok")
     order = [F.desc("n"), F.asc("tok")]
     # written once, so that places and partitions stay as they are when a task is repeated
     placed = cut_lineage(
