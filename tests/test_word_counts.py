@@ -48,3 +48,20 @@ def test_vocabulary_is_counted_without_a_row_per_token(spark, monkeypatch):
     counts = Counter(r.w for r in rows.select(F.explode(F.split(F.lower(tx.collapse_ws(F.col("text"))), " ")).alias("w")).collect() if r.w)
     assert got == {t: i + fe.FIRST_WORD_ID for i, (t, _) in enumerate(sorted(counts.items(), key=lambda e: (-e[1], e[0].encode())))}
     assert made and "Generate" not in _plan(made[0])
+
+
+def test_letter_prune_is_lossless_and_prunes(spark, dictionary, monkeypatch):
+    rng, keys = random.Random(7), [r.key for r in dictionary.df.collect()]
+    words = set()
+    for key in keys * 6:
+        w = list(key)
+        for _ in range(rng.randint(0, 3)):
+            at, letter = rng.randrange(len(w) + 1), rng.choice("abzo9éவ\U0001f600")
+            w[at:at + rng.randint(0, 1)] = rng.choice([[], [letter]])
+        words.add("".join(w))
+    vocab = spark.createDataFrame([(w,) for w in words if w], "clean string")
+    kept = [sorted(map(tuple, match._bucket_candidates(vocab, dictionary, match.MatchParams()).collect()), key=str)]
+    assert "bit_count" in _plan(match._bucket_candidates(vocab, dictionary, match.MatchParams()))
+    monkeypatch.setattr(match, "letter_mask", lambda c: F.lit(0).cast("bigint"))  # nothing is pruned
+    kept.append(sorted(map(tuple, match._bucket_candidates(vocab, dictionary, match.MatchParams()).collect()), key=str))
+    assert kept[0] == kept[1] and len(kept[0]) > len(keys)

@@ -151,17 +151,33 @@ def _bucket_candidates(w: DataFrame, dictionary: Dictionary, params: MatchParams
     # Length prune (lossless): the smallest distance a pair of lengths allows is
     # max(|L-K|, 1) for different words; if even that fails the similarity
     # gate, the bucket row can only serve an exact match (L == K).
+    def best_sim(d: Column) -> Column:
+        return F.lit(1.0) - d.cast("double") / F.greatest("wlen", "klen").cast("double")
+
     min_d = F.greatest(F.abs(F.col("wlen") - F.col("klen")), F.lit(1))
-    best_sim = F.lit(1.0) - min_d.cast("double") / F.greatest("wlen", "klen").cast("double")
-    rows = rows.withColumn("b_fuzzy", (best_sim >= t) & (best_sim > F.lit(0.0)))
+    rows = rows.withColumn("b_fuzzy", (best_sim(min_d) >= t) & (best_sim(min_d) > F.lit(0.0)))
+    # Letter prune (lossless): an edit changes at most two bits of the letter mask, and the
+    # lengths bound the edits that the similarity gate lets pass.
+    max_d = F.lit(0)
+    for d in range(1, k + 1):
+        max_d = F.when((best_sim(F.lit(d)) >= t) & (best_sim(F.lit(d)) > F.lit(0.0)), F.lit(d)).otherwise(max_d)
+    rows = rows.withColumn("b_bits", max_d * 2).withColumn("b_mask", letter_mask(F.col("b_key")))
     bucket = dictionary.side(rows.filter(F.col("b_fuzzy") | (F.col("wlen") == F.col("klen"))), 2 * k + 1)
-    ww = w.select("clean", F.length("clean").alias("clen"))
+    ww = w.select("clean", F.length("clean").alias("clen"), letter_mask(F.col("clean")).alias("w_mask"))
+    near = F.bit_count(F.col("w_mask").bitwiseXOR(F.col("b_mask"))) <= F.col("b_bits")
     on = (F.col("clen") == F.col("wlen")) & (
-        (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & passes_gate(params))
+        (F.col("clean") == F.col("b_key")) | (F.col("b_fuzzy") & near & passes_gate(params))
     )
     return ww.join(bucket, on, "left").select("clean", "b_key", "b_ord")
 
 
+def letter_mask(word: Column) -> Column:
+    """64 bits: one for every character the word holds, by its code modulo 64."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"),
+                       lambda mask, c: mask.bitwiseOR(F.call_function("shiftleft", one, F.ascii(c).bitwiseAND(63))))
+
+
 def _deletion_candidates(w: DataFrame, dictionary: Dictionary, params: MatchParams) -> DataFrame:
     """(clean, b_key, b_ord) for every key sharing a deletion variant with the word.
 
