@@ -50,6 +50,21 @@ def test_vocabulary_is_counted_without_a_row_per_token(spark, monkeypatch):
     assert made and "Generate" not in _plan(made[0])
 
 
+def test_rebuilt_equals_replaced_words(spark, normalizer):
+    rng = random.Random(6)
+    cases = []
+    for t in _odd_texts():
+        n = len((t or "").split())
+        cases.append((t, [(p, rng.choice(["", "Z", "x y", "வ"])) for p in rng.sample(range(n), rng.randint(0, n))]))
+    df = spark.createDataFrame(cases, "t string, c array<struct<pos: int, out_word: string>>").filter("t is not null")
+    for r in df.select(tx.replace_words(tx.split_words(F.col("t")), F.col("c")).alias("a"), tx.rebuilt(F.col("t"), F.col("c")).alias("b")).collect():
+        assert r.a == r.b
+    rows = spark.createDataFrame([(1, "GUD\tvdo"), (2, None)], "row_id long, text string")
+    done = normalizer.normalize(rows, "text")
+    assert "ArrowEvalPython" in _plan(done)
+    assert [tuple(r) for r in done.collect()] == [(1, "GOOD video", "GUD\tvdo")]
+
+
 def test_letter_prune_is_lossless_and_prunes(spark, dictionary, monkeypatch):
     rng, keys = random.Random(7), [r.key for r in dictionary.df.collect()]
     words = set()

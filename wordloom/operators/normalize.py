@@ -287,7 +287,7 @@ def _once(name: str, row_id: Column, hits: Column) -> Column:
 
 def _rebuilt(text: Column, hits: Column) -> Column:
     """The text with its changed words; without a change only the whitespace is collapsed."""
-    return F.when(F.size(hits) == 0, tx.collapse_ws(text)).otherwise(tx.replace_words(tx.split_words(text), hits))
+    return tx.rebuilt(text, hits)
 
 
 def regroup(annotated: DataFrame, row_id: str, text_col: str, order: list[str],
