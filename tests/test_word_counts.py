@@ -80,3 +80,18 @@ def test_letter_prune_is_lossless_and_prunes(spark, dictionary, monkeypatch):
     monkeypatch.setattr(match, "letter_mask", lambda c: F.lit(0).cast("bigint"))  # nothing is pruned
     kept.append(sorted(map(tuple, match._bucket_candidates(vocab, dictionary, match.MatchParams()).collect()), key=str))
     assert kept[0] == kept[1] and len(kept[0]) > len(keys)
+
+
+def test_words_are_counted_once_a_query(spark, tmp_path, monkeypatch):
+    docs = [(i, t, "en", "src0", 1) for i, t in enumerate(_odd_texts())]
+    spark.createDataFrame(docs, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i, *_ in docs], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    asked = []
+    for module in ("wordloom.plans.queries", "wordloom.operators.normalize"):
+        monkeypatch.setattr(f"{module}.text_words", lambda *a: asked.append(a) or text_words(*a))
+    n_words = q.oov_distinct_count(spark, str(tmp_path)).first()[0]
+    for name in ("artifact_record", "final_summary", "report_record"):
+        asked.clear()
+        row = q.registry()[name](spark, str(tmp_path)).first().asDict()
+        assert len(asked) == 1, name
+        assert row.get("fuzzy_cache_size", row.get("cache_size", n_words)) == n_words

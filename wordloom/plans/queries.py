@@ -397,11 +397,11 @@ def artifact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preprocessing artifact (test-split counters, as the reference
     saves them) written as JSON and read back."""
     n = _normalizer(spark)
-    toks = _comment_tokens(spark, sf_dir)
-    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    raw, forms = _comment_answers(spark, sf_dir, n)
+    stats = st.normalization_stats(n.annotate(_comment_tokens(spark, sf_dir), forms)).filter(F.col("split") == "test")
     rec = rp.artifact_record(
         spark, n.dictionary, _mapping(spark, sf_dir), stats,
-        st.fuzzy_cache_size(toks, n.dictionary), n.params, md.MODEL_TYPE,
+        st.fuzzy_cache_size(None, n.dictionary, raw=raw), n.params, md.MODEL_TYPE,
     )
     folder = cs.scratch_folder(spark, "artifacts")
     rec.coalesce(1).write.mode("overwrite").json(folder)
@@ -520,10 +520,10 @@ def _saved_run(spark: SparkSession, sf_dir: str) -> str:
     """A folder with what scoring needs: the preprocessing artifact and the selected pipeline, as the splits job writes them."""
     _, mapping, labels, sel = _trained(spark, sf_dir)
     n = _normalizer(spark)
-    toks = _comment_tokens(spark, sf_dir)
-    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    raw, forms = _comment_answers(spark, sf_dir, n)
+    stats = st.normalization_stats(n.annotate(_comment_tokens(spark, sf_dir), forms)).filter(F.col("split") == "test")
     folder = cs.scratch_folder(spark, "run")
-    rec = rp.artifact_record(spark, n.dictionary, mapping, stats, st.fuzzy_cache_size(toks, n.dictionary), n.params, md.MODEL_TYPE)
+    rec = rp.artifact_record(spark, n.dictionary, mapping, stats, st.fuzzy_cache_size(None, n.dictionary, raw=raw), n.params, md.MODEL_TYPE)
     rec.coalesce(1).write.mode("overwrite").json(f"{folder}/artifacts")
     md.with_label_names(sel.model, labels).write().overwrite().save(f"{folder}/model")
     return folder
@@ -555,13 +555,13 @@ def _final_parts(spark: SparkSession, sf_dir: str):
     scored = _scored_stand_in(spark, sf_dir).filter(F.col("split") == "test")
     metrics = mx.accuracy(scored, "label_idx", "pred_idx")
     n = _normalizer(spark)
-    toks = _comment_tokens(spark, sf_dir)
-    stats = st.normalization_stats(n.annotate(toks)).filter(F.col("split") == "test")
+    raw, forms = _comment_answers(spark, sf_dir, n)
+    stats = st.normalization_stats(n.annotate(_comment_tokens(spark, sf_dir), forms)).filter(F.col("split") == "test")
     lab = _labelled(spark, sf_dir).select("row_id", "split", "text")
-    done = n.normalize(lab, "text", keep_original=False)
+    done = n.normalize(lab, "text", keep_original=False, forms=forms)  # their words are among the comments' words
     sizes = done.groupBy().pivot("split", list(inputs.SPLITS)).agg(F.count(F.lit(1)).cast("long"))
     # one-row tables, read by several scalar subqueries: materialise once
-    return n, toks, cut_lineage(metrics), cut_lineage(stats), cut_lineage(sizes)
+    return n, raw, cut_lineage(metrics), cut_lineage(stats), cut_lineage(sizes)
 
 
 @query
@@ -582,8 +582,8 @@ def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def report_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final report record written as JSON and read back, its fields side by side."""
-    n, toks, metrics, stats, sizes = _final_parts(spark, sf_dir)
-    rec = rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(toks, n.dictionary),
+    n, raw, metrics, stats, sizes = _final_parts(spark, sf_dir)
+    rec = rp.final_report(spark, metrics, stats, sizes, n.params, st.fuzzy_cache_size(None, n.dictionary, raw=raw),
                           md.MODEL_TYPE, ENCODER.max_length)
     folder = cs.scratch_folder(spark, "report")
     rec.coalesce(1).write.mode("overwrite").json(folder)
