@@ -6,6 +6,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -256,6 +257,39 @@ def test_encoder_in_small_pieces_gives_the_library_ids(monkeypatch):
     assert encode.JsonEncoder(path).counts([t.encode() for t in texts]).tolist() == sizes.tolist()
 
 
+def test_slices_share_the_answers_for_their_words(monkeypatch):
+    """Slices are encoded in runs, so a word of many slices is looked up once for each run and not once for each slice."""
+    path = queries.tokenizer_path()
+    words = ["alpha", "Beta,", "x1-y", "é'tê's", "<|endoftext|>", "naïve!?", "it's", "(716)"]
+    texts = [[" ".join(words[i:] + words[:i]), "", f"own{i}"] for i in range(8)] + [[""], ["z" * 500, "a b"]]
+    want = [e.ids for e in encode.json_encoder(path).tokenizer.encode_batch([t for x in texts for t in x], add_special_tokens=False)]
+    slices = lambda: ((pa.RecordBatch.from_pydict({"key": list(range(len(x)))}), pa.array(x, pa.large_string())) for x in texts)
+    for limit, most in ((1 << 20, 30), (150, 90), (1, 120)):
+        monkeypatch.setattr(encode, "GROUP_BYTES", limit)
+        encoder, looked_up, learned = encode.JsonEncoder(path), [], encode.JsonEncoder._learned
+        monkeypatch.setattr(encoder, "_learned", lambda w, p, e=encoder, n=looked_up: (n.extend(w), learned(e, w, p))[1])
+        got = list(tokenids._by_slice(slices(), encoder))
+        assert [len(rows) for rows, _, _ in got] == [len(sizes) for _, _, sizes in got] == list(map(len, texts))
+        assert [n for _, _, sizes in got for n in sizes.tolist()] == list(map(len, want))
+        assert [i for _, ids, _ in got for i in ids.tolist()] == [i for x in want for i in x]
+        assert len(looked_up) < most
+
+
+def test_common_words_cut_by_the_pattern_have_the_library_ids():
+    """Words of printable ASCII and Latin letters are cut by the file's pattern, and no word of their run is asked alone."""
+    encoder = encode.JsonEncoder(queries.tokenizer_path())
+    rng = random.Random(5)
+    some = [chr(c) for c in range(0x21, 0x7F)] + list("éÉßÿñÀ") + ["'s", "'RE", "'ll"] * 3
+    words = sorted({"".join(rng.choices(some, k=rng.randint(1, 12))) for _ in range(20_000)})
+    odd = ["<|endoftext|>", "a<|ENDOFTEXT|>b", "x<|startoftext|>y", "\u0130x", "e\u0301", "×", "日本1", "a\x1cb", "ﬁ", "Ω's", "\u0345", "it’s"]
+    alone, library = [], encoder._library
+    encoder._library = lambda texts, tokenizer=None: (alone.extend(texts if tokenizer is None else []), library(texts, tokenizer))[1]
+    lengths, ids = encoder._asked(words + odd, np.zeros(len(words) + len(odd), bool))
+    assert len(alone) == len(odd)
+    want = library(words + odd)
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_hot_and_null_ids_are_split_and_found(spark):
     """A third of all rows under one id, another third under null: all are found, no index row holds them, and their entries are dealt over salts."""
     rows = [(7, f"hot {i % 50}") for i in range(300)] + [(None, f"null {i}") for i in range(300)] + [(1000 + i, f"own {i}") for i in range(300)] + [(7, "same")] * 40

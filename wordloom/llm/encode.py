@@ -2,10 +2,11 @@
 
 Where a tokenizer drops white space before its merges, no token spans two words,
 so a text's ids are those of its words one after the other.  Words are split, made distinct and looked up by
-Arrow, about a megabyte of text at a time.  A plain word -- Latin letters and a run of marks after them -- is two
+Arrow, ``GROUP_BYTES`` of text at a time: the more text, the fewer of its words are distinct.  A plain word -- Latin letters and a run of marks after them -- is two
 pre-tokens, and where the tokenizer lower-cases, the letters' case does not matter: such words are kept
 by their lower-cased letters, and the marks by themselves.  The library is asked once in a process for
-each of these.  Answers are kept in two generations: when the younger one holds ``MEMO_WORDS`` words it becomes the
+each of these; other words of printable ASCII and these letters are cut by the file's own pattern first, and the library merges
+the parts.  Answers are kept in two generations: when the younger one holds ``MEMO_WORDS`` words it becomes the
 older one, and words that are met again move over, so frequent words are never asked for again.  Long texts are
 taken in pieces cut at white space, so neither the words in hand nor the library's answers grow with a
 text.  For any other tokenizer whole texts go to the library.
@@ -18,7 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,13 @@ import regex
 MEMO_WORDS = 300_000  # of each generation
 CALL_WORDS = 8192
 PIECE_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20  # of text whose distinct words are looked up together
 SPACES = "\t\n\x0b\x0c\r "
 MARKS = ".,;:!?"
 #: Letters that no normaliser here splits or composes, and whose lower case is one of them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+COMMON = re.compile(f"[!-~{LETTERS}]+")  # neither white space nor anything that a normaliser here changes but by lower-casing
+EACH_LETTER = "".join(c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c))
 JOINED = 256
 SPACE = re.compile(b"[\t\n\x0b\x0c\r ]")
 
@@ -50,8 +54,7 @@ class _Answers:
 
     def find(self, words: list[str]) -> np.ndarray:
         """Number of each word, or -1."""
-        get = self.codes.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all of them in order."""
@@ -64,6 +67,12 @@ def _places(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
+def _flat(answers: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each answer has, and all of them."""
+    sizes = np.fromiter(map(len, answers), np.int64, len(answers))
+    return sizes, np.fromiter(chain.from_iterable(answers), np.uint32, int(sizes.sum()))
+
+
 class JsonEncoder:
     """A file of the tokenizers library."""
 
@@ -79,6 +88,7 @@ class JsonEncoder:
         self.by_word = drops_white_space(config)
         suffix = (config.get("model") or {}).get("end_of_word_suffix")
         self.ends = np.array([bool(suffix) and t.endswith(suffix) for t in self._tokens()])
+        self.cut = self.added = None
         self.letters = self._for_letters(path, config) if self.by_word and suffix else None
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.young, self.old = _Answers(), _Answers()
@@ -101,6 +111,13 @@ class JsonEncoder:
         plain.no_padding()
         plain.normalizer = None
         plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        cut = regex.compile(pattern)
+        self.added = [t["content"].lower() for t in config.get("added_tokens", [])]
+        # does the pattern cut as the library does, and take all of a word?
+        seen = [chr(c) for c in range(0x21, 0x7F)] + list("éÉß")
+        probes = [p for c in seen for p in (c, c + c, f"a{c}b", f"A{c}", f"1{c}2", f"'{c}", f"{c}'s", f"'{c}e", f".{c}é")]
+        if self._library(probes) == self._library([" ".join(cut.findall(p.lower())) for p in probes], plain):
+            self.cut = cut
         return plain
 
     def _library(self, texts: list[str], tokenizer=None) -> list[list[int]]:
@@ -109,28 +126,42 @@ class JsonEncoder:
     def _tokens(self) -> list[str]:
         return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
-    def _asked(self, words: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each word has, and all of them.  Lower-case letters go to the library with spaces between them, which is cheaper;
-        the tokens that end a word tell them apart.  A run with another number of such ends is asked word by word."""
-        lengths, order, parts = np.zeros(len(words), np.int64), [], []
-        some = [i for i, p in enumerate(plain) if p]
-        rest = [i for i, p in enumerate(plain) if not p]
-        runs = [some[at: at + JOINED] for at in range(0, len(some), JOINED)]
-        for run, ids in zip(runs, self._library([" ".join([words[i] for i in run]) for run in runs], self.letters), strict=True):
-            ids = np.array(ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(run) or ends[-1] != len(ids):
-                rest += run
-                continue
-            lengths[run] = np.diff(ends, prepend=0)
-            order += run
-            parts.append(ids)
-        got = self._library([words[i] for i in rest])
-        lengths[rest] = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.concatenate([*parts, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[rest].sum()))])
-        order = np.array(order + rest, np.int64)
-        out = np.empty(len(ids), np.uint32)
-        out[_places((np.cumsum(lengths) - lengths)[order], lengths[order])] = ids
+    def _parts(self, word: str) -> list[str]:
+        """The pre-tokens of a word of common characters; none if they are not known without the library."""
+        if self.cut is None or not COMMON.fullmatch(word):
+            return []
+        word = word.lower()
+        return [] if any(t in word for t in self.added) else self.cut.findall(word)
+
+    def _asked(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them.  Lower-case letters and the parts of common words go to the library with spaces
+        between them, which is cheaper; the tokens that end a part tell them apart.  A run with another number of such ends is asked word by word."""
+        some = np.flatnonzero(plain).tolist()
+        spaced, parts, rest = [words[i] for i in some], [1] * len(some), []
+        for i in np.flatnonzero(~plain).tolist():
+            cut = self._parts(words[i])
+            if cut:
+                some.append(i)
+                spaced.append(" ".join(cut))
+                parts.append(len(cut))
+            else:
+                rest.append(i)
+        some, parts, begins = np.array(some, np.int64), np.array(parts, np.int64), np.arange(0, len(some), JOINED)
+        sizes, ids = _flat(self._library([" ".join(spaced[at: at + JOINED]) for at in begins.tolist()], self.letters)) if len(some) else (parts, np.empty(0, np.uint32))
+        is_end, stops = self.ends[ids], np.cumsum(sizes)
+        total = np.concatenate([[0], np.cumsum(is_end)])
+        good = (total[stops] - total[stops - sizes] == (np.add.reduceat(parts, begins) if len(some) else parts)) & (sizes > 0)
+        good[good] &= is_end[stops[good] - 1]
+        if not good.all():
+            kept = np.repeat(good, JOINED)[: len(some)]
+            rest += some[~kept].tolist()
+            some, parts, ids = some[kept], parts[kept], ids[np.repeat(good, sizes)]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[some] = np.diff((np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(parts) - 1], prepend=0)
+        lengths[rest], others = _flat(self._library([words[i] for i in rest]))
+        order = np.concatenate([some, np.array(rest, np.int64)])
+        out = np.empty(int(lengths.sum()), np.uint32)
+        out[_places((np.cumsum(lengths) - lengths)[order], lengths[order])] = np.concatenate([ids, others])
         return lengths, out
 
     def _learned(self, words: list[str], plain: np.ndarray) -> np.ndarray:
@@ -146,17 +177,18 @@ class JsonEncoder:
         codes[new[moved]] = len(self.young.codes) + np.arange(len(moved))
         self.young.add([names[i] for i in moved.tolist()], *self.old.of(known[moved]))
         asked = np.flatnonzero(known < 0)
-        for at in range(0, len(asked), CALL_WORDS):
-            some = asked[at: at + CALL_WORDS]
-            group = [names[i] for i in some.tolist()]
-            codes[new[some]] = len(self.young.codes) + np.arange(len(some))
-            self.young.add(group, *self._asked(group, plain[new[some]].tolist()))
+        codes[new[asked]] = len(self.young.codes) + np.arange(len(asked))
+        group, kinds = [names[i] for i in asked.tolist()], plain[new[asked]]
+        got = [self._asked(group[at: at + CALL_WORDS], kinds[at: at + CALL_WORDS]) for at in range(0, len(group), CALL_WORDS)]
+        if got:
+            lengths, ids = zip(*got, strict=True)
+            self.young.add(group, np.concatenate(lengths), np.concatenate(ids))
         return codes
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of ids of each distinct word, where its ids begin, all their ids)."""
         if self.letters is None:
-            codes = self._learned(words.to_pylist(), np.zeros(len(words), bool))
+            codes = self._learned(_names(words), np.zeros(len(words), bool))
             lengths, ids = self.young.of(codes)
             return lengths, np.cumsum(lengths) - lengths, ids
         stems = pc.utf8_rtrim(words, MARKS)
@@ -166,16 +198,14 @@ class JsonEncoder:
         # letters, or a whole word that is not plain; a key is of one kind only
         kinds = np.zeros(len(keys.dictionary), bool)
         kinds[keys.indices.to_numpy()] = plain
-        own = self._learned(keys.dictionary.to_pylist(), kinds)[keys.indices.to_numpy()]
+        own = self._learned(_names(keys.dictionary), kinds)[keys.indices.to_numpy()]
         own_lengths, own_ids = self.young.of(own)
         # the marks after plain words: runs of a few characters, few of them distinct
-        marks = pc.replace_substring_regex(pc.if_else(pc.equal(stems, words), "", words), f"^.*?([{MARKS}]*)$", "\\1").dictionary_encode()
-        at = np.where(plain, marks.indices.to_numpy(), -1)
-        answers = self._library(marks.dictionary.to_pylist())
-        tails = _Answers()
-        tails.add(marks.dictionary.to_pylist(), np.fromiter(map(len, answers), np.int64, len(answers)), np.fromiter(chain.from_iterable(answers), np.uint32))
-        marked = np.flatnonzero((at >= 0) & (tails.lengths[at] > 0))
-        tail_lengths, tail_ids = tails.of(at[marked])
+        marked = np.flatnonzero(plain & pc.not_equal(stems, words).to_numpy(zero_copy_only=False))
+        marks = pc.utf8_ltrim(words.take(pa.array(marked)), EACH_LETTER).dictionary_encode()
+        tails, names = _Answers(), _names(marks.dictionary)
+        tails.add(names, *_flat(self._library(names)))
+        tail_lengths, tail_ids = tails.of(marks.indices.to_numpy())
         lengths = own_lengths.copy()
         lengths[marked] += tail_lengths
         first = np.cumsum(lengths) - lengths
@@ -213,9 +243,8 @@ class JsonEncoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if not self.by_word:
-            got = self._library([t.decode("utf-8", "replace") for t in texts])
-            sizes = np.array([len(x) for x in got], np.int64)
-            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+            sizes, ids = _flat(self._library([t.decode("utf-8", "replace") for t in texts]))
+            return ids, sizes
         sizes, out = np.zeros(len(texts), np.int64), []
         for rows, words, distinct, lengths, first, ids in self._coded(texts):
             lengths = lengths[distinct]
@@ -224,6 +253,11 @@ class JsonEncoder:
         return (np.concatenate(out) if out else np.empty(0, np.uint32)), sizes
 
 
+def _names(words: pa.Array) -> list[str]:
+    """Arrow strings as Python's, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _strings(pieces: list[bytes]) -> pa.Array:
     """Texts as Arrow strings; bytes that are no UTF-8 become U+FFFD."""
     try:
@@ -244,11 +278,11 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
-    """(text, piece) in runs of about ``PIECE_BYTES`` bytes."""
+    """(text, piece) in runs of about ``GROUP_BYTES`` bytes."""
     group, size = [], 0
     for row, text in enumerate(texts):
         for piece in _pieces(text):
-            if group and size + len(piece) > PIECE_BYTES:
+            if group and size + len(piece) > GROUP_BYTES:
                 yield group
                 group, size = [], 0
             group.append((row, piece))

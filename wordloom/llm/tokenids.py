@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import common as cm
-from wordloom.llm.encode import json_encoder
+from wordloom.llm import encode
 from wordloom.session import ensure_checkpoint_dir
 
 U64 = np.uint64
@@ -103,14 +104,34 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 # ---- writing ----------------------------------------------------------------------
 
 
+def _by_slice(slices: Iterator[tuple[pa.RecordBatch, pa.Array]], encoder: encode.JsonEncoder) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, sizes) of each slice, encoded in runs of about ``GROUP_BYTES``, so that the encoder meets a word of several slices once."""
+    def run():
+        ids, sizes = encoder.encode([t for _, texts in held for t in texts])
+        at = np.cumsum([len(rows) for rows, _ in held])[:-1]
+        first = np.cumsum(sizes) - sizes
+        return zip([rows for rows, _ in held], np.split(ids, first[at]), np.split(sizes, at), strict=True)
+
+    held, size = [], 0
+    for rows, texts in slices:
+        texts = texts.cast(pa.large_binary()).to_pylist()
+        n_bytes = sum(map(len, texts))
+        if held and size + n_bytes > encode.GROUP_BYTES:
+            yield from run()
+            held, size = [], 0
+        held.append((rows.select(["key"]), texts))
+        size += n_bytes
+    if held:
+        yield from run()
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Blocks of sorted partitions; the partition is the shard."""
     def blocks(batches):
-        encoder = json_encoder(tokenizer)
+        encoder = encode.json_encoder(tokenizer)
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         shard, first = TaskContext.get().partitionId(), 0
-        for block, (rows, texts) in enumerate(cm.slices(batches, "text")):
-            ids, sizes = encoder.encode(texts.cast(pa.large_binary()).to_pylist())
+        for block, (rows, ids, sizes) in enumerate(_by_slice(cm.slices(batches, "text"), encoder)):
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
             sizes = sizes + 1
