@@ -11,9 +11,9 @@ Training uses a bounded sample of labelled rows (``per_language`` different text
 chosen by a hash of the text; at most ``max_languages`` languages), one window of each by
 the same hash.  The trained network is some thousand numbers, broadcast to the tasks.
 
-A softmax has no answer "none of these", so a network always names a language.  Whether a text is in the named
-one is decided by its byte pairs (``pair_fit``): texts whose pairs suit no learned language clearly
-better than the language's own bytes in random order are not ``accepted``.
+A softmax has no answer "none of these", so a network always names a language.  A text is ``accepted`` if the network
+and its byte pairs agree: its pairs (``pair_fit``) have to suit a language that the network holds possible, the one it names or
+one at least ``RIVAL`` times as probable, clearly better than that language's own bytes in random order would.
 
 Defined cases.  Null texts and texts without a letter are ``und`` with score 0.  Null labels
 are not learned from.  Without any labelled text every text is ``und``.
@@ -40,6 +40,7 @@ KIND = np.concatenate([np.zeros(48, np.int32), np.ones(10, np.int32), np.zeros(3
 MIXED = KINDS * KINDS  # stands for every pair of a word of letters and digits
 PRIOR_PAIRS = 5.0  # weight of the single bytes' shares in a pair's probability
 NEEDED = 0.25  # seen before MIXED was added: texts of sf0.001 to sf0.1 reach 0.33 or more, random letters and other alphabets at most -0.16, Finnish 0.03
+RIVAL = 0.02  # languages of a smaller share of the named one's probability are ruled out by the network
 FEW_ROWS = 30  # learned rows of a language under which its pairs are hardly known
 
 
@@ -52,6 +53,7 @@ class NetParams:
     per_language: int = 1500    # bound on the labelled rows that are learned from, of each language
     max_languages: int = 200
     epochs: int = 8
+    least_steps: int = 0        # more epochs if few rows would give fewer steps than this
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
@@ -105,8 +107,10 @@ class ByteNet:
         p, w, mask = self.p, self.w, self.mask()
         rng, wide, e = np.random.default_rng(p.seed), max(p.widths), p.embedding
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-        step, total = 0, p.epochs * -(-len(windows) // p.batch)
-        for _ in range(p.epochs):
+        batches = -(-len(windows) // p.batch)
+        epochs = max(p.epochs, -(-p.least_steps // max(batches, 1)))
+        step, total = 0, epochs * batches
+        for _ in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), p.batch):
                 x, y = windows[order[at: at + p.batch]], labels[order[at: at + p.batch]]
@@ -242,9 +246,14 @@ def train(labelled: DataFrame, p: NetParams = NetParams(), text: str = "text", l
 
 def labelled(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Predicted language and score of each text."""
+    return _named(net, texts)[:2]
+
+
+def _named(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predicted language and score of each text, and the probabilities of all languages."""
     letters = pc.match_substring_regex(texts, "\\p{L}").to_numpy(zero_copy_only=False)
     if net is None:
-        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros((len(texts), 0))
     windows, row, length = windows_of(texts, net.p.window)
     total = np.zeros((len(texts), len(net.names)))
     for at in range(0, len(row), 4096):
@@ -253,22 +262,19 @@ def labelled(net: ByteNet | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     total /= np.maximum(total.sum(1, keepdims=True), 1e-12)
     best = total.argmax(1)
     score = np.clip(total[np.arange(len(best)), best], 0, 1)
-    return np.where(letters, np.array(net.names, object)[best], UNKNOWN), np.where(letters, score, 0.0)
-
+    return np.where(letters, np.array(net.names, object)[best], UNKNOWN), np.where(letters, score, 0.0), total
 
-def fitting(net: ByteNet | None, texts: pa.Array, lang: np.ndarray) -> np.ndarray:
-    """Whether each text's byte pairs suit the language it was given, or else another learned one; nothing suits ``und``.
 
-    The other languages are asked as the network errs on clean texts too, above all if it has learned from few rows.
-    """
+def fitting(net: ByteNet | None, texts: pa.Array, lang: np.ndarray, possible: np.ndarray | None = None) -> np.ndarray:
+    """Whether each text's byte pairs suit the language it was given, or else another that is ``possible`` (texts, languages) for it; nothing suits ``und``."""
     fits = np.zeros(len(texts), bool)
     if net is None:
         return fits
     windows, row, _ = windows_of(texts, net.p.window)
     known = lang != UNKNOWN
     named = np.searchsorted(net.names, np.where(known, lang, net.names[0]).astype(str))
-    for k in range(-1, len(net.names)):  # -1: the given language
-        left = np.flatnonzero((known & ~fits)[row])
+    for k in range(-1, 0 if possible is None else len(net.names)):  # -1: the given language
+        left = np.flatnonzero((known & ~fits & (True if k < 0 else possible[:, k]))[row])
         total = np.zeros(len(texts))
         for at in range(0, len(left), 1024):
             some = left[at: at + 1024]
@@ -292,12 +298,12 @@ def predict(docs: DataFrame, net: ByteNet | None, doc_id: str = "doc_id", text:
     return cm.map_texts(docs, run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", doc_id)
 
 
-def accepted(docs: DataFrame, net: ByteNet | None, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose byte pairs suit a learned language, of at least the given score."""
+def accepted(docs: DataFrame, net: ByteNet | None, rival: float = RIVAL, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose byte pairs suit the language that the network names, or one at least ``rival`` times as probable."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(rows, texts):
-        lang, score = labelled(shared.value, texts)
-        return fitting(shared.value, texts, lang) & (score >= min_score)
+        lang, score, probability = _named(shared.value, texts)
+        return fitting(shared.value, texts, lang, probability >= rival * score[:, None])
 
     return cm.filter_texts(docs, run, text)
